@@ -842,14 +842,11 @@ def _match_rules(t: Tables):
     return notifications.match_rules(t.anomalies, t.rules).select(F.col("id").alias("anomaly_id"), "rule_id")
 
 
-_OUT = "anomaly_id, rule_id, channel, status, error_message, dispatched_at"
-
-
 @query(
     "route_notifications",
     with_views(
         "anom rul",
-        """SELECT id AS anomaly_id, CAST(NULL AS BIGINT) AS rule_id, 'all' AS channel, 'suppressed' AS status,
+        """SELECT id AS anomaly_id, CAST(0 AS BIGINT) AS rule_id, 'all' AS channel, 'suppressed' AS status,
   CASE WHEN status = 'silenced' THEN 'silenced by policy' WHEN type = 'TRAFFIC_SPIKE' THEN 'alert type is suppressed' ELSE 'source is outside the notification networks' END AS error_message,
   created_at AS dispatched_at FROM anom WHERE status = 'silenced' OR type = 'TRAFFIC_SPIKE' OR ip LIKE '192.168.12.%'
 UNION ALL SELECT id, rule_id, 'all', 'deduplicated', 'held back by rule cooldown', created_at FROM lim WHERE NOT first_one
@@ -870,10 +867,12 @@ FROM (SELECT id, rule_id, unnest(channel_targets) AS ch, created_at FROM rmatch
     ),
 )
 def _route(t: Tables):
-    return notifications.route_notifications(
+    planned = notifications.route_notifications(
         t.anomalies, t.rules, CONFIGURED, suppressed_types=["traffic_spike"],
         allowed_cidrs=["192.168.0.0/21", "192.168.8.0/22", "192.168.13.0/24", "192.168.14.0/23", "192.168.16.0/20"],
     )
+    # rows without a rule print as rule 0
+    return planned.fillna(0, ["rule_id"])
 
 
 @query(

@@ -24,7 +24,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DOTTED = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 V4_PATTERN = rf"^{_DOTTED}$"
 _V4_UNICAST = rf"^(?!127\.|0\.0\.0\.0$|22[4-9]\.|23[0-9]\.){_DOTTED}$"
-_GROUPS = r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*$"
+_G = "[0-9a-f]{1,4}"
+_V6_SHAPE = rf"^(?:(?:{_G}:){{7}}{_G}|(?:{_G}(?::{_G})*)?::(?:{_G}(?::{_G})*)?)$"
 
 V4_PREFIX = "0" * 20 + "ffff"
 
@@ -35,7 +36,8 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _any(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    conditions = list(conditions)
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
 def _as_col(c: Column | str) -> Column:
@@ -44,52 +46,36 @@ def _as_col(c: Column | str) -> Column:
 
 def _v4_digits(dotted: Column) -> Column:
     octets = F.split(dotted, r"\.")
-    return F.lower(F.concat(*[F.lpad(F.hex(F.get(octets, F.lit(i)).try_cast("long")), 2, "0") for i in range(4)]))
-
-
-def _group_digits(groups: Column) -> Column:
-    padded = F.transform(F.split(groups, ":"), lambda g: F.lpad(g, 4, "0"))
-    return F.when(groups == "", F.lit("")).otherwise(F.array_join(padded, ""))
+    two = F.transform(octets, lambda o: F.lpad(F.hex(o.try_cast("long")), 2, "0"))
+    return F.lower(F.array_join(two, ""))
 
 
 def _v6_hex(text: Column) -> Column:
-    low = F.lower(text)
-    tail = F.regexp_extract(low, rf":({_DOTTED})$", 1)
-    tail_digits = _v4_digits(tail)
-    # the head before a dotted tail never holds a dot, so cut by length
-    plain = F.when(tail == "", low).otherwise(
-        F.concat(
-            low.substr(F.lit(1), F.length(low) - F.length(tail)),
-            F.substring(tail_digits, 1, 4),
-            F.lit(":"),
-            F.substring(tail_digits, 5, 4),
+    """Kept small on purpose: this expression is part of every address test."""
+
+    def undotted(low: Column) -> Column:
+        """``::ffff:1.2.3.4`` to ``::ffff:0102:0304``."""
+        tail = F.substring_index(low, ":", -1)
+        return F.when(
+            tail.rlike(V4_PATTERN),
+            F.concat(
+                low.substr(F.lit(1), F.length(low) - F.length(tail)),
+                F.regexp_replace(_v4_digits(tail), "^(.{4})", "$1:"),
+            ),
         )
-    )
-
-    def parse(t: Column) -> Column:
-        full = F.when(t.rlike(r"^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"), _group_digits(t))
 
-        def around_gap(sides: Column) -> Column:
-            head, rest = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
-            sides_ok = (
-                (F.size(sides) == 2)
-                & ((head == "") | head.rlike(_GROUPS))
-                & ((rest == "") | rest.rlike(_GROUPS))
-            )
-            digits = F.concat(_group_digits(head), F.lit("|"), _group_digits(rest))
-            missing = F.lit(33) - F.length(digits)
-            return F.when(
-                sides_ok & (missing >= 4),
-                F.concat(
-                    F.substring_index(digits, "|", 1),
-                    F.repeat(F.lit("0"), missing.cast("int")),
-                    F.substring_index(digits, "|", -1),
-                ),
-            )
+    def digits(t: Column) -> Column:
+        count = F.regexp_count(t, F.lit("[0-9a-f]+"))
+        gap = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - count))
+        groups = F.split(F.replace(t, F.lit("::"), gap), ":")
+        padded = F.transform(groups, lambda g: F.when(g != "", F.lpad(g, 4, "0")))
+        # a double colon stands for at least one group
+        usable = t.rlike(_V6_SHAPE) & ((count < 8) | ~t.contains("::"))
+        return F.when(usable, F.array_join(padded, ""))
 
-        return F.when(t.contains("::"), _bind(F.split(t, "::", -1), around_gap)).otherwise(full)
-
-    return _bind(plain, parse)
+    low = F.lower(text)
+    plain = F.when(text.contains("."), _bind(low, undotted)).otherwise(low)
+    return _bind(plain, digits)
 
 
 def ip_hex(c: Column | str) -> Column:
@@ -167,19 +153,23 @@ def _mapped_member(h: Column, net: ipaddress.IPv4Network) -> Column:
 
 def in_cidr(c: Column | str, cidrs: str | Sequence[str]) -> Column:
     """True when the address lies in any of the networks; invalid text is false."""
-    c = _as_col(c)
     texts = [cidrs] if isinstance(cidrs, str) else list(cidrs)
     nets = [n for n in map(parse_cidr, texts) if n is not None]
-    if not nets:
-        return F.lit(False)
+    return _member(_as_col(c), nets, unicast=False) if nets else F.lit(False)
+
+
+def _member(c: Column, nets: list, unicast: bool) -> Column:
     v4 = [n for n in nets if n.version == 4]
     v6 = [n for n in nets if n.version == 6]
-    dotted = _any(_v4_member(c, n) for n in v4) & c.rlike(V4_PATTERN)
-    colon = _bind(
-        _v6_hex(c),
-        lambda h: _any([_mapped_member(h, n) for n in v4] + [_v6_member(h, n) for n in v6]),
+    dotted = _any([_v4_member(c, n) for n in v4]) & c.rlike(_V4_UNICAST if unicast else V4_PATTERN)
+
+    def colon(h: Column) -> Column:
+        inside = _any([_mapped_member(h, n) for n in v4] + [_v6_member(h, n) for n in v6])
+        return inside & _v6_unicast(h) if unicast else inside
+
+    return F.coalesce(
+        F.when(c.contains(":"), _bind(_v6_hex(c), colon)).otherwise(dotted), F.lit(False)
     )
-    return F.coalesce(F.when(c.contains(":"), colon).otherwise(dotted), F.lit(False))
 
 
 def _v6_unicast(h: Column) -> Column:
@@ -212,11 +202,12 @@ def _touches_special(net: ipaddress.IPv4Network | ipaddress.IPv6Network) -> bool
 
 def is_local(c: Column | str, cidrs: Sequence[str]) -> Column:
     """A unicast address in a local network."""
-    member = in_cidr(c, cidrs)
+    c = _as_col(c)
     nets = [n for n in map(parse_cidr, cidrs) if n is not None]
-    if any(_touches_special(n) for n in nets):
-        return member & is_unicast(c)
-    return member
+    if not nets:
+        return F.lit(False)
+    special = any(_touches_special(n) for n in nets)
+    return _member(c, nets, unicast=special)
 
 
 # --- labels --------------------------------------------------------------------
