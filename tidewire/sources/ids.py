@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import schemas
+from tidewire.functions.barrier import once
 from tidewire.functions.ip import in_cidr
 
 
@@ -24,7 +25,7 @@ def ids_alerts(lines: DataFrame, local_cidrs: Sequence[str], text: str = "value"
     """
     parsed = F.from_json(F.col(text), schemas.EVE + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
     alerts = (
-        lines.select(parsed.alias("e"))
+        once(lines, e=parsed)
         .filter("e is not null and e._bad is null and e.event_type = 'alert' and e.alert is not null")
         .select("e.*")
     )
@@ -36,7 +37,7 @@ def ids_alerts(lines: DataFrame, local_cidrs: Sequence[str], text: str = "value"
     level = F.col("alert.severity")
     created = eve_timestamp(F.col("timestamp"))
     return (
-        alerts.withColumn("ip", local)
+        once(alerts, ip=local)
         .filter("ip is not null")
         .select(
             "ip",

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.functions.barrier import once
 from tidewire.functions.ip import in_cidr, is_ip
 from tidewire.functions.times import instant
 
@@ -30,6 +31,9 @@ CATEGORY_KEYWORDS = (
 )
 CRITICAL_MAX_SEVERITY = 2
 
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+PARSED = ("timestamp", "host", "app_name", "proc_id", "msg_id", "facility", "severity", "message")
+
 IP_TOKEN = (
     r"(?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
     r"|(?:[0-9a-fA-F]{1,4}:[0-9a-fA-F:]+)|(?:::[0-9a-fA-F:]+)"
@@ -125,52 +129,42 @@ def parse_syslog(
 
 def _parse(lines: DataFrame, now: Column, text: str) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
-    line = F.regexp_replace(raw, r"[\x00\r\n]+$", "")
-    number = F.regexp_extract(line, r"^<([+-]?[0-9]+)>", 1)
-    has_priority = line.startswith("<")
-    shaped = F.regexp_extract(line, r"^<([^>]*)>", 1)
-
-    d = lines.withColumn("_line", line).withColumn(
-        "_pri", F.when(F.length(number).between(1, 3), number.try_cast("int"))
+    d = once(lines, _line=F.regexp_replace(raw, r"[\x00\r\n]+$", ""))
+    number = F.regexp_extract("_line", r"^<([+-]?[0-9]+)>", 1)
+    d = once(
+        d,
+        _pri=F.when(F.length(number).between(1, 3), number.try_cast("int")),
+        _shaped=F.length(F.regexp_extract("_line", r"^<([^>]*)>", 1)),
+        _rest=_strip(F.regexp_extract("_line", r"(?s)^<[^>]*>(.*)$", 1)),
     )
-    d = d.withColumn("_rest", _strip(F.regexp_extract("_line", r"(?s)^<[^>]*>(.*)$", 1)))
-    fields = F.split("_rest", " ", 7)
-    d = d.withColumn("_f", fields).withColumn(
-        "_new", (F.size("_f") == 7) & (F.get("_f", F.lit(0)) == "1")
-    )
-
-    stamp5424 = F.get("_f", F.lit(1))
-    time5424 = F.when(
-        stamp5424.rlike(
-            r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
-        ),
-        stamp5424.try_cast("timestamp"),
+    d = once(d, _f=F.split("_rest", " ", 7), _old_body=_strip(F.expr("substring(_rest, 16)")))
+    new = F.col("_new")
+    space = F.expr("instr(_old_body, ' ')")
+    d = once(
+        d,
+        _new=(F.size("_f") == 7) & (F.get("_f", F.lit(0)) == "1"),
+        _host=F.substring_index("_old_body", " ", 1),
+        _after=F.when(space > 0, _strip(F.expr("substring(_old_body, instr(_old_body, ' ') + 1)"))).otherwise(""),
     )
-    d = d.withColumn("_t", F.when(F.col("_new"), time5424).otherwise(
-        _rfc3164_time(F.substring("_rest", 1, 15), now)
-    ))
-    d = d.withColumn("_old_body", _strip(F.expr("substring(_rest, 16)")))
-    host = F.substring_index("_old_body", " ", 1)
-    after_host = F.when(
-        F.col("_old_body").contains(" "), _strip(F.expr("substring(_old_body, instr(_old_body, ' ') + 1)"))
-    ).otherwise(F.lit(""))
-    d = d.withColumn("_after", after_host).withColumn("_tag", split_syslog_tag(F.col("_after")))
-    d = d.withColumn(
-        "_msg5424", F.when(F.col("_new"), _strip(strip_structured_data(F.get("_f", F.lit(6)))))
+    stamp = F.get("_f", F.lit(1))
+    time5424 = F.when(stamp.rlike(RFC3339), stamp.try_cast("timestamp"))
+    d = once(
+        d,
+        _t=F.when(new, time5424).otherwise(_rfc3164_time(F.substring("_rest", 1, 15), now)),
+        _msg=F.when(new, _strip(strip_structured_data(F.get("_f", F.lit(6))))),
+        _tag=F.when(~new, split_syslog_tag(F.col("_after"))),
     )
-
     size = F.octet_length(raw)
-    new = F.col("_new")
     reason = (
         F.when(size == 0, "empty message")
         .when(size > MAX_LINE_BYTES, "message exceeds size limit")
-        .when(F.trim(F.regexp_replace("_line", r"\s+", " ")) == "", "blank message")
-        .when(~has_priority, "priority missing")
-        .when(~F.length(shaped).between(1, 3), "invalid priority prefix")
+        .when(~F.col("_line").rlike(r"\S"), "blank message")
+        .when(~F.col("_line").startswith("<"), "priority missing")
+        .when(~F.col("_shaped").between(1, 3), "invalid priority prefix")
         .when(~F.coalesce(F.col("_pri").between(0, 191), F.lit(False)), "invalid priority value")
         .when(F.col("_rest") == "", "no body")
         .when(new & F.col("_t").isNull(), "invalid RFC5424 timestamp")
-        .when(new & (F.col("_msg5424") == ""), "empty body")
+        .when(new & (F.col("_msg") == ""), "empty body")
         .when(~new & (F.octet_length("_rest") < 16), "message too short")
         .when(~new & F.col("_t").isNull(), "invalid RFC3164 timestamp")
         .when(~new & (F.col("_old_body") == ""), "empty body")
@@ -178,18 +172,19 @@ def _parse(lines: DataFrame, now: Column, text: str) -> DataFrame:
         .when(~new & (F.col("_tag.message") == ""), "empty body")
     )
     field = lambda i: dash_to_empty(F.get("_f", F.lit(i)))
-    return d.select(
-        *lines.columns,
-        F.col("_t").alias("timestamp"),
-        F.when(new, field(2)).otherwise(host).alias("host"),
-        F.when(new, field(3)).otherwise(F.col("_tag.app_name")).alias("app_name"),
-        F.when(new, field(4)).otherwise(F.col("_tag.proc_id")).alias("proc_id"),
-        F.when(new, field(5)).otherwise(F.lit("")).alias("msg_id"),
-        F.floor(F.col("_pri") / 8).cast("int").alias("facility"),
-        (F.col("_pri") % 8).alias("severity"),
-        F.when(new, F.col("_msg5424")).otherwise(F.col("_tag.message")).alias("message"),
-        reason.alias("reject_reason"),
-    )
+    either = lambda modern, old: F.when(new, modern).otherwise(old)
+    return once(
+        d,
+        timestamp=F.col("_t"),
+        host=either(field(2), F.col("_host")),
+        app_name=either(field(3), F.col("_tag.app_name")),
+        proc_id=either(field(4), F.col("_tag.proc_id")),
+        msg_id=either(field(5), F.lit("")),
+        facility=F.expr("cast(_pri div 8 as int)"),
+        severity=F.col("_pri") % 8,
+        message=either(F.col("_msg"), F.col("_tag.message")),
+        reject_reason=reason,
+    ).select(*lines.columns, *PARSED, "reject_reason")
 
 
 def syslog_category(message: Column, severity: Column) -> Column:
@@ -241,12 +236,13 @@ def siem_events(parsed: DataFrame) -> DataFrame:
     """Reduced events of parsed messages; the gateway falls back to the sender."""
     category = syslog_category(F.col("message"), F.col("severity"))
     text = lambda c: F.col(c).cast("string")
-    return parsed.withColumn("_cat", category).select(
+    found = once(parsed, _cat=category, _ip=first_ip(F.col("message")))
+    return found.select(
         "timestamp",
         F.coalesce(F.nullif("host", F.lit("")), "sender_ip").alias("source_gateway"),
         F.col("_cat").alias("category"),
         syslog_severity(F.col("severity"), F.col("_cat")).alias("severity"),
-        first_ip(F.col("message")).alias("client_ip"),
+        F.col("_ip").alias("client_ip"),
         F.col("message").alias("summary"),
         F.create_map(
             *[
