@@ -253,3 +253,25 @@ def test_suppression(spark):
     p = replace(Params(), disabled_types=(" b ",), muted_cidrs=("10.0.0.0/16",))
     assert [r.ip for r in alerts.suppress_types_and_subnets(df, p).collect()] == ["nonsense"]
     assert alerts.allowed(df, []).count() == 3 and alerts.allowed(df, ["10.1.0.0/16"]).count() == 1
+
+
+def test_combined_passes_equal_single_detectors(spark):
+    rng = random.Random(21)
+    rows = [
+        row(minute(rng.randrange(0, 60 * 24 * 9, 30)), src=f"192.168.1.{rng.randrange(3)}", packets=rng.randrange(1, 9),
+            dst=rng.choice(["192.168.1.9", "203.0.113.1"]) if rng.random() < 0.3 else f"203.0.113.{rng.randrange(40)}",
+            port=rng.choice([0, 22, 53, 443, 8080]), nbytes=rng.randrange(1, 9000))
+        for _ in range(900)
+    ]
+    p = replace(Params(), novelty_min_history=3, fanout_min_destinations=2, spike_min_bytes=100, sigma=1.0)
+    a = frame(spark, rows).cache()
+    base = baseline(spark, ip="192.168.1.1", peers=(1.0, 0.0))
+    m = rollup.device_window_metrics(a, p)
+
+    def both(*parts):
+        return sorted(tuple(r) for d in parts for r in d.select(*schemas.ALERT_COLUMNS).collect())
+
+    assert both(detectors.novelty(a, p)) == both(detectors.new_destination(a, p), detectors.new_port(a, p))
+    got = both(detectors.metric_alerts(m, base, p))
+    assert got == both(detectors.traffic_spike(m, base, p), detectors.destination_fanout(m, base, p))
+    assert {g[2] for g in got} == {"TRAFFIC_SPIKE", "DESTINATION_FANOUT"}

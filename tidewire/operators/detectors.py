@@ -43,14 +43,8 @@ def alert(
 # --- volume and fan-out ------------------------------------------------------------
 
 
-def traffic_spike(metrics: DataFrame, baselines: DataFrame, params: Params = Params()) -> DataFrame:
-    """Volume above an absolute floor and above mean + 3 deviations; first metric wins.
-
-    ``metrics`` may carry ``peers``; the pipeline does not check it, because
-    fan-out has its own detector.
-    """
-    peers = F.col("peers") if "peers" in metrics.columns else F.lit(0).cast("long")
-    rows = with_baseline(metrics.withColumn("_peers", peers), baselines)
+def _spike_hit(params: Params, peers: Column) -> Column:
+    """First metric above its floor and its learned limit, else null."""
 
     def hit(metric: str, value: Column, floor: int) -> Column:
         limit = F.col(f"mean_{metric}") + params.sigma * F.col(f"stddev_{metric}")
@@ -65,62 +59,104 @@ def traffic_spike(metrics: DataFrame, baselines: DataFrame, params: Params = Par
             ),
         )
 
-    rows = rows.withColumn(
-        "hit",
-        F.coalesce(
-            hit("bytes", F.col("bytes"), params.spike_min_bytes),
-            hit("packets", F.col("packets"), params.spike_min_packets),
-            hit("peers", F.col("_peers"), params.spike_min_peers),
-        ),
-    ).filter("hit is not null")
-    text = F.format_string(
+    return F.coalesce(
+        hit("bytes", F.col("bytes"), params.spike_min_bytes),
+        hit("packets", F.col("packets"), params.spike_min_packets),
+        hit("peers", peers, params.spike_min_peers),
+    )
+
+
+def _spike_text() -> Column:
+    return F.format_string(
         "%s in one window: %d, above the learned limit %.0f (mean %.0f, deviation %.0f)",
         "hit.metric", "hit.observed", "hit.limit", "hit.mean", "hit.stddev",
     )
+
+
+def traffic_spike(metrics: DataFrame, baselines: DataFrame, params: Params = Params()) -> DataFrame:
+    """Volume above an absolute floor and above mean + 3 deviations; first metric wins.
+
+    ``metrics`` may carry ``peers``; the pipeline does not check it, because
+    fan-out has its own detector.
+    """
+    peers = F.col("peers") if "peers" in metrics.columns else F.lit(0).cast("long")
+    rows = with_baseline(metrics.withColumn("_peers", peers), baselines)
+    rows = rows.withColumn("hit", _spike_hit(params, F.col("_peers"))).filter("hit is not null")
     return alert(
-        rows, "TRAFFIC_SPIKE", "high", text,
+        rows, "TRAFFIC_SPIKE", "high", _spike_text(),
         ["hit.metric", "hit.observed", F.col("hit.limit").alias("limit_value")],
     )
 
 
-def destination_fanout(
-    metrics: DataFrame, baselines: DataFrame | None, params: Params = Params()
-) -> DataFrame:
-    """Many distinct destinations with few packets each."""
+def _with_fanout_limit(metrics: DataFrame, learned: bool, params: Params) -> DataFrame:
     floor = params.fanout_min_destinations
-    rows = metrics
-    if baselines is None:
-        limit = F.lit(floor)
-        learned = F.lit(False)
-    else:
-        rows = with_baseline(metrics, baselines)
-        learned = F.col("mean_peers").isNotNull()
-        statistical = F.ceil(F.col("mean_peers") + params.sigma * F.col("stddev_peers"))
-        limit = F.when(
-            learned,
-            F.least(F.greatest(F.lit(floor), statistical), F.lit(params.fanout_max_limit)),
-        ).otherwise(floor)
-    rows = rows.withColumn("limit_value", limit.cast("long")).withColumn("_learned", learned)
-    rows = rows.filter(
-        (F.col("dst_count") >= F.col("limit_value"))
-        & (F.col("packets") <= F.col("dst_count") * params.fanout_packets_per_target)
+    if not learned:
+        return metrics.withColumn("limit_value", F.lit(floor).cast("long")).withColumn(
+            "_learned", F.lit(False)
+        )
+    statistical = F.ceil(F.col("mean_peers") + params.sigma * F.col("stddev_peers"))
+    bounded = F.least(F.greatest(F.lit(floor), statistical), F.lit(params.fanout_max_limit))
+    known = F.col("mean_peers").isNotNull()
+    return metrics.withColumn(
+        "limit_value", F.when(known, bounded).otherwise(floor).cast("long")
+    ).withColumn("_learned", known)
+
+
+def _is_fanout(params: Params) -> Column:
+    return (F.col("dst_count") >= F.col("limit_value")) & (
+        F.col("packets") <= F.col("dst_count") * params.fanout_packets_per_target
     )
+
+
+def _fanout_text(params: Params) -> Column:
     count = F.concat(
         F.when(F.col("dst_truncated"), "at least ").otherwise(""), F.col("dst_count").cast("string"),
         F.lit(" destinations"),
     )
-    text = explain(
+    return explain(
         F.concat(F.lit("device reached "), count, F.lit(" in one window")),
         "wide contact with few packets per host looks like a horizontal scan",
         F.when(F.col("_learned"), "learned peer mean plus 3 deviations").otherwise(
-            f"fixed minimum of {floor} destinations"
+            f"fixed minimum of {params.fanout_min_destinations} destinations"
         ),
         F.concat(count, F.lit(" and "), F.col("packets").cast("string"), F.lit(" packets")),
         F.format_string("fewer than %d destinations", "limit_value"),
         F.when(F.col("_learned"), "high").otherwise("medium"),
         "list the destinations and check for discovery or inventory tools",
     )
-    return alert(rows, "DESTINATION_FANOUT", "high", text, ["dst_count", "packets", "limit_value"])
+
+
+def destination_fanout(
+    metrics: DataFrame, baselines: DataFrame | None, params: Params = Params()
+) -> DataFrame:
+    """Many distinct destinations with few packets each."""
+    rows = metrics if baselines is None else with_baseline(metrics, baselines)
+    rows = _with_fanout_limit(rows, baselines is not None, params).filter(_is_fanout(params))
+    return alert(
+        rows, "DESTINATION_FANOUT", "high", _fanout_text(params), ["dst_count", "packets", "limit_value"]
+    )
+
+
+def metric_alerts(metrics: DataFrame, baselines: DataFrame, params: Params = Params()) -> DataFrame:
+    """Spikes and fan-outs in one pass over the metrics and one baseline join."""
+
+    def made(kind: str, description: Column) -> Column:
+        return F.struct(
+            F.col("src_ip").alias("ip"), F.lit("").alias("destination_ip"), F.lit(kind).alias("type"),
+            description.alias("description"), F.lit("high").alias("severity"),
+            F.lit("active").alias("status"), F.col("bucket_ts").alias("created_at"),
+        )
+
+    rows = _with_fanout_limit(with_baseline(metrics, baselines), True, params).withColumn(
+        "hit", _spike_hit(params, F.lit(0).cast("long"))
+    )
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("hit").isNotNull(), made("TRAFFIC_SPIKE", _spike_text())),
+            F.when(_is_fanout(params), made("DESTINATION_FANOUT", _fanout_text(params))),
+        )
+    )
+    return rows.select(F.inline(found))
 
 
 def port_fanout(best: DataFrame, params: Params = Params()) -> DataFrame:
@@ -349,14 +385,8 @@ def _only_mature(rows: DataFrame, local: DataFrame, params: Params) -> DataFrame
     return rows.join(mature, ["src_ip", "bucket_ts"], "left_semi")
 
 
-def new_destination(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
-    """External destinations not contacted in the lookback, for mature sources."""
-    local = aggregates.filter(ip.is_local("src_ip", params.local_cidrs))
-    external = local.filter(
-        ip.is_unicast("dst_ip") & ~ip.is_local("dst_ip", params.local_cidrs)
-    )
-    rows = _only_mature(unseen(external, "dst_ip", params), local, params)
-    text = explain(
+def _destination_text(params: Params) -> Column:
+    return explain(
         F.concat(F.lit("device contacted "), F.col("dst_ip"), F.lit(" for the first time in the lookback")),
         "the destination is absent from the retained history of the device",
         F.lit(f"{params.novelty_lookback // 86400} days of aggregates for this pair"),
@@ -365,8 +395,29 @@ def new_destination(aggregates: DataFrame, params: Params = Params()) -> DataFra
         "medium",
         "verify DNS, certificate and owner of the destination",
     )
+
+
+def _port_text(params: Params) -> Column:
+    return explain(
+        F.format_string("device used port %d on %s for the first time in the lookback", "dst_port", "dst_ip"),
+        "the port is absent from the retained history of the device",
+        F.lit(f"{params.novelty_lookback // 86400} days of aggregates for this source and port"),
+        F.format_string("port %d present in this window", "dst_port"),
+        F.lit("a port seen before or approved"),
+        "low",
+        "verify host, protocol and whether a new service or update introduced the port",
+    )
+
+
+def new_destination(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
+    """External destinations not contacted in the lookback, for mature sources."""
+    local = aggregates.filter(ip.is_local("src_ip", params.local_cidrs))
+    external = local.filter(
+        ip.is_unicast("dst_ip") & ~ip.is_local("dst_ip", params.local_cidrs)
+    )
+    rows = _only_mature(unseen(external, "dst_ip", params), local, params)
     return alert(
-        rows, "NEW_DESTINATION", "medium", text, ["bytes"], destination=F.col("dst_ip")
+        rows, "NEW_DESTINATION", "medium", _destination_text(params), ["bytes"], destination=F.col("dst_ip")
     )
 
 
@@ -376,16 +427,34 @@ def new_port(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
     ported = local.filter(F.col("dst_port").between(1, 65535))
     rows = unseen(ported, "dst_port", params, [F.min("dst_ip").alias("dst_ip")])
     rows = _only_mature(rows, local, params)
-    text = explain(
-        F.format_string("device used port %d on %s for the first time in the lookback", "dst_port", "dst_ip"),
-        "the port is absent from the retained history of the device",
-        F.lit(f"{params.novelty_lookback // 86400} days of aggregates for this source and port"),
-        F.format_string("port %d present in this window", "dst_port"),
-        F.lit("a port seen before or approved"),
-        "low",
-        "verify host, protocol and whether a new service or update introduced the port",
+    return alert(rows, "NEW_PORT", "low", _port_text(params), ["dst_port", "bytes"], destination=F.col("dst_ip"))
+
+
+def novelty(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
+    """New destinations and new ports together: one grouping, one maturity check."""
+    local = aggregates.filter(ip.is_local("src_ip", params.local_cidrs))
+    external = ip.is_unicast("dst_ip") & ~ip.is_local("dst_ip", params.local_cidrs)
+    item = F.array(
+        F.concat(F.lit("d"), F.when(external, F.col("dst_ip"))),
+        F.concat(F.lit("p"), F.when(F.col("dst_port").between(1, 65535), F.col("dst_port").cast("string"))),
+    )
+    tagged = local.select(
+        "src_ip", "bucket_ts", "bytes", "dst_ip", F.explode(F.array_compact(item)).alias("item")
+    )
+    rows = unseen(tagged, "item", params, [F.min("dst_ip").alias("dst_ip")])
+    rows = _only_mature(rows, local, params)
+    is_port = F.col("item").startswith("p")
+    port = rows.withColumn("dst_port", F.expr("substring(item, 2)").try_cast("int"))
+    kinds = F.when(is_port, F.lit("NEW_PORT")).otherwise("NEW_DESTINATION")
+    return port.select(
+        F.col("src_ip").alias("ip"),
+        F.col("dst_ip").alias("destination_ip"),
+        kinds.alias("type"),
+        F.when(is_port, _port_text(params)).otherwise(_destination_text(params)).alias("description"),
+        F.when(is_port, "low").otherwise("medium").alias("severity"),
+        F.lit("active").alias("status"),
+        F.col("bucket_ts").alias("created_at"),
     )
-    return alert(rows, "NEW_PORT", "low", text, ["dst_port", "bytes"], destination=F.col("dst_ip"))
 
 
 # --- floods --------------------------------------------------------------------------------

@@ -66,16 +66,16 @@ def _protocol_word(i: int) -> Column:
 
 
 def protocol_list(word: str = "protocols_") -> Column:
-    """Sorted protocol numbers of the four words."""
-    numbers = F.sequence(F.lit(0), F.lit(255))
-    words = F.array(*[F.col(f"{word}{i}") for i in _WORDS])
-    return F.filter(
-        numbers,
-        lambda n: F.get(words, F.floor(n / 64).cast("int")).bitwiseAND(
-            F.call_function("shiftleft", F.lit(1).cast("long"), (n % 64).cast("int"))
-        )
-        != 0,
-    )
+    """Sorted protocol numbers of the four words; empty words are skipped."""
+
+    def decode(i: int) -> Column:
+        low, value = 64 * i, F.col(f"{word}{i}")
+        set_bit = lambda n: F.call_function("shiftright", value, n).bitwiseAND(1) == 1
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), set_bit)
+        numbers = F.transform(bits, lambda n: n + low)
+        return F.when(value == 0, F.array().cast("array<int>")).otherwise(numbers)
+
+    return F.concat(*[decode(i) for i in _WORDS])
 
 
 def device_window_metrics(

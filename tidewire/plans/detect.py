@@ -21,20 +21,18 @@ def detect_all(
     """Every candidate alert, spikes first and beaconing last.
 
     ``metrics`` (``device_window_metrics(..., with_profile=True)``) may be
-    passed in when the caller stores it, as the streaming job does; four
-    detectors read it.
+    passed in when the caller has stored it; three branches read it.  Spikes
+    and fan-outs share one pass, and so do new destinations and ports.
     """
     if metrics is None:
         metrics = device_window_metrics(aggregates, params, with_profile=True)
     found = [
-        detectors.traffic_spike(metrics, baselines, params),
-        detectors.destination_fanout(metrics, baselines, params),
+        detectors.metric_alerts(metrics, baselines, params),
         detectors.port_fanout(port_fanout_best(aggregates, params), params),
         detectors.nighttime(metrics, params),
         profiles.device_profile_change(metrics, params),
         profiles.new_internal_communication(aggregates, params),
-        detectors.new_destination(aggregates, params),
-        detectors.new_port(aggregates, params),
+        detectors.novelty(aggregates, params),
         detectors.beaconing(aggregates, params),
     ]
     common = [d.select(*schemas.ALERT_COLUMNS) for d in found]

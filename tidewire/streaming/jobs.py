@@ -63,12 +63,7 @@ def novelty_of_batch(batch: DataFrame, history: DataFrame, params: Params = Para
     sources = batch.select("src_ip").distinct()
     seen = history.filter(F.col("bucket_ts").between(low, high)).join(sources, "src_ip", "left_semi")
     current = batch.select("src_ip", "bucket_ts").distinct()
-    found = [
-        detectors.new_destination(seen, params).select(*schemas.ALERT_COLUMNS),
-        detectors.new_port(seen, params).select(*schemas.ALERT_COLUMNS),
-    ]
-    rows = found[0].unionByName(found[1])
-    return rows.join(
+    return detectors.novelty(seen, params).join(
         current.select(F.col("src_ip").alias("ip"), F.col("bucket_ts").alias("created_at")),
         ["ip", "created_at"],
         "left_semi",
@@ -79,13 +74,8 @@ def window_alerts(batch: DataFrame, baselines: DataFrame, params: Params = Param
     """Alerts that need no history beyond the learned baselines."""
     metrics = rollup.device_window_metrics(batch, params)
     best = rollup.port_fanout_best(batch, params)
-    found = [
-        detectors.traffic_spike(metrics, baselines, params),
-        detectors.destination_fanout(metrics, baselines, params),
-        detectors.port_fanout(best, params),
-    ]
-    rows = [d.select(*schemas.ALERT_COLUMNS) for d in found]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    found = detectors.port_fanout(best, params).select(*schemas.ALERT_COLUMNS)
+    return detectors.metric_alerts(metrics, baselines, params).unionByName(found)
 
 
 def detection_callback(
