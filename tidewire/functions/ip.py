@@ -235,14 +235,11 @@ def subnet_vlan(c: Column | str, cidrs: Sequence[str]) -> Column:
 
 
 def _masked(h: Column, bits: Column) -> Column:
+    """The whole digits of the prefix, then the leading bits of the digit it cuts."""
     whole = (bits / 4).cast("int")
-    rest = (bits % 4).cast("int")
-    nibble = F.conv(h.substr(whole + 1, F.lit(1)), 16, 10).try_cast("int")
-    keep = F.lit(16) - F.pow(F.lit(2), F.lit(4) - rest).cast("int")
-    return F.concat(
-        h.substr(F.lit(1), whole),
-        F.when(rest > 0, F.lower(F.hex(nibble.bitwiseAND(keep).cast("long")))).otherwise(F.lit("")),
-    )
+    cut = F.conv(F.concat(h, F.lit("0")).substr(whole + 1, F.lit(1)), 16, 10).try_cast("int")
+    lead = F.call_function("shiftright", cut, F.lit(4) - bits % 4)
+    return F.concat_ws(".", h.substr(F.lit(1), whole), lead.cast("string"))
 
 
 def cidr_bits(cidr: Column) -> Column:

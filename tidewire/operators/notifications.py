@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import ip
+from tidewire.functions.barrier import once
 from tidewire.functions.labels import identity, known_channel, severity_rank, type_listed
 from tidewire.functions.times import epoch, instant
 from tidewire.operators.ordered import cooldown_step, fold, one_value
@@ -76,7 +77,7 @@ def match_rules(anomalies: DataFrame, rules: DataFrame, critical_rank: int = 0)
         network_keys(F.col("_hex"), F.col("_len")),
     )
     keys = (
-        anomalies.withColumn("_hex", ip.ip_hex("ip"))
+        once(anomalies, _hex=ip.ip_hex("ip"))
         .withColumn("_len", network_lengths(enabled))
         .withColumn("_scope", F.explode(scopes))
         .withColumn("_type", F.explode(F.array(F.lit("*"), F.lower("type"))))
@@ -107,27 +108,29 @@ def recent_notifications(
     return sent.join(mine, "anomaly_id").agg(F.count(F.lit(1)).alias("recent"))
 
 
-def _row(rule: Column, channel: Column, status: str | Column, reason: str | Column) -> list[Column]:
+def _action(channel: Column | str, status: Column | str, reason: Column | str) -> Column:
     col = lambda x: F.lit(x) if isinstance(x, str) else x
-    return [
+    return F.struct(
+        col(channel).alias("channel"), col(status).alias("status"), col(reason).alias("error_message")
+    )
+
+
+def _log_rows(df: DataFrame, rule: Column, actions: Column) -> DataFrame:
+    """One log row per action of a row."""
+    return df.select(
         F.col("id").alias("anomaly_id"),
         rule.cast("long").alias("rule_id"),
-        channel.alias("channel"),
-        col(status).alias("status"),
-        col(reason).alias("error_message"),
         F.col("created_at").alias("dispatched_at"),
-    ]
-
+        F.inline(actions),
+    ).select("anomaly_id", "rule_id", "channel", "status", "error_message", "dispatched_at")
 
-NO_RULE = "cast(null as bigint)"
 
-
-def _dispatched_seconds(matched: DataFrame) -> DataFrame:
-    """Matched rows with ``_first``: the row that passes the rule's cooldown.
+def _passing(matched: DataFrame) -> DataFrame:
+    """(rule_id, id) of the rows that pass their rule's cooldown.
 
     A row is held back while less or equal ``cooldown_seconds`` have passed
-    since the last dispatch of the rule for that device and type.  The pass
-    runs on one row per second; its result joins back on the full key.
+    since the last dispatch of the rule for that device and type.  The ordered
+    pass runs on one row per second.
     """
     key = ["rule_id", "ip", "type"]
     slots = matched.groupBy(*key, "cooldown_seconds", epoch("created_at").alias("at")).agg(
@@ -135,16 +138,9 @@ def _dispatched_seconds(matched: DataFrame) -> DataFrame:
     )
 
     def step(last, row):
-        return cooldown_step(row["cooldown_seconds"] + 1, [*key, "at", "first_id"])(last, row)
+        return cooldown_step(row["cooldown_seconds"] + 1, ["rule_id", "first_id"])(last, row)
 
-    passed = fold(
-        slots, key, ["at"], step, "rule_id bigint, ip string, type string, at bigint, first_id bigint"
-    )
-    return matched.join(
-        passed.select(F.col("rule_id"), F.col("first_id").alias("id"), F.lit(True).alias("_first")),
-        ["rule_id", "id"],
-        "left",
-    )
+    return fold(slots, key, ["at"], step, "rule_id bigint, id bigint")
 
 
 def route_notifications(
@@ -164,49 +160,46 @@ def route_notifications(
     outside = (
         ip.is_ip("ip") & ~ip.in_cidr("ip", list(allowed_cidrs)) if allowed_cidrs else F.lit(False)
     )
-    gated = anomalies.withColumn(
-        "_gate",
-        F.when(F.col("status") == "silenced", "silenced by policy")
+    gated = once(
+        anomalies,
+        _gate=F.when(F.col("status") == "silenced", "silenced by policy")
         .when(type_listed(F.col("type"), suppressed_types), "alert type is suppressed")
         .when(outside, "source is outside the notification networks"),
     )
-    no_rule = F.expr(NO_RULE)
-    suppressed = gated.filter("_gate is not null").select(
-        *_row(no_rule, F.lit("all"), "suppressed", F.col("_gate"))
-    )
-    passed = gated.filter("_gate is null").drop("_gate")
-
     no_rules = one_value(rules.filter("enabled").limit(1), F.count(F.lit(1))) == 0
-    every = F.array(*[F.lit(c) for c in CHANNELS if c in configured]).cast("array<string>")
-    fallback = (
-        passed.filter(no_rules)
-        .withColumn("_channel", F.explode(every))
-        .select(*_row(no_rule, F.col("_channel"), "dispatch", ""))
-    )
-
-    ready = F.exists("channel_targets", lambda c: c.isin(*configured) if configured else F.lit(False))
-    matched = match_rules(passed, rules, critical_rank)
+    none = F.array().cast("array<struct<channel:string,status:string,error_message:string>>")
+    every = F.array(*[_action(c, "dispatch", "") for c in CHANNELS if c in configured])
+    unruled = _log_rows(
+        gated,
+        F.lit(None),
+        F.when(F.col("_gate").isNotNull(), F.array(_action("all", "suppressed", F.col("_gate"))))
+        .when(no_rules, every if configured else none)
+        .otherwise(none),
+    )
+
+    usable = lambda c: c.isin(*configured) if configured else F.lit(False)
+    matched = match_rules(gated.filter("_gate is null").drop("_gate"), rules, critical_rank)
     # only a real dispatch starts a cooldown, so rules without a usable channel never hold back
-    cooled = (F.col("cooldown_seconds") > 0) & ready
-    limited = _dispatched_seconds(matched.filter(cooled))
-    held = limited.filter("_first is null").select(
-        *_row(F.col("rule_id"), F.lit("all"), "deduplicated", "held back by rule cooldown")
-    )
-    going = limited.filter("_first is not null").drop("_first").unionByName(matched.filter(~cooled))
-    usable = F.col("_channel").isin(*configured) if configured else F.lit(False)
-    sent = (
-        going.withColumn("_channel", F.explode("channel_targets"))
-        .filter(F.col("_channel").isin(*CHANNELS))
-        .select(
-            *_row(
-                F.col("rule_id"),
-                F.col("_channel"),
-                F.when(usable, "dispatch").otherwise("failed"),
-                F.when(usable, "").otherwise("channel is not configured"),
-            )
-        )
-    )
-    return suppressed.unionByName(fallback).unionByName(held).unionByName(sent)
+    matched = matched.withColumn(
+        "_cooled", (F.col("cooldown_seconds") > 0) & F.exists("channel_targets", usable)
+    )
+    passing = _passing(matched.filter("_cooled")).withColumn("_first", F.lit(True))
+    channels = F.filter("channel_targets", lambda c: c.isin(*CHANNELS))
+    sent = F.transform(
+        channels,
+        lambda c: _action(
+            c,
+            F.when(usable(c), "dispatch").otherwise("failed"),
+            F.when(usable(c), "").otherwise("channel is not configured"),
+        ),
+    )
+    held = F.array(_action("all", "deduplicated", "held back by rule cooldown"))
+    ruled = _log_rows(
+        matched.join(passing, ["rule_id", "id"], "left"),
+        F.col("rule_id"),
+        F.when(F.col("_cooled") & F.col("_first").isNull(), held).otherwise(sent),
+    )
+    return unruled.unionByName(ruled)
 
 
 def notification_message(anomalies: DataFrame, devices: DataFrame) -> DataFrame:
