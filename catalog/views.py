@@ -10,6 +10,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalog.ship import ship_package
+
 NOW = datetime(2024, 1, 31)
 START, END = datetime(2024, 1, 1), NOW
 LOCAL = ("192.168.0.0/16",)
@@ -280,6 +282,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         # instants are compared and printed in UTC
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         self.spark = spark
         self.dir = sf_dir
 
