@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire import schemas
-from tidewire.functions.times import epoch
+from tidewire.functions.times import epoch, in_range
 from tidewire.operators import alerts, baseline, detectors, profiles, rollup
 from tidewire.params import Params
 from tidewire.sources import store
@@ -61,7 +61,7 @@ def novelty_of_batch(batch: DataFrame, history: DataFrame, params: Params = Para
     low = bounds.select(F.expr(f"low - INTERVAL {params.novelty_lookback + 1} SECONDS")).scalar()
     high = bounds.select("high").scalar()
     sources = batch.select("src_ip").distinct()
-    seen = history.filter(F.col("bucket_ts").between(low, high)).join(sources, "src_ip", "left_semi")
+    seen = in_range(history, low, high).join(sources, "src_ip", "left_semi")
     current = batch.select("src_ip", "bucket_ts").distinct()
     return detectors.novelty(seen, params).join(
         current.select(F.col("src_ip").alias("ip"), F.col("bucket_ts").alias("created_at")),
