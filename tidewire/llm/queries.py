@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
-from tidewire.llm import chat_format, entropy_mix, hash_tree
+from tidewire.llm import chat_format, entropy_mix, hash_tree, lm_interpolation, packing, warc_writer, words
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,39 @@ def _op10(table):
         F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+PACK_LENGTH, END_ID = 4096, 2
+
+
+@_query("op6_packing")
+def _op6(table):
+    return packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"), PACK_LENGTH, END_ID)
+
+
+OP8_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+best as (select payload, max(page_id) as best from p group by payload)
+select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as hex,
+    case when page_id = best then 'response' else 'revisit' end as record_type,
+    case when page_id <> best then best end as refers_to
+from p join best using (payload)
+"""
+
+
+@_query("op8_warc")
+def _op8(table):
+    return warc_writer.read(warc_writer.write(table("pages"))).drop("url")
+
+
+@_query("op3_lm_interpolation")
+def _op3(table):
+    """Documents of remainder 2 are scored only; one in eight of the others is deleted to learn the weights."""
+    docs = table("documents").select("doc_id", "text")
+    fold = words.crc32_of(F.col("doc_id").cast("string"))
+    role = F.when(fold % 7 == 2, lm_interpolation.APART).when(
+        F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0, lm_interpolation.DELETED
+    ).otherwise(lm_interpolation.KEPT)
+    model = lm_interpolation.fit(docs, role)
+    scored = lm_interpolation.score(model, docs.schema["doc_id"].dataType)
+    return scored.withColumn("held_out", F.col("role") == lm_interpolation.APART).drop("role")
