@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
-from tidewire.llm import chat_format, entropy_mix, hash_tree, lm_interpolation, packing, warc_writer, words
+from tidewire.llm import (
+    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, packing, warc_writer, words,
+)
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +141,29 @@ def _op3(table):
     model = lm_interpolation.fit(docs, role)
     scored = lm_interpolation.score(model, docs.schema["doc_id"].dataType)
     return scored.withColumn("held_out", F.col("role") == lm_interpolation.APART).drop("role")
+
+
+@_query("op1_int8_join", """
+with v as (select vec_id, embedding::double[] as e from embeddings
+    where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score
+    from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+""")
+def _op1(table):
+    rows = table("embeddings").select("vec_id", "embedding")
+    return int8_join.search(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
+@_query("op2_kd_search", """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+    where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(embedding) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+    from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+""")
+def _op2(table):
+    rows = table("embeddings").select("vec_id", "embedding")
+    return kd_search.search(rows, rows.filter("vec_id % 20 = 0"), lambda x: F.floor(x * 64), k=20)
