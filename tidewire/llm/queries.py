@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
 from tidewire.llm import (
-    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, packing, warc_writer, words,
+    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, packing, signature_tree, warc_writer, words,
 )
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
@@ -167,3 +167,23 @@ select query_id, rank, vec_id, score from r where rank <= 20
 def _op2(table):
     rows = table("embeddings").select("vec_id", "embedding")
     return kd_search.search(rows, rows.filter("vec_id % 20 = 0"), lambda x: F.floor(x * 64), k=20)
+
+
+@_query("op5_signature_tree", r"""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+shingled as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+sized as (select doc_id, s, len(s) as n from shingled),
+flat as (select doc_id, n, unnest(s) as g from sized),
+shared as (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as c
+    from flat x join flat y on x.g = y.g and x.doc_id < y.doc_id group by all),
+links as (select a, b from shared where 100 * c >= 75 * (na + nb - c)),
+edges as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from sized union select r.doc_id, e.b from reach r join edges e on r.other = e.a)
+select doc_id, n::bigint as n_shingles, min(other) as component_id from reach join sized using (doc_id) group by doc_id, n
+""")
+def _op5(table):
+    return signature_tree.join(table("documents").select("doc_id", "text"), percent=75, width=5)
