@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
 from tidewire.llm import (
-    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, packing, signature_tree, warc_writer, words,
+    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, packing, signature_tree, toxicity, warc_writer, words,
 )
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
@@ -187,3 +187,17 @@ select doc_id, n::bigint as n_shingles, min(other) as component_id from reach jo
 """)
 def _op5(table):
     return signature_tree.join(table("documents").select("doc_id", "text"), percent=75, width=5)
+
+
+TOXIC_AT = 0.3
+
+
+@_query("op7_toxicity")
+def _op7(table):
+    """Learns from labels whose remainder is not 2; only texts are scored."""
+    docs = table("documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table("labels").filter(words.fold_of(F.col("doc_id"), 4) != 2))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (words.fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted")
+    )
