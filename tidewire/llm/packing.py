@@ -9,12 +9,14 @@ anywhere unless ``sequences`` is called, and then one group is one window.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,44 +25,87 @@ from pyspark.sql.window import Window
 
 from tidewire.llm.storage import stored
 
-#: Words kept with their ids by one worker, and the length up to which a word is kept.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 40
+#: Parts kept with their ids by one worker (twice as many at most), and the length up to which a part is kept.
+KEPT_PARTS, KEPT_LENGTH = 500_000, 40
 #: Texts are encoded in runs of about so many characters.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 8_000_000
+#: Parts whose normal form is their lower case alone: Latin letters and signs without white space. (fixed values)
+PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+#: The pre-tokenizer's pieces. (fixed values)
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class WordEncoder:
-    """Ids of whole texts, from the ids of their space-separated parts.
+def _byte_letters() -> list[str]:
+    """Letters of a byte-level vocabulary: printable Latin-1 bytes stand for themselves, the others follow from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
 
-    Valid for tokenizers whose pre-tokenizer drops white space, so that no token crosses it.  Only parts not seen
-    lately are sent to the tokenizer, in one batch.
-    """
+
+class Parts(dict):
+    """Ids of space-separated parts, worked out on first sight.  Two generations of recent parts bound the memory."""
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {"": b""}
+        self.letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, part: str) -> bytes:
+        """Plain parts are merged here piece by piece, all others go through the whole tokenizer."""
+        lower = part.lower()
+        if "<|" in part or not PLAIN.fullmatch(part) or not PLAIN.fullmatch(lower):
+            return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        ids: list[int] = []
+        for piece in (lower,) if lower.isalpha() else PIECES.findall(lower):
+            if not piece.isascii():
+                piece = "".join([self.letters[b] for b in piece.encode()])
+            ids += [t.id for t in self.merge(piece)]
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found = self.ids(part)
+        if len(part) <= KEPT_LENGTH:
+            self[part] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > KEPT_PARTS:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+
+
+class TextEncoder:
+    """Ids of whole texts, for tokenizers whose pre-tokenizer drops white space, so that no token crosses it."""
+
+    def __init__(self, path: str):
+        self.parts = Parts(path)
+        self.code = self.parts.code
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*parts).difference(self.known))
-        ids = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        now = dict(zip(new, (array(self.code, e.ids).tobytes() for e in ids), strict=True))
-        if len(self.known) > KEPT_WORDS:
-            self.known = {"": b""}
-            now |= self._missing(parts, now)
-        self.known |= {w: b for w, b in now.items() if len(w) <= KEPT_LENGTH}
-        rare = {w: b for w, b in now.items() if len(w) > KEPT_LENGTH}
-        get = self.known.__getitem__ if not rare else (self.known | rare).__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _missing(self, parts: list[list[str]], now: dict[str, bytes]) -> dict[str, bytes]:
-        lost = list(set().union(*parts).difference(now).difference(self.known))
-        ids = self.tokenizer.encode_batch(lost, add_special_tokens=False)
-        return {w: array(self.code, e.ids).tobytes() for w, e in zip(lost, ids, strict=True)}
+        get, out = self.parts.__getitem__, []
+        for t in texts:
+            out.append(b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
+            self.parts.age()
+        return out
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder_of(path: str) -> TextEncoder:
+    """One encoder a worker process, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
 
 
 def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -85,7 +130,7 @@ def token_streams(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "d
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         end, width = array(encoder.code, [end_id]).tobytes(), array(encoder.code).itemsize
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
