@@ -30,7 +30,7 @@ from tidewire.llm.storage import stored
 START, END = 0x53544152545F5F31, 0x454E445F5F5F5F32
 APART, DELETED, KEPT = 0, 1, 2
 WORDS, PAIRS, SUMS = 1, 2, 0
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 BUCKETS, STEPS = 64, 4  # context-frequency octaves; grid steps an octave
 
 
