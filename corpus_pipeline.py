@@ -1,10 +1,70 @@
-"""The corpus pipeline: toxic documents go, near copies go, sources are mixed, what is left is packed."""
+"""The corpus pipeline: toxic documents go, near copies go, sources are mixed to target weights, the rest is packed.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next one's
+``docs``.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.ship import ship_package
+from tidewire.llm import entropy_mix, packing, signature_tree, toxicity, words
+from tidewire.llm.queries import END_ID, PACK_LENGTH, TOXIC_AT
+from tidewire.llm.storage import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold.  Learns from labels whose fold is not held out."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(words.fold_of(F.col("doc_id"), 4) != 2)
+    scored = toxicity.score(docs.select(*COLUMNS), toxicity.learn(docs, labels))
+    return scored.filter(F.col("score") < TOXIC_AT).select(*COLUMNS)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of linked documents.
+
+    Ids are taken to name one text each.  Rows without id are in no group and stay; of rows that repeat an id and its
+    text one stays.  Only ids that go are joined with the texts.
+    """
+    ship_package(spark)
+    groups = stored(signature_tree.join(docs.select("doc_id", "text")), "pipeline-groups")
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    repeated = stored(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    ship_package(spark)
+    sized = docs.select(*COLUMNS).withColumns({"size": words.word_count(F.col("text")), "crc": words.crc32_of(F.col("text"))})
+    taken = entropy_mix.balance(sized, ["doc_id", "crc"])
+    return taken.filter("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with their token ids."""
+    ship_package(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), PACK_LENGTH, END_ID, with_ids=True)
+
+
+STAGES = [("toxicity", without_toxic), ("near copies", without_near_copies), ("mixing", mixed), ("packing", packed)]
+
+#: SQL expresses neither the learned scores nor the tokenizer; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
