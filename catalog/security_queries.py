@@ -59,7 +59,7 @@ def _evidence(df):
 
 _LOCAL_SRC = "src_ip LIKE '192.168.%'"
 _METRICS = f"""met AS (SELECT src_ip, bucket_ts, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(packets) AS BIGINT) AS packets,
-    count(DISTINCT dst_ip) AS dst_count, false AS dst_truncated, count(DISTINCT dst_port) AS port_count,
+    count(DISTINCT dst_ip) AS dst_count, count(DISTINCT dst_port) AS port_count,
     count(DISTINCT CASE WHEN dst_ip LIKE '192.168.%' AND dst_ip <> src_ip THEN dst_ip END) AS internal_peers
   FROM aday WHERE {_LOCAL_SRC} GROUP BY 1, 2)"""
 _BEST = f"""best AS (SELECT src_ip, bucket_ts, dst_ip, port_count, packets FROM (SELECT *, row_number() OVER (PARTITION BY src_ip, bucket_ts ORDER BY port_count DESC, dst_ip) AS rn
@@ -114,7 +114,7 @@ def _fanout_fixed(t: Tables):
     with_views(
         "aday agg dev",
         _fanout_sql(
-            "CASE WHEN b.ip IS NULL THEN 2 ELSE least(greatest(2, CAST(ceil(mean_peers + 1.5 * stddev_peers) AS BIGINT)), 4096) END",
+            "CASE WHEN b.ip IS NULL THEN 2 ELSE greatest(2, CAST(ceil(mean_peers + 1.5 * stddev_peers) AS BIGINT)) END",
             "LEFT JOIN basel b ON m.src_ip = b.ip",
         ),
         _METRICS,

@@ -228,6 +228,59 @@ def test_new_internal_communication(spark):
         assert profiles.new_internal_communication(frame(spark, rows)).count() == 0
 
 
+def test_wide_scans_and_many_peers_have_no_ceiling(spark):
+    scan = [row(minute(0), dst=f"203.{i // 250}.{i % 250}.7", packets=11) for i in range(5000)]
+    metrics = rollup.device_window_metrics(frame(spark, scan))
+    (r,) = detectors.destination_fanout(metrics, None).collect()
+    assert (r.dst_count, r.packets) == (5000, 55_000)
+    learn = [row(minute(i), dst=f"192.168.{2 + k // 250}.{1 + k % 250}") for i in range(12) for k in range(300)]
+    later = [row(minute(20 + i), dst="192.168.3.50") for i in range(20)]
+    assert profiles.new_internal_communication(frame(spark, learn + later)).count() == 0
+
+
+def test_profiles_equal_a_walk_over_the_windows(spark):
+    rng = random.Random(2)
+    p = replace(Params(), profile_learning=5, profile_dominance=3, profile_confirm=2, peer_learning=3, peer_confirm=2)
+    signatures, pairs = [], []
+    for d in range(8):
+        t = 0
+        for _ in range(150):
+            t += 20 * 86_400 if rng.random() < 0.02 else 60
+            signatures.append((f"d{d}", t, rng.choice(["A", "A", "B", "C", *"DEFGHIJKLM"][: 3 + d])))
+            pairs += [(f"d{d}", t, x) for x in {f"p{rng.randrange(3 + d):02d}" for _ in range(2)}]
+    want, peers = [], []
+    for d in range(8):
+        last = None
+        for _, t, s in sorted(r for r in signatures if r[0] == f"d{d}"):
+            here = {x for src, at, x in pairs if src == f"d{d}" and at == t}
+            if last is None or t - last > 14 * 86_400:
+                votes, usual, run, learned, windows, accepted, leads = [], None, [], set(), 0, set(), []
+            last, windows = t, windows + 1
+            if usual is None:
+                votes.append(s)
+                if len(votes) == 5:
+                    best = min(set(votes), key=lambda x: (-votes.count(x), x))
+                    usual, votes = best if votes.count(best) >= 3 else None, []
+            else:
+                run = [*run, s] if run and run[-1] == s else [s]
+                if len(run) >= 2 and s != usual:
+                    want.append((f"d{d}", t, usual, s))
+                    usual = s
+            if windows <= 3:
+                learned |= here
+                continue
+            first = min(here - learned - accepted, default=None)
+            leads = [*leads, first] if leads and leads[-1] == first else [first]
+            if first is not None and len(leads) == 2:
+                peers.append((f"d{d}", t, first))
+                accepted.add(first)
+                leads = []
+    got = profiles.profile_changes(spark.createDataFrame(signatures, "src_ip string, at long, signature string"), p)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    got = profiles.new_peers(spark.createDataFrame(pairs, "src_ip string, at long, dst_ip string"), p)
+    assert sorted(map(tuple, got.collect())) == sorted(peers) and peers
+
+
 def test_dedup_is_greedy(spark):
     rng = random.Random(11)
     rows = []

@@ -138,7 +138,7 @@ def test_profile_and_peer_parity(spark, tmp_path):
     t = int(T0.timestamp())
     rows = [(f"d{i % 2}", datetime.fromtimestamp(t + 60 * i), t + 60 * i, rng.choice("AAB")) for i in range(120)]
     schema = AT + ", signature string"
-    batch = profiles.fold(spark.createDataFrame(rows, schema).drop("bucket_ts"), ["src_ip"], ["at"], profiles.profile_step(p), profiles.PROFILE_OUT)
+    batch = profiles.profile_changes(spark.createDataFrame(rows, schema).drop("bucket_ts"), p)
     (tmp_path / "a").mkdir()
     stream = stateful.stream_profile_change(files(spark, tmp_path / "a", rows, schema, key=lambda r: r[1]).withWatermark("bucket_ts", "1 hour"), p)
     got = sorted(map(tuple, drain(spark, stream, tmp_path / "a").collect()))
@@ -146,7 +146,8 @@ def test_profile_and_peer_parity(spark, tmp_path):
 
     rows = [(r[0], r[1], r[2], sorted({f"10.0.0.{rng.randrange(9)}" for _ in range(3)})) for r in rows]
     schema = AT + ", peers array<string>"
-    batch = profiles.fold(spark.createDataFrame(rows, schema).drop("bucket_ts"), ["src_ip"], ["at"], profiles.peer_step(p), profiles.PEER_OUT)
+    pairs = spark.createDataFrame(rows, schema).select("src_ip", "at", F.explode("peers").alias("dst_ip"))
+    batch = profiles.new_peers(pairs, p)
     (tmp_path / "b").mkdir()
     stream = stateful.stream_internal_peers(files(spark, tmp_path / "b", rows, schema, key=lambda r: r[1]).withWatermark("bucket_ts", "1 hour"), p)
     got = sorted(map(tuple, drain(spark, stream, tmp_path / "b").collect()))

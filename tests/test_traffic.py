@@ -112,9 +112,7 @@ def test_device_window_metrics(spark):
     r = rollup.device_window_metrics(a, with_profile=True).withColumn("plist", rollup.protocol_list()).collect()
     assert len(r) == 1
     m = r[0]
-    assert (m.bytes, m.packets, m.dst_count, m.port_count, m.internal_peers, m.dst_truncated) == (
-        1300, 13, 11, 4, 1, False,
-    )
+    assert (m.bytes, m.packets, m.dst_count, m.port_count, m.internal_peers) == (1300, 13, 11, 4, 1)
     assert m.plist == [6, 17]
     best = rollup.port_fanout_best(a).first()
     assert (best.dst_ip, best.port_count, best.packets) == ("10.0.0.9", 1, 2)

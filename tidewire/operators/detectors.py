@@ -95,7 +95,7 @@ def _with_fanout_limit(metrics: DataFrame, learned: bool, params: Params) -> Dat
             "_learned", F.lit(False)
         )
     statistical = F.ceil(F.col("mean_peers") + params.sigma * F.col("stddev_peers"))
-    bounded = F.least(F.greatest(F.lit(floor), statistical), F.lit(params.fanout_max_limit))
+    bounded = F.greatest(F.lit(floor), statistical)
     known = F.col("mean_peers").isNotNull()
     return metrics.withColumn(
         "limit_value", F.when(known, bounded).otherwise(floor).cast("long")
@@ -109,10 +109,7 @@ def _is_fanout(params: Params) -> Column:
 
 
 def _fanout_text(params: Params) -> Column:
-    count = F.concat(
-        F.when(F.col("dst_truncated"), "at least ").otherwise(""), F.col("dst_count").cast("string"),
-        F.lit(" destinations"),
-    )
+    count = F.concat(F.col("dst_count").cast("string"), F.lit(" destinations"))
     return explain(
         F.concat(F.lit("device reached "), count, F.lit(" in one window")),
         "wide contact with few packets per host looks like a horizontal scan",

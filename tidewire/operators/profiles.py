@@ -1,8 +1,8 @@
-"""Learned behaviour profiles: rules whose state follows their own decisions.
+"""Learned behaviour: a device's usual signature, and its usual internal peers.
 
-The step functions are pure: ``step(state, row) -> (state, output rows)`` with
-a plain dict as state.  Batch runs them through ``ordered.fold``; streams run
-the same functions against the state store.
+Both number the windows of a device within an activity epoch (a pause longer than the retention starts a new one).
+The usual signature is a matter of windows over run lengths.  New internal peers first drop every learned pair by an
+anti join; only pairs met after learning go through an ordered pass, as an accepted peer changes what comes later.
 """
 
 from __future__ import annotations
@@ -46,46 +46,45 @@ def profile_rows(metrics: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-PROFILE_OUT = "src_ip string, at bigint, old_profile string, new_profile string"
-
-
-def profile_step(params: Params = Params()) -> Step:
-    """Learn a dominant signature, then report a change that repeats."""
-
-    def fresh() -> dict:
-        return {"base": "", "learn": {}, "seen": 0, "cand": "", "run": 0, "last": None}
-
-    def step(s: dict | None, row: dict) -> tuple[dict, list[tuple]]:
-        t, sig = row["at"], row["signature"]
-        if s is None or (s["last"] is not None and t - s["last"] > params.profile_retention):
-            s = fresh()
-        if s["last"] == t:
-            return s, []
-        s["last"] = t
-        if not s["base"]:
-            learn = s["learn"]
-            if sig not in learn and len(learn) >= params.profile_max_signatures:
-                return s, []
-            learn[sig] = learn.get(sig, 0) + 1
-            s["seen"] += 1
-            if s["seen"] >= params.profile_learning:
-                best, votes = min(learn.items(), key=lambda kv: (-kv[1], kv[0]))
-                s["learn"], s["seen"] = {}, 0
-                if votes >= params.profile_dominance:
-                    s["base"] = best
-            return s, []
-        if sig == s["base"]:
-            s["cand"], s["run"] = "", 0
-            return s, []
-        s["run"] = s["run"] + 1 if sig == s["cand"] else 1
-        s["cand"] = sig
-        if s["run"] < params.profile_confirm:
-            return s, []
-        changed = (row["src_ip"], t, s["base"], sig)
-        s["base"], s["cand"], s["run"] = sig, "", 0
-        return s, [changed]
+def numbered_windows(rows: DataFrame, retention: int) -> DataFrame:
+    """Add ``epoch`` and ``number`` (from 0 within the epoch) to rows with one row per source and ``at``.
 
-    return step
+    One row per device and window bounds a device's rows by the length of the range.
+    """
+    device = Window.partitionBy("src_ip").orderBy("at")
+    pause = F.col("at") - F.lag("at").over(device) > retention
+    epochs = rows.withColumn("epoch", F.sum(F.coalesce(pause.cast("int"), F.lit(0))).over(device))
+    order = Window.partitionBy("src_ip", "epoch").orderBy("at")
+    return epochs.withColumn("number", F.row_number().over(order) - 1)
+
+
+def profile_changes(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """(src_ip, at, old_profile, new_profile) from ``profile_rows``.
+
+    Learning goes in rounds of ``profile_learning`` windows; the first round with a dominant signature ends it.  Later
+    windows form runs of equal signatures; only runs of ``profile_confirm`` windows count, and each that differs from
+    the one before it (at first from what was learned) is a change at its confirming window.
+    """
+    e, n = ["src_ip", "epoch"], params.profile_learning
+    windows = numbered_windows(rows, params.profile_retention)
+    votes = windows.groupBy(*e, F.expr(f"number div {n}").alias("round"), "signature").agg(F.count(F.lit(1)).alias("votes"))
+    rounds = votes.groupBy(*e, "round").agg(
+        F.sum("votes").alias("seen"), F.min(F.struct((-F.col("votes")).alias("less"), "signature")).alias("top")
+    )
+    settled = rounds.filter((F.col("seen") == n) & (-F.col("top.less") >= params.profile_dominance))
+    learned = settled.groupBy(*e).agg(F.min(F.struct("round", "top.signature")).alias("first"))
+    later = windows.join(learned, e).filter(F.col("number") >= (F.col("first.round") + 1) * n)
+    order = Window.partitionBy(*e).orderBy("number")
+    fresh = F.lag("signature").over(order).isNull() | (F.lag("signature").over(order) != F.col("signature"))
+    runs = later.withColumn("run", F.sum(fresh.cast("int")).over(order))
+    within = Window.partitionBy(*e, "run").orderBy("number")
+    strong = runs.withColumn("place", F.row_number().over(within)).filter(F.col("place") == params.profile_confirm)
+    old = F.coalesce(F.lag("signature").over(order), F.col("first.signature"))
+    return (
+        strong.withColumn("old_profile", old)
+        .filter("old_profile <> signature")
+        .select("src_ip", "at", "old_profile", F.col("signature").alias("new_profile"))
+    )
 
 
 def profile_alerts(changes: DataFrame, params: Params = Params()) -> DataFrame:
@@ -104,21 +103,16 @@ def profile_alerts(changes: DataFrame, params: Params = Params()) -> DataFrame:
 
 def device_profile_change(metrics: DataFrame, params: Params = Params()) -> DataFrame:
     """``metrics`` comes from ``device_window_metrics(..., with_profile=True)``."""
-    changes = fold(profile_rows(metrics, params), ["src_ip"], ["at"], profile_step(params), PROFILE_OUT)
-    return profile_alerts(changes, params)
+    return profile_alerts(profile_changes(profile_rows(metrics, params), params), params)
 
 
 # --- internal peers ---------------------------------------------------------------------
 
 
-def peer_rows(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
-    """Internal peers per local source and window, at most the cap, smallest first.
-
-    The rank filter reaches below the shuffle, so a scanning host sends no more
-    than the cap per task and window.
-    """
+def peer_pairs(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
+    """(src_ip, at, dst_ip): each internal peer of a local source once per window."""
     local = params.local_cidrs
-    peers = (
+    return (
         aggregates.filter(
             (F.col("src_ip") != F.col("dst_ip"))
             & ip.is_local("src_ip", local)
@@ -127,58 +121,54 @@ def peer_rows(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
         .select("src_ip", F.unix_seconds("bucket_ts").alias("at"), "dst_ip")
         .distinct()
     )
-    order = Window.partitionBy("src_ip", "at").orderBy("dst_ip")
-    return (
-        peers.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= params.peer_cap)
-        .groupBy("src_ip", "at")
-        .agg(F.array_sort(F.collect_list("dst_ip")).alias("peers"))
-    )
 
 
 PEER_OUT = "src_ip string, at bigint, dst_ip string"
 
 
-def peer_step(params: Params = Params()) -> Step:
-    """Learn the peer set, then report an unknown peer that repeats."""
-
-    def fresh() -> dict:
-        return {"known": [], "seen": 0, "cand": "", "run": 0, "last": None}
-
-    def step(s: dict | None, row: dict) -> tuple[dict, list[tuple]]:
-        t, peers = row["at"], row["peers"]
-        if s is None or (s["last"] is not None and t - s["last"] > params.peer_retention):
-            s = fresh()
-        if s["last"] == t:
-            return s, []
-        s["last"] = t
-        known = set(s["known"])
-        if s["seen"] < params.peer_learning:
-            fill = [p for p in peers if p not in known][: params.peer_cap - len(known)]
-            s["known"] = s["known"] + fill
-            s["seen"] += 1
-            return s, []
-        unknown = min((p for p in peers if p not in known), default="")
-        if not unknown:
-            s["cand"], s["run"] = "", 0
-            return s, []
-        s["run"] = s["run"] + 1 if unknown == s["cand"] else 1
-        s["cand"] = unknown
-        if s["run"] < params.peer_confirm:
-            return s, []
-        if len(known) < params.peer_cap:
-            s["known"] = s["known"] + [unknown]
-        s["cand"], s["run"] = "", 0
-        return s, [(row["src_ip"], t, unknown)]
+def confirm_step(confirm: int) -> Step:
+    """Smallest peer of a window that was not accepted yet; accepted when it leads ``confirm`` windows in a row.
+
+    Rows come ordered by epoch, number and peer, without windows that hold learned peers only; a missing number breaks
+    the row of windows.  State: what was accepted, the last deciding window, its leader and how long it leads.
+    """
+
+    def step(state: dict | None, row: dict) -> tuple[dict, list[tuple]]:
+        here = (row["epoch"], row["number"])
+        if state is None or state["window"][0] != here[0]:
+            state = {"accepted": set(), "window": (here[0], -1), "leader": None, "streak": 0}
+        if state["window"] == here or row["dst_ip"] in state["accepted"]:
+            return state, []
+        follows = state["window"][1] == here[1] - 1 and state["leader"] == row["dst_ip"]
+        state["streak"] = state["streak"] + 1 if follows else 1
+        state["window"], state["leader"] = here, row["dst_ip"]
+        if state["streak"] < confirm:
+            return state, []
+        state["accepted"].add(row["dst_ip"])
+        state["leader"] = None
+        return state, [(row["src_ip"], row["at"], row["dst_ip"])]
 
     return step
 
 
+def new_peers(pairs: DataFrame, params: Params = Params()) -> DataFrame:
+    """(src_ip, at, dst_ip) of unknown internal peers that repeat, from ``peer_pairs``."""
+    e = ["src_ip", "epoch"]
+    windows = numbered_windows(pairs.select("src_ip", "at").distinct(), params.peer_retention)
+    placed = pairs.join(windows, ["src_ip", "at"])
+    learned = placed.filter(F.col("number") < params.peer_learning).select(*e, "dst_ip").distinct()
+    unknown = placed.filter(F.col("number") >= params.peer_learning).join(learned, [*e, "dst_ip"], "left_anti")
+    return fold(
+        unknown.select("src_ip", "epoch", "number", "dst_ip", "at"), ["src_ip"], ["epoch", "number", "dst_ip"],
+        confirm_step(params.peer_confirm), PEER_OUT,
+    )
+
+
 def peer_alerts(found: DataFrame, params: Params = Params()) -> DataFrame:
     text = explain(
         F.concat(F.lit("device contacted internal peer "), F.col("dst_ip")),
         f"the local path is new and repeated for {params.peer_confirm} windows",
-        F.lit(f"{params.peer_learning} learned windows of internal peers, at most {params.peer_cap}"),
+        F.lit(f"internal peers of {params.peer_learning} learned windows"),
         F.concat(F.lit("new internal peer "), F.col("dst_ip")),
         F.lit("known internal peers or an approved local service"),
         "medium",
@@ -189,5 +179,4 @@ def peer_alerts(found: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def new_internal_communication(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
-    found = fold(peer_rows(aggregates, params), ["src_ip"], ["at"], peer_step(params), PEER_OUT)
-    return peer_alerts(found, params)
+    return peer_alerts(new_peers(peer_pairs(aggregates, params), params), params)

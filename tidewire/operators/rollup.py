@@ -132,22 +132,14 @@ def device_window_metrics(
     ).agg(*first)
     dst = F.col("tag") == "d"
     internal = dst & (F.col("item") != F.col("src_ip")) & ip.is_local("item", local)
-    cap = params.cardinality_cap
-    metrics = groups.groupBy("src_ip", "bucket_ts").agg(
+    return groups.groupBy("src_ip", "bucket_ts").agg(
         F.sum("bytes").alias("bytes"),
         F.sum("packets").alias("packets"),
-        F.count_if(dst & ip.is_unicast("item")).alias("_dst"),
-        F.count_if(~dst).alias("_ports"),
-        F.count_if(internal).alias("_peers"),
+        F.count_if(dst & ip.is_unicast("item")).alias("dst_count"),
+        F.count_if(~dst).alias("port_count"),
+        F.count_if(internal).alias("internal_peers"),
         *profile,
     )
-    return (
-        metrics.withColumn("dst_count", F.least("_dst", F.lit(cap)))
-        .withColumn("dst_truncated", F.col("_dst") > cap)
-        .withColumn("port_count", F.least("_ports", F.lit(cap)))
-        .withColumn("internal_peers", F.least("_peers", F.lit(params.peer_cap)))
-        .drop("_dst", "_ports", "_peers")
-    )
 
 
 def port_fanout_best(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
@@ -159,8 +151,7 @@ def port_fanout_best(aggregates: DataFrame, params: Params = Params()) -> DataFr
     ports = (
         aggregates.filter(_valid_port() & ip.is_local("src_ip", params.local_cidrs))
         .groupBy("src_ip", "bucket_ts", "dst_ip")
-        .agg(F.count_distinct("dst_port").alias("_n"), F.sum("packets").alias("packets"))
-        .withColumn("port_count", F.least("_n", F.lit(params.cardinality_cap)))
+        .agg(F.count_distinct("dst_port").alias("port_count"), F.sum("packets").alias("packets"))
     )
     best = F.min(
         F.struct((-F.col("port_count")).alias("neg"), "dst_ip", "packets")

@@ -62,14 +62,11 @@ class Params:
 
     # fan-out
     fanout_min_destinations: int = 32
-    fanout_max_limit: int = 4096
     fanout_min_ports: int = 16
     fanout_packets_per_target: int = 12
-    cardinality_cap: int = 4096
 
     # beaconing
     beacon_observations: int = 12
-    beacon_kept: int = 18
     beacon_min_interval: int = 90
     beacon_max_interval: int = 30 * 60
     beacon_jitter_ratio: float = 0.20
@@ -94,13 +91,11 @@ class Params:
     profile_learning: int = 12
     profile_dominance: int = 9
     profile_confirm: int = 3
-    profile_max_signatures: int = 8
     profile_retention: int = FORTNIGHT
 
     # internal peers
     peer_learning: int = 12
     peer_confirm: int = 2
-    peer_cap: int = 256
     peer_retention: int = FORTNIGHT
 
     # novelty

@@ -10,17 +10,20 @@ global caps on the number of keys.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from tidewire.operators.profiles import (
-    PEER_OUT, PROFILE_OUT, peer_step, profile_step,
-)
+from tidewire.operators import profiles
+from tidewire.operators.detectors import BEACON_KEY
+from tidewire.operators.ordered import cooldown_step
 from tidewire.params import Params
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,28 +88,32 @@ def stream_fold(
 
 
 def beacon_step(params: Params = Params()) -> Callable:
-    """Sorted recent observations of a series; late ones are inserted in order."""
-    n = params.beacon_observations
-
-    def step(obs: list | None, row: dict) -> tuple[list, list[tuple]]:
-        t = row["at"]
-        obs = list(obs or [])
-        if obs and t - obs[-1] > params.beacon_retention:
-            obs = []
-        if t in obs:
-            return obs, []
-        obs = sorted([*obs, t])[-max(params.beacon_kept, n):]
-        recent = obs[-n:]
-        if len(recent) < n:
-            return obs, []
-        gaps = [b - a for a, b in zip(recent, recent[1:])]
-        if min(gaps) < params.beacon_min_interval or max(gaps) > params.beacon_max_interval:
-            return obs, []
-        mean = sum(gaps) / len(gaps)
-        spread = max(abs(g - mean) for g in gaps)
-        if spread > max(mean * params.beacon_jitter_ratio, params.beacon_jitter_floor):
-            return obs, []
-        return obs, [(row["src_ip"], row["dst_ip"], row["dst_port"], row["protocol"], t, mean, spread / mean)]
+    """Observation times of one series, kept as long as the retention; a late one falls into its place.
+
+    The last ``beacon_observations`` times are judged by their extreme gaps.
+    """
+    need = params.beacon_observations
+
+    def step(times: list | None, row: dict) -> tuple[list, list[tuple]]:
+        at, times = row["at"], times or []
+        place = bisect_left(times, at)
+        if times[place:place + 1] == [at]:
+            return times, []
+        if place and at - times[place - 1] > params.beacon_retention:
+            times, place = times[place:], 0
+        times = [*times[:place], at, *times[place:]]
+        # n observations cannot reach further back than n - 1 of the longest allowed gaps
+        reach = max(params.beacon_retention, need * params.beacon_max_interval)
+        times = times[bisect_left(times, times[-1] - reach):]
+        if len(times) < need:
+            return times, []
+        gaps = np.diff(times[-need:])
+        low, high, mean = int(gaps.min()), int(gaps.max()), float(gaps.mean())
+        spread = max(high - mean, mean - low)
+        steady = spread <= max(mean * params.beacon_jitter_ratio, params.beacon_jitter_floor)
+        if not steady or low < params.beacon_min_interval or high > params.beacon_max_interval:
+            return times, []
+        return times, [(*(row[k] for k in BEACON_KEY), at, mean, spread / mean)]
 
     return step
 
@@ -117,20 +124,16 @@ BEACON_OUT = (
 
 
 def night_step(params: Params = Params()) -> Callable:
-    """Recent day and night windows of a device, capped at the counts that matter."""
-
-    def step(s: dict | None, row: dict) -> tuple[dict, list[tuple]]:
-        t = row["at"]
-        if s is None or t - s["last"] > params.night_retention:
-            s = {"day": [], "night": [], "last": t}
-        s["last"] = max(t, s["last"])
-        if row["is_day"]:
-            s["day"] = sorted({*s["day"], t})[-params.night_day_windows:]
-            return s, []
-        before = len(s["night"])
-        s["night"] = sorted({*s["night"], t})[-params.night_known_windows:]
-        alert = len(s["day"]) >= params.night_day_windows and before < params.night_known_windows
-        return s, [(row["src_ip"], t)] if alert else []
+    """Counts of a device's day and night windows since its last long pause, as the batch windows count them."""
+
+    def step(state: dict | None, row: dict) -> tuple[dict, list[tuple]]:
+        idle = state is not None and row["at"] - state["last"] > params.night_retention
+        days, nights = (0, 0) if state is None or idle else (state["days"], state["nights"])
+        known = days >= params.night_day_windows
+        fresh = not row["is_day"] and nights < params.night_known_windows
+        last = row["at"] if state is None else max(row["at"], state["last"])
+        state = {"days": days + bool(row["is_day"]), "nights": nights + (not row["is_day"]), "last": last}
+        return state, [(row["src_ip"], row["at"])] if known and fresh else []
 
     return step
 
@@ -138,11 +141,58 @@ def night_step(params: Params = Params()) -> Callable:
 NIGHT_OUT = "src_ip string, at bigint"
 
 
-def dedup_step(cooldown: int, emit: list[str]) -> Callable:
-    def step(last: int | None, row: dict) -> tuple[int | None, list[tuple]]:
-        if last is not None and row["at"] - last < cooldown:
-            return last, []
-        return row["at"], [tuple(row[c] for c in emit)]
+def profile_step(params: Params = Params()) -> Callable:
+    """``profiles.profile_changes`` window by window: a round of votes, then runs that are long enough."""
+
+    def step(state: dict | None, row: dict) -> tuple[dict, list[tuple]]:
+        at, now = row["at"], row["signature"]
+        if state is None or at - state["at"] > params.profile_retention:
+            state = {"usual": None, "votes": {}, "run": [None, 0]}
+        elif at == state["at"]:
+            return state, []
+        state["at"] = at
+        if state["usual"] is None:
+            votes = state["votes"] = Counter(state["votes"]) + Counter([now])
+            if votes.total() == params.profile_learning:
+                top = min(votes, key=lambda x: (-votes[x], x))
+                state |= {"usual": top if votes[top] >= params.profile_dominance else None, "votes": {}}
+            return state, []
+        name, length = state["run"]
+        length = length + 1 if name == now else 1
+        state["run"] = [now, length]
+        if length != params.profile_confirm or now == state["usual"]:
+            return state, []
+        old, state["usual"] = state["usual"], now
+        return state, [(row["src_ip"], at, old, now)]
+
+    return step
+
+
+PROFILE_OUT = "src_ip string, at bigint, old_profile string, new_profile string"
+
+
+def peer_step(params: Params = Params()) -> Callable:
+    """``profiles.new_peers`` for one window at a time: learn, or hand the unknown peers to the same confirmation."""
+    confirm = profiles.confirm_step(params.peer_confirm)
+
+    def step(state: dict | None, row: dict) -> tuple[dict, list[tuple]]:
+        at = row["at"]
+        if state is None or at - state["at"] > params.peer_retention:
+            state = {"number": -1, "learned": [], "open": None}
+        elif at == state["at"]:
+            return state, []
+        state["at"], state["number"] = at, state["number"] + 1
+        if state["number"] < params.peer_learning:
+            state["learned"] = sorted({*state["learned"], *row["peers"]})
+            return state, []
+        found, pending = [], state["open"]
+        if pending:
+            pending = {**pending, "accepted": set(pending["accepted"]), "window": tuple(pending["window"])}
+        for peer in sorted({*row["peers"]}.difference(state["learned"])):
+            pending, out = confirm(pending, {"src_ip": row["src_ip"], "epoch": 0, "number": state["number"], "dst_ip": peer, "at": at})
+            found += out
+        state["open"] = pending and {**pending, "accepted": sorted(pending["accepted"])}
+        return state, found
 
     return step
 
@@ -153,8 +203,8 @@ def stream_profile_change(rows: DataFrame, params: Params = Params()) -> DataFra
 
 
 def stream_internal_peers(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """``rows`` as from ``profiles.peer_rows``."""
-    return stream_fold(rows, ["src_ip"], "at", peer_step(params), PEER_OUT, params.peer_retention)
+    """``rows``: src_ip, ``at`` and the window's internal ``peers``."""
+    return stream_fold(rows, ["src_ip"], "at", peer_step(params), profiles.PEER_OUT, params.peer_retention)
 
 
 def stream_beacons(rows: DataFrame, params: Params = Params()) -> DataFrame:
@@ -172,7 +222,7 @@ def stream_dedup(
     rows: DataFrame, cooldown: int, keys: list[str], carry: list[str], schema: str
 ) -> DataFrame:
     """``rows``: keys, ``at`` and carried columns; state is forgotten after the cooldown."""
-    return stream_fold(rows, keys, "at", dedup_step(cooldown, [*keys, "at", *carry]), schema, cooldown)
+    return stream_fold(rows, keys, "at", cooldown_step(cooldown, [*keys, "at", *carry]), schema, cooldown)
 
 
 # --- packets ------------------------------------------------------------------------------------
