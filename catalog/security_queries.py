@@ -7,9 +7,10 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from catalog.traffic_queries import BASE_PARTS, aggregates, baselines, daily
 from catalog.views import CONFIGURED, DEVICE, LOCAL, NOW, Tables, with_views
+from tidewire.functions import labels
 from tidewire.operators import (
     alerts, changes, detectors, devices, notifications, policies, profiles, risk, rollup, security, traffic,
 )
@@ -127,27 +128,19 @@ def _fanout(t: Tables):
     return _evidence(detectors.destination_fanout(metrics, baselines(t), p))
 
 
-@query(
-    "port_fanout",
-    with_views(
-        "f",
-        """SELECT src_ip AS ip, '' AS destination_ip, 'PORT_FANOUT' AS type, 'high' AS severity, 'active' AS status, bucket_ts AS created_at,
-  dst_ip AS target, port_count, packets FROM best WHERE port_count >= 3 AND packets <= port_count * 12""",
-        """wide AS (SELECT TIMESTAMP '2024-01-01' AS bucket_ts, concat('192.168.0.', user_id % 5) AS src_ip, dst_ip, dst_port, CAST(1 AS BIGINT) AS packets
-  FROM f)""",
-        _BEST.replace("aday", "(SELECT DISTINCT * FROM wide)"),
-    ),
-)
+def _port_fanout_sql(ports: int) -> str:
+    return with_views(
+        "aday",
+        f"""SELECT src_ip AS ip, '' AS destination_ip, 'PORT_FANOUT' AS type, 'high' AS severity, 'active' AS status, bucket_ts AS created_at,
+  dst_ip AS target, port_count, packets FROM best WHERE port_count >= {ports} AND packets <= port_count * 12""",
+        _BEST,
+    )
+
+
+@query("port_fanout", _port_fanout_sql(1))
 def _port_fanout(t: Tables):
-    """Devices folded onto five scanning hosts, so destinations meet several ports."""
-    wide = t.flows.select(
-        F.lit("2024-01-01").cast("timestamp").alias("bucket_ts"),
-        F.concat(F.lit("192.168.0."), (F.col("user_id") % 5).cast("string")).alias("src_ip"),
-        "dst_ip",
-        "dst_port",
-        F.lit(1).cast("long").alias("packets"),
-    ).distinct()
-    return _evidence(detectors.port_fanout(rollup.port_fanout_best(wide, P), P))
+    p = replace(P, fanout_min_ports=1)
+    return _evidence(detectors.port_fanout(rollup.port_fanout_best(daily(t), p), p))
 
 
 # --- beacon, night, novelty ----------------------------------------------------------------------------
@@ -304,23 +297,91 @@ def _floods(t: Tables):
     return _evidence(detectors.floods(detectors.victim_rates(t.flows, P), P))
 
 
-# --- learned profiles: ordered state, no SQL form -----------------------------------------------------------
+# --- learned profiles: the checking SQL walks the windows of a device one by one ----------------------------
+
+
+def _service_sql(port: str) -> str:
+    named = " ".join(f"WHEN {port} IN {ports if len(ports) > 1 else f'({ports[0]})'} THEN '{name}'" for name, ports in labels.SERVICE_PORTS.items())
+    return f"CASE {named} WHEN {port} BETWEEN 1 AND 1023 THEN 'other-system' WHEN {port} BETWEEN 1024 AND 65535 THEN 'high-port' END"
+
 
+def _joined(items: str) -> str:
+    return f"coalesce(nullif(array_to_string({items}, ','), ''), 'none')"
 
-@query("device_profile_change")
+
+_SIGNATURES = f"""sigs AS (SELECT src_ip, bucket_ts, epoch_us(bucket_ts) // 1000000 AS sec, row_number() OVER (PARTITION BY src_ip ORDER BY bucket_ts) AS rn,
+    concat('protocols=', {_joined("list_transform(list_sort(list(DISTINCT protocol)), lambda x: CASE x WHEN 1 THEN 'icmp' WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' ELSE concat('ip-', x) END)")},
+      ' services=', {_joined(f"list_sort(list(DISTINCT {_service_sql('dst_port')}))")},
+      ' peers=', CASE WHEN count(DISTINCT dst_ip) <= 0 THEN '0' WHEN count(DISTINCT dst_ip) <= 4 THEN '1-4' WHEN count(DISTINCT dst_ip) <= 15 THEN '5-15' ELSE '16+' END) AS sig
+  FROM aday WHERE {_LOCAL_SRC} GROUP BY src_ip, bucket_ts)"""
+
+_PROFILE_WALK = """walk AS (
+  SELECT src_ip, rn, sec, bucket_ts, sig, CAST(NULL AS VARCHAR) AS usual, [sig] AS votes, CAST(NULL AS VARCHAR) AS old FROM sigs WHERE rn = 1
+  UNION ALL
+  SELECT src_ip, rn, sec, bucket_ts, sig, CASE WHEN was IS NOT NULL THEN sig WHEN len(heard) = 4 AND top.n <= -2 THEN top.x END,
+    CASE WHEN was IS NOT NULL OR len(heard) = 4 THEN CAST([] AS VARCHAR[]) ELSE heard END, CASE WHEN was <> sig THEN was END
+  FROM (SELECT *, list_sort(list_transform(list_distinct(heard), lambda x: {'n': -len(list_filter(heard, lambda y: y = x)), 'x': x}))[1] AS top
+    FROM (SELECT s.*, CASE WHEN s.sec - w.sec > 14 * 86400 THEN NULL ELSE w.usual END AS was,
+        list_append(CASE WHEN s.sec - w.sec > 14 * 86400 THEN CAST([] AS VARCHAR[]) ELSE w.votes END, s.sig) AS heard
+      FROM walk w JOIN sigs s ON s.src_ip = w.src_ip AND s.rn = w.rn + 1) a) b)"""
+
+_PROFILE_SQL = with_views(
+    "aday",
+    """SELECT src_ip AS ip, '' AS destination_ip, 'DEVICE_PROFILE_CHANGE' AS type, 'high' AS severity, 'active' AS status, bucket_ts AS created_at,
+  old AS old_profile, sig AS new_profile FROM walk WHERE old IS NOT NULL""",
+    _SIGNATURES, _PROFILE_WALK,
+)
+
+_PEER_SQL = with_views(
+    "aday",
+    """SELECT src_ip AS ip, hit AS destination_ip, 'NEW_INTERNAL_COMMUNICATION' AS type, 'medium' AS severity, 'active' AS status, bucket_ts AS created_at
+FROM met_peers WHERE hit IS NOT NULL""",
+    """wins AS (SELECT src_ip, bucket_ts, epoch_us(bucket_ts) // 1000000 AS sec, list_sort(list(DISTINCT dst_ip)) AS peers,
+    row_number() OVER (PARTITION BY src_ip ORDER BY bucket_ts) AS rn
+  FROM aday WHERE src_ip LIKE '192.168.%' AND dst_ip LIKE '192.168.%' AND src_ip <> dst_ip GROUP BY src_ip, bucket_ts)""",
+    """met_peers AS (
+  SELECT src_ip, rn, sec, bucket_ts, 1 AS seen, peers AS known, CAST(NULL AS VARCHAR) AS hit FROM wins WHERE rn = 1
+  UNION ALL
+  SELECT src_ip, rn, sec, bucket_ts, CAST(before + 1 AS INTEGER),
+    CASE WHEN before < 4 THEN list_distinct(list_concat(had, peers)) WHEN first IS NULL THEN had ELSE list_append(had, first) END,
+    CASE WHEN before >= 4 THEN first END
+  FROM (SELECT *, list_filter(peers, lambda x: NOT list_contains(had, x))[1] AS first
+    FROM (SELECT w.*, CASE WHEN w.sec - m.sec > 14 * 86400 THEN 0 ELSE m.seen END AS before,
+        CASE WHEN w.sec - m.sec > 14 * 86400 THEN CAST([] AS VARCHAR[]) ELSE m.known END AS had
+      FROM met_peers m JOIN wins w ON w.src_ip = m.src_ip AND w.rn = m.rn + 1) a) b)""",
+)
+
+
+@query("device_profile_change", _PROFILE_SQL)
 def _profiles(t: Tables):
     metrics = rollup.device_window_metrics(daily(t), P, with_profile=True)
-    return profiles.device_profile_change(metrics, P)
+    return _evidence(profiles.device_profile_change(metrics, P))
 
 
-@query("new_internal_communication")
+@query("new_internal_communication", _PEER_SQL)
 def _peers(t: Tables):
-    return profiles.new_internal_communication(daily(t), P)
+    return _evidence(profiles.new_internal_communication(daily(t), P))
 
 
-@query("detect_all")
+def _detect_sql() -> str:
+    """All detectors' own SQL over daily aggregates (the learned baselines stay those of the minutes)."""
+    by_day = [ORACLES[n].replace("date_trunc('minute', event_ts)", "date_trunc('day', event_ts)") for n in ("beaconing", "nighttime", "new_destination", "new_port")]
+    fanout = with_views(
+        "aday agg dev",
+        _fanout_sql(
+            "CASE WHEN b.ip IS NULL THEN 5 ELSE greatest(5, CAST(ceil(mean_peers + 1.5 * stddev_peers) AS BIGINT)) END",
+            "LEFT JOIN basel b ON m.src_ip = b.ip",
+        ),
+        _METRICS,
+        *BASE_PARTS,
+    )
+    parts = [ORACLES["traffic_spike"], fanout, _port_fanout_sql(3), _PROFILE_SQL, _PEER_SQL, *by_day]
+    return "\nUNION ALL\n".join(f"SELECT ip, destination_ip, type, severity, status, created_at FROM ({x}) p{i}" for i, x in enumerate(parts))
+
+
+@query("detect_all", _detect_sql())
 def _detect_all(t: Tables):
-    return detect_all(daily(t), baselines(t), P)
+    return _evidence(detect_all(daily(t), baselines(t), P))
 
 
 # --- cooldown and suppression ----------------------------------------------------------------------------------
@@ -535,6 +596,14 @@ _PLOG_REASON = rf"""plr AS (SELECT *, CASE WHEN op = 'delete' THEN NULL WHEN nam
     WHEN (quiet_hours_start = '') <> (quiet_hours_end = '') THEN 'quiet hours need both ends' END AS reject_reason FROM plog)"""
 
 
+# accepted entries: an id is there if the last insert or delete before says so, else if the table holds it
+_PLOG_DONE = """done AS (SELECT * FROM (SELECT *, (SELECT arg_max(y.op, (y.changed_at, y.op, y.name, y.scope, y.target)) FROM plr y
+      WHERE y.id = plr.id AND y.reject_reason IS NULL AND y.op <> 'update'
+        AND (y.changed_at, y.op, y.name, y.scope, y.target) < (plr.changed_at, plr.op, plr.name, plr.scope, plr.target)) AS before
+    FROM plr WHERE reject_reason IS NULL) z
+  WHERE op = 'insert' OR coalesce(before = 'insert', id IN (SELECT id FROM pol)))"""
+
+
 @query(
     "validate_policies",
     with_views("plog", "SELECT id, name, scope, target, reject_reason FROM plr WHERE reject_reason IS NOT NULL", _PLOG_REASON),
@@ -551,37 +620,45 @@ def _validate(t: Tables):
         """SELECT id, name, scope, target, severity_threshold, suppressed, cooldown_seconds, quiet_hours_start, quiet_hours_end FROM pol WHERE id NOT IN (SELECT id FROM fin)
 UNION ALL SELECT id, name, scope, target, severity_threshold, suppressed, cooldown_seconds, quiet_hours_start, quiet_hours_end FROM fin WHERE op <> 'delete'""",
         _PLOG_REASON,
-        "kn AS (SELECT id FROM pol UNION SELECT id FROM plr WHERE reject_reason IS NULL AND op = 'insert')",
-        """fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY changed_at DESC, op DESC) AS rn FROM plr
-  WHERE reject_reason IS NULL AND id IN (SELECT id FROM kn)) x WHERE rn = 1)""",
+        _PLOG_DONE,
+        """fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY changed_at DESC, op DESC, name DESC, scope DESC, target DESC) AS rn FROM done) x
+  WHERE rn = 1)""",
     ),
 )
 def _rule_changes(t: Tables):
-    table = t.policies.withColumn("id", F.col("id").cast("long"))
-    return changes.apply_rule_changes(table, t.policy_log, policies.validate_policies)[0]
+    return changes.apply_rule_changes(_policy_table(t), t.policy_log, policies.validate_policies)[0]
 
 
-_AUDIT = """aud AS (SELECT changed_at AS timestamp, 'update_device_label' AS action, concat('Updated device ', ip, ' label to "', label, '"') AS details FROM llog
-  UNION ALL SELECT changed_at, 'update_anomaly_status', concat('Updated anomaly ID ', anomaly_id, ' status to "', status, '"') FROM slog
-  UNION ALL SELECT changed_at, CASE WHEN op = 'delete' THEN 'delete_policy' ELSE 'save_policy' END, concat('id ', id, ', name ', name, ', scope ', scope, ', target ', target) FROM plog)"""
+def _policy_table(t: Tables):
+    return t.policies.withColumn("id", F.col("id").cast("long"))
+
+
+_AUDIT = f"""{_PLOG_REASON}, {_PLOG_DONE},
+ aud AS (SELECT changed_at AS timestamp, 'update_device_label' AS action, concat('label of ', ip, ' is now "', label, '"') AS details
+    FROM llog WHERE ip IN (SELECT ip FROM dev)
+  UNION ALL SELECT changed_at, 'update_anomaly_status', concat('alert ', anomaly_id, ' is now "', status, '"')
+    FROM slog WHERE status IN ('active', 'acknowledged', 'silenced') AND anomaly_id IN (SELECT id FROM anom)
+  UNION ALL SELECT changed_at, CASE WHEN op = 'delete' THEN 'delete_policy' ELSE 'save_policy' END, concat('id ', id, ', name ', name, ', scope ', scope, ', target ', target) FROM done)"""
 
 
 def _audit(t: Tables):
     return changes.audit_log(
-        changes.audit_labels(t.label_log),
-        changes.audit_status(t.status_log),
-        changes.audit_rule_changes(t.policy_log, "policy"),
+        changes.audit_labels(changes.accepted(devices.judged_labels(t.devices, t.label_log))),
+        changes.audit_status(changes.accepted(alerts.judged_status(t.anomalies, t.status_log))),
+        changes.audit_rule_changes(
+            changes.accepted(changes.judged_changes(_policy_table(t), t.policy_log, policies.validate_policies)), "policy"
+        ),
     )
 
 
-@query("audit_log", with_views("llog slog plog", "SELECT * FROM aud", _AUDIT))
+@query("audit_log", with_views("llog slog plog dev anom pol", "SELECT * FROM aud", _AUDIT))
 def _audit_log(t: Tables):
     return _audit(t)
 
 
 @query(
     "list_audit",
-    with_views("llog slog plog", "SELECT * FROM aud ORDER BY timestamp DESC, action, details LIMIT 50", _AUDIT),
+    with_views("llog slog plog dev anom pol", "SELECT * FROM aud ORDER BY timestamp DESC, action, details LIMIT 50", _AUDIT),
 )
 def _list_audit(t: Tables):
     return changes.list_audit(_audit(t))
@@ -590,14 +667,14 @@ def _list_audit(t: Tables):
 @query(
     "search_audit",
     with_views(
-        "llog slog plog",
-        """SELECT * FROM aud WHERE (contains(lower(action), 'policy') OR contains(lower(details), 'policy')) AND (contains(lower(action), 'subnet') OR contains(lower(details), 'subnet'))
-ORDER BY timestamp DESC, action, details LIMIT 25 OFFSET 50""",
+        "llog slog plog dev anom pol",
+        """SELECT * FROM aud WHERE timestamp < TIMESTAMP '2024-01-20' AND (contains(lower(action), 'policy') OR contains(lower(details), 'policy')) AND (contains(lower(action), 'subnet') OR contains(lower(details), 'subnet'))
+ORDER BY timestamp DESC, action, details LIMIT 25""",
         _AUDIT,
     ),
 )
 def _search_audit(t: Tables):
-    return changes.search_audit(_audit(t), "Policy subnet", page=2, size=25)
+    return changes.search_audit(_audit(t), "Policy subnet", after=(F.to_timestamp(F.lit("2024-01-20")), "", ""), size=25)
 
 
 # --- risk -------------------------------------------------------------------------------------------------------------

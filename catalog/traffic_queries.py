@@ -68,7 +68,7 @@ def _quality(t: Tables):
 
 
 _SERIES = f"""ser AS (SELECT make_timestamp((epoch_us(event_ts) // 15000000) * 15000000) AS sample_ts, {_QUALITY}
-  FROM dec GROUP BY ALL ORDER BY sample_ts DESC LIMIT 240)"""
+  FROM dec GROUP BY ALL)"""
 
 
 @query("ingest_quality_series", with_views("dec", "SELECT * FROM ser ORDER BY sample_ts", _SERIES))
@@ -405,11 +405,11 @@ def _heatmap(t: Tables):
         "SELECT concat(split_part(ip,'.',1),'.',split_part(ip,'.',2),'.',split_part(ip,'.',3),'.0/24') AS subnet, "
         + ", ".join(f"CAST(coalesce(sum(bytes) FILTER (hour = {h}), 0) AS BIGINT) AS h{h:02d}" for h in range(24))
         + " FROM heat GROUP BY 1",
-        _BOTH, _VOLUMES, _TOPDEV, _HEAT,
+        _BOTH, f"heat AS (SELECT ip, hour(bucket_ts) AS hour, {SUMS} FROM both_sides WHERE {RANGE} GROUP BY ALL)",
     ),
 )
 def _subnet_activity(t: Tables):
-    return traffic.subnet_activity(traffic.activity_heatmap(aggregates(t), t.devices, START, END, 20))
+    return traffic.subnet_activity(traffic.activity_cells(aggregates(t), START, END))
 
 
 _PEERS = "peers AS (SELECT src_ip AS ip, dst_ip AS key, bytes, packets, flows, bucket_ts FROM agg UNION ALL SELECT dst_ip, src_ip, bytes, packets, flows, bucket_ts FROM agg)"
@@ -502,7 +502,7 @@ FROM (SELECT *, CASE key WHEN '1' THEN 'ICMP' WHEN '6' THEN 'TCP' WHEN '17' THEN
     ),
 )
 def _share(t: Tables):
-    found = traffic.share(traffic.top_protocols(aggregates(t), START, END))
+    found = traffic.share(traffic.totals_by(aggregates(t), "protocol", START, END))
     return found.withColumn("percent", F.round("percent", 4)).withColumn(
         "protocol_label", labels.protocol_name(F.col("key"))
     )
@@ -513,12 +513,12 @@ def _share(t: Tables):
     with_views(
         "agg",
         "SELECT key, bytes, packets, flows, round(bytes * 100.0 / (SELECT max(bytes) FROM hit), 4)::DOUBLE AS percent FROM hit",
-        f"tt AS (SELECT src_ip AS key, {SUMS} FROM agg WHERE {RANGE} GROUP BY 1 ORDER BY bytes DESC, key LIMIT 100)",
+        f"tt AS (SELECT src_ip AS key, {SUMS} FROM agg WHERE {RANGE} GROUP BY 1)",
         "hit AS (SELECT * FROM tt WHERE contains(key, '168.10.1'))",
     ),
 )
 def _search_top(t: Tables):
-    found = traffic.search_top(traffic.top_sources(aggregates(t), START, END, 100), "168.10.1")
+    found = traffic.search_top(traffic.totals_by(aggregates(t), "src_ip", START, END), "168.10.1")
     return found.withColumn("percent", F.round("percent", 4))
 
 
@@ -668,8 +668,8 @@ def _discover(t: Tables):
   coalesce(first_seen, TIMESTAMP '2024-01-30 23:59:59') AS first_seen, CASE WHEN b.ip IS NULL THEN last_seen ELSE TIMESTAMP '2024-01-30 23:59:59' END AS last_seen
 FROM dev d FULL JOIN busy b ON d.ip = b.ip""",
         """busy AS (SELECT DISTINCT ip FROM (
-  (SELECT src_ip AS ip, sum(bytes) AS b FROM agg WHERE bucket_ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '2024-01-30 23:59:59' GROUP BY 1 ORDER BY b DESC, ip LIMIT 1000)
-  UNION ALL (SELECT dst_ip AS ip, sum(bytes) AS b FROM agg WHERE bucket_ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '2024-01-30 23:59:59' GROUP BY 1 ORDER BY b DESC, ip LIMIT 1000)) u
+  SELECT src_ip AS ip FROM agg WHERE bucket_ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '2024-01-30 23:59:59'
+  UNION ALL SELECT dst_ip FROM agg WHERE bucket_ts BETWEEN TIMESTAMP '2024-01-29 23:59:59' AND TIMESTAMP '2024-01-30 23:59:59') u
   WHERE ip LIKE '192.168.%')""",
     ),
 )

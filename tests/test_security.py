@@ -250,11 +250,27 @@ def test_status_labels_and_rule_changes(spark):
     after, bad = changes.apply_rule_changes(table, log, policies.validate_policies)
     assert {r.id: r.cooldown_seconds for r in after.collect()} == {1: 5, 3: 0}
     assert sorted(r.id for r in bad.collect()) == [4, 5]
-    audit = changes.audit_log(changes.audit_rule_changes(log, "policy"), changes.audit_labels(labels.limit(1)))
-    assert audit.count() == 6
+    done = changes.accepted(changes.judged_changes(table, log, policies.validate_policies))
+    named = changes.accepted(devices.judged_labels(d, labels))
+    audit = changes.audit_log(changes.audit_rule_changes(done, "policy"), changes.audit_labels(named))
+    assert audit.count() == 4
     assert changes.search_audit(audit, "delete POLICY").count() == 1
-    assert changes.search_audit(audit, "", page=1, size=4).count() == 2
-    assert changes.list_audit(audit, 3).count() == 3
+    first = changes.search_audit(audit, size=3).collect()
+    rest = changes.search_audit(audit, after=tuple(first[-1]), size=3).collect()
+    assert first + rest == changes.list_audit(audit, 300).collect() and len(rest) == 1
+
+
+def test_change_log_is_taken_in_order(spark):
+    cols = schemas.POLICIES + ", op string, changed_at timestamp"
+    table = policy_table(spark, policy(1, "global"), policy(2, "global"))
+    log = spark.createDataFrame(
+        [(*policy(1, "global"), "delete", hours(9)), (*policy(1, "global", cooldown=7), "update", hours(8)),
+         (*policy(3, "global"), "update", hours(9)), (*policy(3, "global", cooldown=1), "insert", hours(8)),
+         (*policy(3, "global", cooldown=2), "update", hours(7)), (*policy(4, "global"), "delete", hours(5)),
+         (*policy(2, "global"), "delete", hours(9)), (*policy(2, "global", cooldown=3), "insert", hours(8))], cols)
+    after, bad = changes.apply_rule_changes(table, log, policies.validate_policies)
+    assert {r.id: r.cooldown_seconds for r in after.collect()} == {2: 3, 3: 2}
+    assert sorted((r.id, r.op) for r in bad.collect()) == [(1, "update"), (3, "update"), (4, "delete")]
 
 
 def test_devices(spark):

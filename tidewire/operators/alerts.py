@@ -59,7 +59,7 @@ def dedup_alerts(
 
 
 def list_anomalies(anomalies: DataFrame, k: int = 50) -> DataFrame:
-    return anomalies.orderBy(F.desc("created_at"), F.desc("id")).limit(min(k, 200))
+    return anomalies.orderBy(F.desc("created_at"), F.desc("id")).limit(k)
 
 
 def active_anomalies(anomalies: DataFrame, since: datetime | str | Column) -> DataFrame:
@@ -131,19 +131,21 @@ def enrich_alerts(anomalies: DataFrame, devices: DataFrame) -> DataFrame:
     )
 
 
-def apply_status(anomalies: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alerts with their latest status, rejected log rows with a reason).
-
-    ``log`` is (anomaly_id, status, changed_at).
-    """
-    known = log.join(
+def judged_status(anomalies: DataFrame, log: DataFrame) -> DataFrame:
+    """``log`` (anomaly_id, status, changed_at) with ``reject_reason``, null where the change is accepted."""
+    return log.join(
         anomalies.select(F.col("id").alias("anomaly_id"), F.lit(True).alias("_known")), "anomaly_id", "left"
     ).withColumn(
         "reject_reason",
         F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "unknown status").when(
             F.col("_known").isNull(), "anomaly not found"
         ),
-    )
+    ).drop("_known")
+
+
+def apply_status(anomalies: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alerts with their latest status, rejected log rows with a reason)."""
+    known = judged_status(anomalies, log)
     latest = (
         known.filter("reject_reason is null")
         .groupBy(F.col("anomaly_id").alias("id"))
@@ -155,4 +157,4 @@ def apply_status(anomalies: DataFrame, log: DataFrame) -> tuple[DataFrame, DataF
         .withColumn("updated_at", F.coalesce("s.changed_at", "updated_at"))
         .drop("s")
     )
-    return merged, known.filter("reject_reason is not null").drop("_known")
+    return merged, known.filter("reject_reason is not null")

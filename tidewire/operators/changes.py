@@ -12,39 +12,51 @@ from tidewire.operators.alerts import matches_tokens
 Validator = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def apply_rule_changes(
-    table: DataFrame, log: DataFrame, validate: Validator
-) -> tuple[DataFrame, DataFrame]:
-    """(table after the log, rejected log rows).
+def judged_changes(table: DataFrame, log: DataFrame, validate: Validator) -> DataFrame:
+    """``log`` with ``reject_reason``, null where the change is accepted.
 
-    ``log`` is the table's columns plus ``op`` (insert, update, delete) and
-    ``changed_at``.  Invalid rows and updates of unknown ids are rejected; of
-    the rest the latest per id wins.
+    ``log`` is the table's columns plus ``op`` (insert, update, delete) and ``changed_at``.  Entries of an id are taken
+    in the order of time and op: an id is there after a valid insert and gone after a delete, at first as the table
+    says; updates and deletes of an absent id are rejected, and so are invalid rows.
     """
     deletes = log.filter(F.col("op") == "delete")
     valid, invalid = validate(log.filter(F.col("op") != "delete"))
-    inserted = valid.filter(F.col("op") == "insert").select("id")
-    known = table.select("id").union(inserted).distinct().withColumn("_known", F.lit(True))
+    known = table.select("id", F.lit(True).alias("_stored")).distinct()
+    ties = [c for c in ("name", "scope", "target") if c in log.columns]
+    earlier = Window.partitionBy("id").orderBy("changed_at", "op", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    effect = F.when(F.col("op") == "insert", True).when(F.col("op") == "delete", False)
     checked = valid.unionByName(deletes).join(known, "id", "left")
-    missing = checked.filter("_known is null").drop("_known").withColumn(
-        "reject_reason", F.lit("id not found")
-    )
-    newest = Window.partitionBy("id").orderBy(F.desc("changed_at"), F.desc("op"))
+    there = F.coalesce(F.last(effect, ignorenulls=True).over(earlier), F.col("_stored"), F.lit(False))
+    missing = (F.col("op") != "insert") & ~there
+    checked = checked.withColumn("reject_reason", F.when(missing, "id not found")).drop("_stored")
+    return checked.unionByName(invalid.select(*checked.columns))
+
+
+def apply_rule_changes(
+    table: DataFrame, log: DataFrame, validate: Validator
+) -> tuple[DataFrame, DataFrame]:
+    """(table after the log, rejected log rows): the last accepted entry of an id decides."""
+    judged = judged_changes(table, log, validate)
+    ties = [F.desc(c) for c in ("name", "scope", "target") if c in log.columns]
+    newest = Window.partitionBy("id").orderBy(F.desc("changed_at"), F.desc("op"), *ties)
     latest = (
-        checked.filter("_known is not null")
-        .drop("_known")
+        judged.filter("reject_reason is null")
         .withColumn("_n", F.row_number().over(newest))
         .filter("_n = 1")
-        .drop("_n")
+        .drop("_n", "reject_reason")
     )
     untouched = table.join(latest.select("id"), "id", "left_anti")
     changed = latest.filter(F.col("op") != "delete").select(*table.columns)
     return (
         untouched.select(*table.columns).unionByName(changed),
-        invalid.unionByName(missing, allowMissingColumns=True),
+        judged.filter("reject_reason is not null"),
     )
 
 
+def accepted(judged: DataFrame) -> DataFrame:
+    return judged.filter("reject_reason is null").drop("reject_reason")
+
+
 def _entry(log: DataFrame, action: Column, details: Column) -> DataFrame:
     return log.select(F.col("changed_at").alias("timestamp"), action.alias("action"), details.alias("details"))
 
@@ -53,7 +65,7 @@ def audit_labels(log: DataFrame) -> DataFrame:
     return _entry(
         log,
         F.lit("update_device_label"),
-        F.format_string('Updated device %s label to "%s"', "ip", "label"),
+        F.format_string('label of %s is now "%s"', "ip", "label"),
     )
 
 
@@ -61,7 +73,7 @@ def audit_status(log: DataFrame) -> DataFrame:
     return _entry(
         log,
         F.lit("update_anomaly_status"),
-        F.format_string('Updated anomaly ID %d status to "%s"', "anomaly_id", "status"),
+        F.format_string('alert %d is now "%s"', "anomaly_id", "status"),
     )
 
 
@@ -79,7 +91,7 @@ def audit_rule_changes(log: DataFrame, kind: str) -> DataFrame:
 
 
 def audit_log(*parts: DataFrame) -> DataFrame:
-    """One audit row per accepted change."""
+    """One audit row per change; the parts come from ``accepted`` changes."""
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
@@ -91,10 +103,18 @@ def _newest_first(audit: DataFrame) -> DataFrame:
 
 
 def list_audit(audit: DataFrame, k: int = 50) -> DataFrame:
-    return _newest_first(audit).limit(min(k, 100))
+    return _newest_first(audit).limit(k)
+
 
+def search_audit(audit: DataFrame, q: str = "", after: tuple | None = None, size: int = 25) -> DataFrame:
+    """One page of matching audit rows, newest first.
 
-def search_audit(audit: DataFrame, q: str = "", page: int = 0, size: int = 25) -> DataFrame:
-    """One page of matching audit rows, newest first."""
+    ``after`` is (timestamp, action, details) of the last row of the page before; so a page costs its own size, not
+    that of all pages before it.
+    """
     found = audit.filter(matches_tokens(q, ["action", "details"]))
-    return _newest_first(found).offset(page * size).limit(size)
+    if after is not None:
+        at, action, details = (F.lit(x) if not isinstance(x, Column) else x for x in after)
+        later = (F.col("action") > action) | ((F.col("action") == action) & (F.col("details") > details))
+        found = found.filter((F.col("timestamp") < at) | ((F.col("timestamp") == at) & later))
+    return _newest_first(found).limit(size)

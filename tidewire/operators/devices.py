@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import ip
-from tidewire.functions.times import instant
+from tidewire.functions.times import in_range, instant
 from tidewire.operators.alerts import matches_tokens
-from tidewire.operators.traffic import top_destinations, top_sources
 
 MAX_LABEL = 100
 
@@ -60,36 +59,31 @@ def discover_devices(
 
 
 def reconcile_devices(
-    aggregates: DataFrame, devices: DataFrame, cidrs: Sequence[str], now: datetime, candidates: int = 1000
+    aggregates: DataFrame, devices: DataFrame, cidrs: Sequence[str], now: datetime
 ) -> DataFrame:
-    """Register local addresses among the busiest sources and destinations of the last day."""
-    start = now - timedelta(hours=24)
+    """Register every local source and destination of the last day."""
+    seen = in_range(aggregates, now - timedelta(hours=24), now).select(F.explode(F.array("src_ip", "dst_ip")).alias("ip"))
     busy = (
-        top_sources(aggregates, start, now, candidates)
-        .select("key")
-        .union(top_destinations(aggregates, start, now, candidates).select("key"))
+        seen.filter(ip.is_local("ip", cidrs))
         .distinct()
-        .filter(ip.is_local("key", cidrs))
-        .select(
-            F.col("key").alias("ip"),
-            instant(now).alias("first_seen"),
-            instant(now).alias("last_seen"),
-        )
+        .select("ip", instant(now).alias("first_seen"), instant(now).alias("last_seen"))
     )
     return merge_devices(devices, busy)
 
 
-def apply_labels(devices: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(devices with their latest label, rejected log rows with a reason).
-
-    ``log`` is (ip, label, changed_at).
-    """
-    known = log.join(devices.select("ip", F.lit(True).alias("_known")), "ip", "left").withColumn(
+def judged_labels(devices: DataFrame, log: DataFrame) -> DataFrame:
+    """``log`` (ip, label, changed_at) with ``reject_reason``, null where the change is accepted."""
+    return log.join(devices.select("ip", F.lit(True).alias("_known")), "ip", "left").withColumn(
         "reject_reason",
         F.when(~ip.is_ip("ip"), "not an address")
         .when(F.octet_length("label") > MAX_LABEL, "label is too long")
         .when(F.col("_known").isNull(), "device not found"),
-    )
+    ).drop("_known")
+
+
+def apply_labels(devices: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(devices with their latest label, rejected log rows with a reason)."""
+    known = judged_labels(devices, log)
     latest = (
         known.filter("reject_reason is null")
         .groupBy("ip")
@@ -100,7 +94,7 @@ def apply_labels(devices: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFra
         .withColumn("label", F.coalesce("n.label", "label"))
         .drop("n")
     )
-    return merged, known.filter("reject_reason is not null").drop("_known")
+    return merged, known.filter("reject_reason is not null")
 
 
 def list_devices(devices: DataFrame) -> DataFrame:

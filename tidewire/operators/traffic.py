@@ -153,28 +153,28 @@ def device_timeseries(
     return traffic_timeseries(mine, start, end, bucket_seconds)
 
 
+def activity_cells(aggregates: DataFrame, start, end) -> DataFrame:
+    """Totals per (address, UTC hour of day), each row counted on both sides."""
+    hour = F.floor(F.pmod(epoch("bucket_ts"), F.lit(86400)) / 3600).cast("int")
+    return _either_side(aggregates, start, end, "bucket_ts").groupBy("ip", hour.alias("hour")).agg(*_sums())
+
+
 def activity_heatmap(
     aggregates: DataFrame, devices: DataFrame, start, end, k: int = 20
 ) -> DataFrame:
     """(device, UTC hour of day) totals of the k busiest devices.
 
     The busiest devices are ranked from the cells, so both parts share one
-    shuffle.  Only the k ranked addresses are broadcast.
+    shuffle.
     """
-    hour = F.floor(F.pmod(epoch("bucket_ts"), F.lit(86400)) / 3600).cast("int")
-    cells = (
-        _either_side(aggregates, start, end, "bucket_ts")
-        .groupBy("ip", hour.alias("hour"))
-        .agg(*_sums())
-    )
+    cells = activity_cells(aggregates, start, end)
     volumes = cells.groupBy(F.col("ip").alias("key")).agg(*_sums())
-    top = top_k(only_known_devices(volumes, devices), min(k, 20))
-    return heatmap_top(cells, top).orderBy("ip", "hour")
+    return heatmap_top(cells, top_k(only_known_devices(volumes, devices), k)).orderBy("ip", "hour")
 
 
 def heatmap_top(cells: DataFrame, top: DataFrame) -> DataFrame:
-    """Cells of the ranked devices; ``top`` is a top-k result, so it is small by construction."""
-    return cells.join(F.broadcast(top.select(F.col("key").alias("ip"))), "ip", "left_semi")
+    """Cells of the ranked devices."""
+    return cells.join(top.select(F.col("key").alias("ip")), "ip", "left_semi")
 
 
 # --- search --------------------------------------------------------------------
@@ -196,7 +196,7 @@ def search_flows(
     """Aggregate rows whose source or destination matches every token.
 
     Tokens are LIKE patterns, so ``%`` and ``_`` act as wildcards.  Protocol or
-    port zero means any.  A limit outside 1..500 falls back to 100.
+    port zero means any.
     """
     rows = in_range(aggregates, start, end)
     for token in tokens(q):
@@ -206,7 +206,6 @@ def search_flows(
         rows = rows.filter(F.col("protocol") == protocol)
     if dst_port > 0:
         rows = rows.filter(F.col("dst_port") == dst_port)
-    limit = limit if 0 < limit <= 500 else 100
     ties = ["src_ip", "dst_ip", "dst_port", "protocol", "collector_kind", "collector_id"]
     return rows.orderBy(F.desc("bucket_ts"), F.desc("bytes"), *ties).limit(limit)
 

@@ -7,7 +7,6 @@ documented behaviour if they are exactly these.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
 
 # --- fixed values: enumerations -------------------------------------------
 COLLECTOR_KINDS = ("netflow", "sflow", "pcap", "suricata", "unifi_syslog", "snmp")
@@ -134,32 +133,10 @@ class Params:
 
 
 # --- query parameters, checked before a plan is built -----------------------
-DEFAULT_LIMIT, MAX_LIMIT = 10, 100
-MAX_RANGE = timedelta(days=7)
 BUCKET_SECONDS = (60, 300, 900, 3600)
 RETENTION_DAYS = (1, 60)
 
 
-def check_window(
-    end: datetime, start: datetime | None = None, max_range: timedelta | None = MAX_RANGE
-) -> tuple[datetime, datetime]:
-    """(start, end) with a one hour default and the range bound."""
-    start = start or end - timedelta(hours=1)
-    if start > end:
-        raise ValueError("start is after end")
-    if max_range is not None and end - start > max_range:
-        raise ValueError(f"range is longer than {max_range}")
-    return start, end
-
-
-def check_limit(limit: int | None = None, default: int = DEFAULT_LIMIT, cap: int = MAX_LIMIT) -> int:
-    if limit is None:
-        return default
-    if limit <= 0:
-        raise ValueError("limit must be positive")
-    return min(limit, cap)
-
-
 def check_bucket(seconds: int | None = None) -> int:
     seconds = 300 if seconds is None else seconds
     if seconds not in BUCKET_SECONDS:

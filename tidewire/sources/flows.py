@@ -57,18 +57,20 @@ def ingest_quality(
 def ingest_quality_series(
     decoded: DataFrame,
     seconds: int = 15,
-    keep: int = 240,
+    keep: int | None = None,
     ts: str = "event_ts",
     valid: str = VALID_ADDRESSES,
     decode_error: str = "false",
 ) -> DataFrame:
-    """Counts per sample period: the newest ``keep`` samples, oldest first."""
+    """Counts per sample period, oldest first; ``keep`` asks for the newest samples only."""
     samples = (
         decoded.groupBy(F.window(ts, f"{seconds} seconds").alias("w"))
         .agg(*_quality(valid, decode_error))
         .select(F.col("w.start").alias("sample_ts"), "received", "rejected", "decode_errors")
     )
-    return samples.orderBy(F.desc("sample_ts")).limit(keep).orderBy("sample_ts")
+    if keep is not None:
+        samples = samples.orderBy(F.desc("sample_ts")).limit(keep)
+    return samples.orderBy("sample_ts")
 
 
 def ingest_loss(samples: DataFrame) -> DataFrame:

@@ -13,8 +13,6 @@ from tidewire.functions.ip import in_cidr, is_ip
 from tidewire.functions.times import instant
 
 # --- fixed values -----------------------------------------------------------------
-MAX_LINE_BYTES = 4096
-MAX_ALLOWED_SENDERS = 32
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 # first match wins; the severity rule of Critical sits between Updates and Devices
@@ -34,10 +32,8 @@ CRITICAL_MAX_SEVERITY = 2
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 PARSED = ("timestamp", "host", "app_name", "proc_id", "msg_id", "facility", "severity", "message")
 
-IP_TOKEN = (
-    r"(?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
-    r"|(?:[0-9a-fA-F]{1,4}:[0-9a-fA-F:]+)|(?:::[0-9a-fA-F:]+)"
-)
+# a token starts where an address may start: the first token that is an address decides which one is found
+IP_TOKEN = r"(?:[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})|(?:[0-9a-fA-F]{1,4}:[0-9a-fA-F:]+)|(?:::[0-9a-fA-F:]+)"
 
 
 def _strip(c: Column) -> Column:
@@ -117,17 +113,24 @@ def _rfc3164_time(stamp: Column, now: Column) -> Column:
 
 
 def parse_syslog(
-    lines: DataFrame, now: datetime | str | Column, text: str = "value"
+    lines: DataFrame, now: datetime | str | Column, text: str = "value", max_bytes: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(parsed messages, rejects with a reason) of RFC5424 and RFC3164 lines."""
-    tagged = _parse(lines, instant(now), text)
+    """(parsed messages, rejects with a reason) of RFC5424 and RFC3164 lines.
+
+    Both parts come from ``tagged_syslog``; a caller that needs both should store that and filter it.
+    """
+    tagged = tagged_syslog(lines, now, text, max_bytes)
     return (
         tagged.filter("reject_reason is null").drop("reject_reason", text),
         tagged.filter("reject_reason is not null").select(*lines.columns, "reject_reason"),
     )
 
 
-def _parse(lines: DataFrame, now: Column, text: str) -> DataFrame:
+def tagged_syslog(
+    lines: DataFrame, now: datetime | str | Column, text: str = "value", max_bytes: int | None = None
+) -> DataFrame:
+    """Every line with its parts and ``reject_reason``; lines over ``max_bytes`` are rejected only where it is given."""
+    now = instant(now)
     raw = F.coalesce(F.col(text), F.lit(""))
     d = once(lines, _line=F.regexp_replace(raw, r"[\x00\r\n]+$", ""))
     number = F.regexp_extract("_line", r"^<([+-]?[0-9]+)>", 1)
@@ -157,7 +160,7 @@ def _parse(lines: DataFrame, now: Column, text: str) -> DataFrame:
     size = F.octet_length(raw)
     reason = (
         F.when(size == 0, "empty message")
-        .when(size > MAX_LINE_BYTES, "message exceeds size limit")
+        .when(F.lit(max_bytes is not None) & (size > F.lit(max_bytes or 0)), "message exceeds size limit")
         .when(~F.col("_line").rlike(r"\S"), "blank message")
         .when(~F.col("_line").startswith("<"), "priority missing")
         .when(~F.col("_shaped").between(1, 3), "invalid priority prefix")
@@ -224,8 +227,6 @@ def filter_allowed_senders(
 ) -> DataFrame:
     """Keep rows of listed senders; an empty list allows everyone."""
     entries = [e.strip() for e in allowlist if e.strip()]
-    if len(entries) > MAX_ALLOWED_SENDERS:
-        raise ValueError(f"at most {MAX_ALLOWED_SENDERS} allowed senders")
     if not entries:
         return df
     cidrs = [e if "/" in e else f"{e}/{128 if ':' in e else 32}" for e in entries]
