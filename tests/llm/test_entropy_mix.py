@@ -38,7 +38,8 @@ def test_targets_and_taken_words(spark, seed):
         assert r["target"] == pytest.approx(want[r["source"]], rel=1e-9)
         taken[r["source"]] = taken.get(r["source"], 0) + r["copies"] * (r["size"] or 0)
     for s, n in sizes.items():
-        assert abs(taken[s] - want[s]) <= 3, (s, taken[s], want[s])
+        # whole copies of sizes 1, 3, 50 ... leave a few words where the small documents are used up
+        assert abs(taken[s] - want[s]) <= max(3, 1e-3 * want[s]), (s, taken[s], want[s])
 
 
 def test_rates_are_tilted_in_size_and_reruns_agree(spark):

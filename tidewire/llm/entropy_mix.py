@@ -7,7 +7,7 @@ the source's documents.  Documents of one source and size share a rate, so the s
 counted before the shuffle; a source that owns a third of all rows has as many cells as it has distinct sizes.
 
 Rates become whole copies per cell by differences of rounded running totals; what is left of the target is then
-filled or taken back by whole copies of the largest size that fits, a few times.  Inside a cell, documents in hash
+filled or taken back by whole copies of the largest size that fits (or one that comes nearer), a few times.  Inside a cell, documents in hash
 order get the copies that the cell has beyond an equal share.
 """
 
@@ -53,13 +53,14 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
 
 def _rates(cells: DataFrame, cap: float, steps: int) -> DataFrame:
     """Newton on the dual, source by source, over cells that stay where the first window put them."""
-    source = Window.partitionBy(*_KEY)
+    # in the order of sizes, so that sums, and with them reruns, agree to the last bit
+    source = Window.partitionBy(*_KEY).orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     t0 = F.lit(0.0) if cap <= 1 else F.log(F.lit(1.0 / (cap - 1.0)))
-    ratio = F.col("target") / (F.col("source_size") * F.lit(float(cap)))
+    ratio = F.try_divide(F.col("target"), F.col("source_size") * F.lit(float(cap)))
     inner = (F.col("source_size") > 0) & (ratio > 0) & (ratio < 1)
     kept = [c for c in cells.columns]
-    out = cells.withColumn("x", F.col("size") * F.col("docs_of_source") / F.col("source_size"))
-    out = out.withColumn("lam", F.when(inner, F.log(ratio / (1 - ratio)) - t0).otherwise(F.lit(0.0)))
+    out = cells.withColumn("x", F.try_divide(F.col("size") * F.col("docs_of_source"), F.col("source_size")))
+    out = out.withColumn("lam", F.when(inner, F.log(F.try_divide(ratio, 1 - ratio)) - t0).otherwise(F.lit(0.0)))
     for _ in range(steps):
         odds = F.lit(1.0) / (1 + F.exp(-(t0 + F.col("lam") * F.col("x"))))
         out = out.withColumn("p", odds)
@@ -86,8 +87,11 @@ def _whole_copies(cells: DataFrame, cap: int, fixes: int) -> DataFrame:
         out = out.withColumn("rest", F.round(F.col("target") - F.sum(F.col("m") * F.col("size")).over(source)).cast("long"))
         room = F.when(F.col("rest") >= 0, F.col("n") * cap - F.col("m")).otherwise(F.col("m"))
         fits = (room > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs("rest"))
-        out = out.withColumn("pick", F.max(F.when(fits, F.col("size"))).over(source))
-        change = F.least(room, F.expr("abs(rest) div size")) * F.signum(F.col("rest")).cast("long")
+        nearer = (room > 0) & (F.col("size") > F.abs("rest")) & (F.col("size") < 2 * F.abs("rest"))
+        below, above = F.max(F.when(fits, F.col("size"))).over(source), F.min(F.when(nearer, F.col("size"))).over(source)
+        out = out.withColumn("pick", F.coalesce(below, above))
+        times = F.greatest(F.lit(1), F.expr("abs(rest) div nullif(size, 0)"))
+        change = F.least(room, times) * F.signum(F.col("rest")).cast("long")
         out = out.withColumn("m", F.when(F.col("size") == F.col("pick"), F.col("m") + change).otherwise(F.col("m")).cast("long"))
         out = out.select(*kept, "m")
     return out
