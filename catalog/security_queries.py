@@ -392,9 +392,9 @@ def _greedy(keys: str, slots: str, gap: str) -> tuple[str, str, str]:
     same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
     return (
         slots,
-        f"""nxt AS (SELECT a.*, (SELECT min(b.sec) FROM slots b WHERE {same} AND b.sec >= a.sec + {gap}) AS nx FROM slots a)""",
-        f"""chain AS (SELECT {keys}, min(sec) AS sec FROM slots GROUP BY {keys}
-  UNION ALL SELECT {', '.join('b.' + k for k in keys.split(', '))}, b.nx FROM chain a JOIN nxt b ON {same} AND a.sec = b.sec WHERE b.nx IS NOT NULL)""",
+        f"""nxt AS (SELECT a.*, (SELECT min(b.us) FROM slots b WHERE {same} AND b.us >= a.us + {gap}) AS nx FROM slots a)""",
+        f"""chain AS (SELECT {keys}, min(us) AS us FROM slots GROUP BY {keys}
+  UNION ALL SELECT {', '.join('b.' + k for k in keys.split(', '))}, b.nx FROM chain a JOIN nxt b ON {same} AND a.us = b.us WHERE b.nx IS NOT NULL)""",
     )
 
 
@@ -402,12 +402,12 @@ def _greedy(keys: str, slots: str, gap: str) -> tuple[str, str, str]:
     "dedup_alerts",
     with_views(
         "anom",
-        """SELECT c.ip, c.type, make_timestamp(c.sec * 1000000) AS created_at, s.c.destination_ip AS destination_ip, s.c.severity AS severity, s.c.description AS description
-FROM chain c JOIN slots s ON c.ip = s.ip AND c.type = s.type AND c.sec = s.sec""",
+        """SELECT c.ip, c.type, make_timestamp(c.us) AS created_at, s.c.destination_ip AS destination_ip, s.c.severity AS severity, s.c.description AS description
+FROM chain c JOIN slots s ON c.ip = s.ip AND c.type = s.type AND c.us = s.us""",
         *_greedy(
             "ip, type",
-            "slots AS (SELECT ip, type, epoch_us(created_at) // 1000000 AS sec, min({'destination_ip': destination_ip, 'severity': severity, 'description': description}) AS c FROM anom GROUP BY ALL)",
-            "432000",
+            "slots AS (SELECT ip, type, epoch_us(created_at) AS us, min({'destination_ip': destination_ip, 'severity': severity, 'description': description}) AS c FROM anom GROUP BY ALL)",
+            "432000000000",
         ),
     ),
 )
@@ -419,11 +419,11 @@ def _dedup(t: Tables):
     "dedup_sources",
     with_views(
         "f",
-        "SELECT ip, make_timestamp(sec * 1000000) AS created_at FROM chain",
+        "SELECT ip, make_timestamp(us) AS created_at FROM chain",
         *_greedy(
             "ip",
-            "slots AS (SELECT DISTINCT src_ip AS ip, epoch_us(event_ts) // 1000000 AS sec FROM f WHERE src_ip LIKE '192.168.%')",
-            "86400",
+            "slots AS (SELECT DISTINCT src_ip AS ip, epoch_us(event_ts) AS us FROM f WHERE src_ip LIKE '192.168.%')",
+            "86400000000",
         ),
     ),
 )
@@ -935,11 +935,11 @@ FROM (SELECT id, rule_id, unnest(channel_targets) AS ch, created_at FROM rmatch
         "cooled AS (SELECT * FROM rmatch WHERE cooldown_seconds > 0 AND (list_contains(channel_targets, 'slack') OR list_contains(channel_targets, 'webhook')))",
         *_greedy(
             "rule_id, ip, type",
-            "slots AS (SELECT rule_id, ip, type, cooldown_seconds, epoch_us(created_at) // 1000000 AS sec, min(id) AS first_id FROM cooled GROUP BY ALL)",
-            "a.cooldown_seconds + 1",
+            "slots AS (SELECT rule_id, ip, type, cooldown_seconds, epoch_us(created_at) AS us, min(id) AS first_id FROM cooled GROUP BY ALL)",
+            "CAST(a.cooldown_seconds AS BIGINT) * 1000000 + 1",
         ),
         """lim AS (SELECT c.*, k.first_id IS NOT NULL AS first_one FROM cooled c LEFT JOIN
-  (SELECT s.rule_id, s.first_id FROM chain h JOIN slots s ON h.rule_id = s.rule_id AND h.ip = s.ip AND h.type = s.type AND h.sec = s.sec) k
+  (SELECT s.rule_id, s.first_id FROM chain h JOIN slots s ON h.rule_id = s.rule_id AND h.ip = s.ip AND h.type = s.type AND h.us = s.us) k
   ON c.rule_id = k.rule_id AND c.id = k.first_id)""",
     ),
 )

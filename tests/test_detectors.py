@@ -287,8 +287,9 @@ def test_dedup_is_greedy(spark):
     for key in range(4):
         t = 0
         for _ in range(200):
-            t += rng.randrange(1, 400)
-            rows.append((f"10.0.0.{key}", "T", "", "low", "d", T0 + timedelta(seconds=t)))
+            t += rng.choice([rng.uniform(0, 400), rng.uniform(0, 2), 1500 * (key > 1)])
+            rows.append((f"10.0.0.{key}" if key else None, "T", "", "low", "d", T0 + timedelta(seconds=t)))
+    rows += [("x", "T", "", "low", "d", T0 + timedelta(seconds=s)) for s in (0.8, 900.0, 900.8)]
     df = spark.createDataFrame(
         rows, "ip string, type string, destination_ip string, severity string, description string, created_at timestamp"
     )

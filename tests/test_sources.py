@@ -49,9 +49,9 @@ def test_rfc3164(spark):
     assert (tagged.app_name, tagged.proc_id, tagged.message) == ("ntpd", "77", "offset 12 ms")
     assert tagged.timestamp == datetime(2026, 3, 9, 23, 59, 59)
     assert (plain.facility, plain.severity, plain.app_name, plain.message) == (23, 7, "", "plain words")
-    # day 31 exists in some month, so it rolls over; 29 February does not exist in the current year
-    assert (rolled.timestamp, rolled.message) == (datetime(2026, 5, 1, 1), "step")
-    assert len(bad) == 1
+    # 29 February exists in leap years only and rolls over in this one; 31 April never exists
+    assert (rolled.timestamp, rolled.message) == (datetime(2026, 3, 1, 1), "leap")
+    assert [b.reject_reason for b in bad] == ["invalid RFC3164 timestamp"]
 
 
 REJECTED = {

@@ -3,6 +3,7 @@ import random
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire import schemas
@@ -57,8 +58,8 @@ def test_rollup_parity_and_replay(spark, tmp_path):
     stream = files(spark, tmp_path, rows, schemas.FLOW_EVENTS)
     path = str(tmp_path / "agg")
     seen = []
-    jobs.start_rollup(stream, path, str(tmp_path / "cp"), "1 hour", then=lambda b, i: seen.append(i), once=True).awaitTermination()
-    batch = rollup.minute_rollup(spark.createDataFrame(rows, schemas.FLOW_EVENTS)).filter(F.col("bucket_ts") < FAR.replace(hour=0))
+    jobs.start_rollup(stream, path, str(tmp_path / "cp"), then=lambda b, i: seen.append(i), once=True).awaitTermination()
+    batch = rollup.minute_rollup(spark.createDataFrame(rows, schemas.FLOW_EVENTS))
     cols = list(schemas.AGGREGATE_KEY) + ["bytes", "packets", "flows"]
     want = sorted(map(tuple, batch.select(*cols).collect()))
     got = sorted(map(tuple, store.read_aggregates(spark, path).select(*cols).collect()))
@@ -67,26 +68,66 @@ def test_rollup_parity_and_replay(spark, tmp_path):
     again = spark.createDataFrame([r for r in rows if r[0] < FAR], schemas.FLOW_EVENTS)
     store.write_aggregates(rollup.minute_rollup(again), path, "extra")
     store.write_aggregates(rollup.minute_rollup(again), path, "extra")
-    total = store.read_aggregates(spark, path).agg(F.sum("bytes")).first()[0]
-    assert total == 2 * sum(r[6] for r in rows if r[0] < FAR)
-    before = store.read_aggregates(spark, path).count()
+
+    def total():
+        return store.read_aggregates(spark, path).filter(F.col("bucket_ts") < FAR.replace(hour=0)).agg(F.sum("bytes")).first()[0]
+
+    assert total() == 2 * sum(r[6] for r in rows if r[0] < FAR)
+    keys = store.read_aggregates(spark, path, T0, T0 + timedelta(days=1)).count()
     store.compact(spark, path, T0, T0)
-    assert store.read_aggregates(spark, path, merge=False).count() == before
-    assert store.read_aggregates(spark, path).agg(F.sum("bytes")).first()[0] == total
+    assert store.read_aggregates(spark, path, T0, T0 + timedelta(days=1), merge=False).count() == keys
+    assert total() == 2 * sum(r[6] for r in rows if r[0] < FAR)
     plan = store.read_aggregates(spark, path, T0, T0, merge=False)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket_date" in plan
-    assert store.drop_expired(spark, path, T0 + timedelta(days=30), 7) == 1
+    assert store.drop_expired(spark, path, FAR + timedelta(days=30), 7) == 2
     assert store.read_aggregates(spark, path).count() == 0
 
 
-def test_late_rows_join_their_minute(spark, tmp_path):
-    rows = [flow(T0, "a", "b"), flow(T0 + timedelta(seconds=90), "a", "b"), flow(T0 + timedelta(seconds=20), "a", "b"), flow(FAR, "x", "y")]
-    folder = str(tmp_path / "in")
-    for r in rows:
-        spark.createDataFrame([r], schemas.FLOW_EVENTS).write.mode("append").parquet(folder)
-    stream = jobs.stream_rollup(sources.flow_stream(spark, folder, max_files=1), "2 minutes")
-    got = {r.bucket_ts: r.flows for r in drain(spark, stream, tmp_path).collect()}
-    assert got == {T0: 2, T0 + timedelta(minutes=1): 1}
+def test_compaction_may_stop_anywhere(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "agg")
+    rows = rollup.minute_rollup(spark.createDataFrame([flow(T0, f"10.0.0.{i}", "b") for i in range(10)], schemas.FLOW_EVENTS))
+    store.write_aggregates(rows, path, "one")
+    store.write_aggregates(rows, path, "two")
+
+    def flows():
+        return store.read_aggregates(spark, path).agg(F.sum("flows")).first()[0]
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_put", stop)  # the base is written, its commit is not
+        with pytest.raises(RuntimeError):
+            store.compact(spark, path, T0, T0)
+    assert flows() == 20
+    real = store.write_aggregates
+
+    def and_a_late_delta(*args):
+        real(*args)
+        real(rows, path, "three")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "write_aggregates", and_a_late_delta)
+        store.compact(spark, path, T0, T0)
+    assert flows() == 30  # committed; replaced deltas still lie there, the late one counts
+    store.compact(spark, path, T0, T0)
+    assert flows() == 30
+    store.compact(spark, path, T0, T0)
+    assert flows() == 30
+    left = [n for n in os.listdir(f"{path}/bucket_date={T0:%Y-%m-%d}") if n.startswith("delta=")]
+    assert len(left) == 2 and all(n.startswith("delta=base-") for n in left)
+
+
+def test_two_streams_and_very_late_rows(spark, tmp_path):
+    path = str(tmp_path / "agg")
+    for name, rows in (("a", [flow(T0, "a", "b")] * 5), ("b", [flow(T0, "c", "d")] * 6 + [flow(T0 - timedelta(days=1), "c", "d")])):
+        (tmp_path / name).mkdir()
+        stream = files(spark, tmp_path / name, rows, schemas.FLOW_EVENTS, parts=2)
+        jobs.start_rollup(stream, path, str(tmp_path / name / "cp"), once=True).awaitTermination()
+    got = store.read_aggregates(spark, path)
+    assert got.agg(F.sum("flows")).first()[0] == 12 and got.filter(F.col("bucket_ts") < T0).count() == 1
+    written = [f for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(written) <= 5
 
 
 def test_flood_parity(spark, tmp_path):
@@ -192,11 +233,11 @@ def test_detection_callback(spark, tmp_path):
     base = spark.createDataFrame([("192.168.1.2", 10.0, 1.0, 1.0, 0.0, 1.0, 0.0, 9)], schemas.BASELINES)
     callback = jobs.detection_callback(spark, path, lambda: base, out, p)
     sink = jobs.aggregate_sink(path, callback)
-    batch = rollup.minute_rollup(spark.createDataFrame(new, schemas.FLOW_EVENTS))
+    batch = spark.createDataFrame(new, schemas.FLOW_EVENTS)
     sink(batch, 7)
     sink(batch, 7)
     got = sorted((r.type, r.destination_ip) for r in spark.read.parquet(out).collect())
     assert got == [("NEW_DESTINATION", "203.0.113.2"), ("NEW_PORT", "203.0.113.2"), ("TRAFFIC_SPIKE", "")]
     devices = spark.createDataFrame([("192.168.1.2", "", "", "", T0, T0)], schemas.DEVICES)
-    fresh = jobs.refresh_baselines(spark, path, devices, base, T0 + timedelta(hours=1)).first()
+    fresh = jobs.refresh_baselines(spark, path, devices, base, T0 + timedelta(hours=1), str(tmp_path / "base")).first()
     assert fresh.samples == 6 and fresh.mean_peers == 1.0

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import ip
 from tidewire.functions.labels import identity, display_name, type_listed
-from tidewire.functions.times import epoch, instant
-from tidewire.operators.ordered import cooldown_step, fold
+from tidewire.functions.times import instant
+from tidewire.operators.ordered import keep_spaced
 from tidewire.operators.traffic import tokens
 from tidewire.params import STATUSES, Params
 
@@ -40,19 +40,16 @@ def dedup_alerts(
 ) -> DataFrame:
     """Greedy cooldown per key: keep an alert once the last kept one is old enough.
 
-    Cooldowns run in whole seconds.  Alerts of one key and second collapse to
-    the smallest carried values before the ordered pass.
+    Times count in microseconds.  Alerts of one key and instant collapse to the smallest carried values.
     """
     keys, carry = list(keys), list(carry)
-    slots = (
-        alerts.groupBy(*keys, epoch("created_at").alias("at"))
+    instants = (
+        alerts.groupBy(*keys, F.unix_micros("created_at").alias("us"))
         .agg(F.min(F.struct(*carry)).alias("c"))
-        .select(*keys, "at", *[F.col(f"c.{c}").alias(c) for c in carry])
+        .select(*keys, "us", *[F.col(f"c.{c}").alias(c) for c in carry])
     )
-    types = dict(slots.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "at", *carry]).replace("`", "")
-    kept = fold(slots, keys, ["at"], cooldown_step(cooldown_seconds, [*keys, "at", *carry]), schema)
-    return kept.withColumn("created_at", F.timestamp_seconds("at")).drop("at")
+    kept = keep_spaced(instants, keys, F.lit(cooldown_seconds * 1_000_000))
+    return kept.withColumn("created_at", F.timestamp_micros("us")).drop("us")
 
 
 # --- lists -------------------------------------------------------------------------------

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidewire.functions import ip
 from tidewire.functions.barrier import once
 from tidewire.functions.labels import identity, known_channel, severity_rank, type_listed
-from tidewire.functions.times import epoch, instant
-from tidewire.operators.ordered import cooldown_step, fold, one_value
+from tidewire.functions.times import instant
+from tidewire.operators.ordered import keep_spaced, one_value
 from tidewire.operators.scopes import network_keys, network_lengths, network_rule_key
 from tidewire.params import CHANNELS
 
@@ -128,19 +128,14 @@ def _log_rows(df: DataFrame, rule: Column, actions: Column) -> DataFrame:
 def _passing(matched: DataFrame) -> DataFrame:
     """(rule_id, id) of the rows that pass their rule's cooldown.
 
-    A row is held back while less or equal ``cooldown_seconds`` have passed
-    since the last dispatch of the rule for that device and type.  The ordered
-    pass runs on one row per second.
+    A row is held back while at most ``cooldown_seconds`` have passed, to the microsecond, since the last dispatch of
+    the rule for that device and type.
     """
     key = ["rule_id", "ip", "type"]
-    slots = matched.groupBy(*key, "cooldown_seconds", epoch("created_at").alias("at")).agg(
-        F.min("id").alias("first_id")
+    instants = matched.groupBy(*key, F.unix_micros("created_at").alias("us")).agg(
+        F.min("id").alias("id"), F.max("cooldown_seconds").alias("cooldown_seconds")
     )
-
-    def step(last, row):
-        return cooldown_step(row["cooldown_seconds"] + 1, ["rule_id", "first_id"])(last, row)
-
-    return fold(slots, key, ["at"], step, "rule_id bigint, id bigint")
+    return keep_spaced(instants, key, F.col("cooldown_seconds").cast("long") * 1_000_000 + 1).select("rule_id", "id")
 
 
 def route_notifications(

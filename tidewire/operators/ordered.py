@@ -75,31 +75,64 @@ def cooldown_step(seconds: int, emit: list[str], ts: str = "at") -> Step:
     return step
 
 
-def with_previous(
-    df: DataFrame, keys: list[str], ts: str, tie: str, out: str, slot_seconds: int = 3600
+def with_last(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, slot: Column, past: bool = False
 ) -> DataFrame:
-    """Add the time of the previous row of the same key.
+    """Add the last non-null ``value`` of the same key up to each row (``past``: before it).
 
-    A plain ``lag`` would sort a hot key in one task.  Instead the window runs
-    per key and time slot, and the first row of a slot takes the maximum of the
-    nearest earlier slot, which is a small aggregate.
+    A plain window would sort a hot key in one task.  Instead the window runs per key and time slot (``slot``, whole
+    numbers that ascend with the order), and what a slot starts with comes from a small aggregate of earlier slots.
     """
-    slotted = df.withColumn("_slot", F.floor(epoch(ts) / slot_seconds))
-    inside = Window.partitionBy(*keys, "_slot").orderBy(ts, tie)
-    slots = slotted.groupBy(*keys, "_slot").agg(F.max(ts).alias("_slot_max"))
-    earlier = slots.select(
-        *keys,
-        "_slot",
-        F.lag("_slot_max").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_before"),
-    )
+    slotted = df.withColumn("_slot", slot).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if past else 0)
+    ends = slotted.filter("_value is not null").groupBy(*keys, "_slot").agg(F.max_by("_value", F.struct(*order)).alias("_end"))
+    slots = slotted.select(*keys, "_slot").distinct().join(ends, [*keys, "_slot"], "left")
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = slots.select(*keys, "_slot", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
     return (
-        slotted.withColumn("_inside", F.lag(ts).over(inside))
-        .join(earlier, [*keys, "_slot"], "left")
+        slotted.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+        .join(before, [*keys, "_slot"], "left")
         .withColumn(out, F.coalesce("_inside", "_before"))
-        .drop("_slot", "_inside", "_before")
+        .drop("_slot", "_value", "_inside", "_before")
     )
 
 
+def with_previous(
+    df: DataFrame, keys: list[str], ts: str, tie: str, out: str, slot_seconds: int = 3600
+) -> DataFrame:
+    """Add the time of the previous row of the same key."""
+    slot = F.floor(epoch(ts) / slot_seconds)
+    return with_last(df, keys, [ts, tie], F.col(ts), out, slot, past=True)
+
+
+def keep_spaced(rows: DataFrame, keys: list[str], gap: Column, slot_seconds: int = 3600) -> DataFrame:
+    """Greedy cooldown: the rows that pass once the last kept one of their key is ``gap`` microseconds old.
+
+    ``rows`` has one row per key and instant ``us``; ``gap`` depends on the key alone.  A pause of ``gap`` starts an
+    island, whose first row always passes while the rest of its first ``gap`` never does; only what islands hold
+    beyond that goes through the ordered pass, keys and times alone, island by island.  Null keys are keys like others.
+    """
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    safe = [*named.values()]
+    marked = rows.withColumns({n: F.struct(F.col(k)).cast("string") for k, n in named.items()})
+    times = marked.select(*safe, "us", gap.cast("long").alias("_gap"))
+    slot = F.expr(f"us div {slot_seconds * 1_000_000}")
+    placed = with_last(times, safe, ["us"], F.col("us"), "_previous", slot, past=True)
+    first = F.col("_previous").isNull() | (F.col("us") - F.col("_previous") >= F.col("_gap"))
+    placed = with_last(placed.withColumn("_first", first), safe, ["us"], F.when(F.col("_first"), F.col("us")), "_island", slot)
+    late = placed.filter(F.col("us") - F.col("_island") >= F.col("_gap")).select(*safe, "_island", "us", "_gap")
+
+    def step(last: int | None, row: dict) -> tuple[int, list[tuple]]:
+        last = row["_island"] if last is None else last
+        if row["us"] - last < row["_gap"]:
+            return last, []
+        return row["us"], [(*(row[k] for k in safe), row["us"])]
+
+    schema = ", ".join(f"{c} string" for c in safe) + ", us bigint"
+    kept = placed.filter("_first").select(*safe, "us").unionByName(fold(late, [*safe, "_island"], ["us"], step, schema))
+    return marked.join(kept, [*safe, "us"]).select(*rows.columns)
+
+
 def one_value(df: DataFrame, value: Column) -> Column:
     """A global aggregate as an uncorrelated scalar subquery, not a join or a window."""
     return df.agg(value).scalar()

@@ -1,15 +1,19 @@
 """The aggregate table on disk.
 
-Layout: ``<path>/bucket_date=.../delta=<id>/*.parquet``.  A write only replaces
-its own delta of the dates it touches, so replaying a batch with the same id
-leaves the table unchanged and no writer rewrites older rows.  Readers prune by
-date; a read that needs one row per key merges the deltas, and ``compact``
-folds them into one.
+Layout: ``<path>/bucket_date=.../delta=<id>/*.parquet``.  A write only replaces its own delta of the dates it touches,
+so replaying a batch with the same id leaves the table unchanged and no writer rewrites older rows.  Readers prune by
+date; a read that needs one row per key merges the deltas.
+
+``compact`` folds deltas into a new base and then commits a list of what the base replaces (``<path>/_commits``).
+Readers skip replaced deltas and bases without a commit, so they see either the deltas or the base, whenever the job
+stops; deltas that arrive meanwhile are on no list.  Replaced files go at the next run, when no reader plans with them.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
+import uuid
+from collections.abc import Iterable, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +24,9 @@ from tidewire.functions.labels import normalize_collector_id, normalize_collecto
 from tidewire.functions.times import in_range, instant
 from tidewire.params import UNKNOWN, check_retention
 
-BASE = "base"
+BASE = "base-"
+COMMITS = "_commits"
+ROWS_PER_FILE = 1_000_000
 
 
 def merge_key(rows: DataFrame) -> DataFrame:
@@ -31,13 +37,12 @@ def merge_key(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_aggregates(rows: DataFrame, path: str, batch_id: str) -> None:
-    """Add rows as one delta; the same ``batch_id`` again replaces it."""
+def write_aggregates(rows: DataFrame, path: str, batch_id: str, files: int = 1) -> None:
+    """Add rows as one delta of ``files`` files a date; the same ``batch_id`` again replaces it."""
     (
         merge_key(rows)
         .withColumn("delta", F.lit(batch_id))
-        # one shuffle by date and source keeps files few and clusters sources for pruning
-        .repartition("bucket_date", "src_ip")
+        .repartition(files, "bucket_date", F.pmod(F.xxhash64("src_ip"), F.lit(files)))
         .sortWithinPartitions("bucket_date", "src_ip", "bucket_ts")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -46,47 +51,111 @@ def write_aggregates(rows: DataFrame, path: str, batch_id: str) -> None:
     )
 
 
+def files_for(rows: DataFrame) -> int:
+    """Files for a stored or persisted frame, by its number of rows."""
+    return max(1, -(-rows.count() // ROWS_PER_FILE))
+
+
 def read_aggregates(
     spark: SparkSession, path: str, start=None, end=None, merge: bool = True
 ) -> DataFrame:
     """Rows of a range.  Sums and distinct counts do not need ``merge``."""
-    rows = spark.read.schema(schemas.FLOW_AGGREGATES + ", delta string").parquet(path)
+    rows = visible(spark.read.schema(schemas.FLOW_AGGREGATES + ", delta string").parquet(path), path)
     if start is not None:
         rows = in_range(rows, start, end)
     rows = rows.drop("delta")
     return merge_key(rows) if merge else rows
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local session gets its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(folder)
+def _fs(spark: SparkSession, folder: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    fs, target = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def _put(spark: SparkSession, file: str, text: str) -> None:
+    """Whole or not at all: written aside, then renamed."""
+    fs, aside = _fs(spark, file + ".tmp")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(aside, _fs(spark, file)[1]):
+        raise OSError(f"{file} exists already")
+
+
+def _commits(spark: SparkSession, path: str) -> dict[str, list[list[str]]]:
+    """Base name to the (date, delta) pairs that it replaces and that may still lie there."""
+    names = _children(spark, f"{path}/{COMMITS}")
+    done = {n.removesuffix(".done") for n in names if n.endswith(".done")}
+    found = {}
+    for name in (n for n in names if n.endswith(".json")):
+        base = name.removesuffix(".json")
+        fs, file = _fs(spark, f"{path}/{COMMITS}/{name}")
+        stream = fs.open(file)
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        found[base] = [] if base in done else json.loads(text)
+    return found
+
+
+def visible(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of deltas that no committed base replaces, and of committed bases."""
+    commits = _commits(rows.sparkSession, path)
+    seen = ~F.col("delta").startswith(BASE) | F.col("delta").isin(*commits) if commits else ~F.col("delta").startswith(BASE)
+    for day, deltas in _by_date(pair for pairs in commits.values() for pair in pairs).items():
+        seen = seen & ~((F.col("bucket_date") == F.lit(day).cast("date")) & F.col("delta").isin(*deltas))
+    return rows.filter(seen)
+
+
+def _by_date(pairs: Iterable[Sequence[str]]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for day, delta in pairs:
+        out.setdefault(day, []).append(delta)
+    return out
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Remove what commits of earlier runs replaced, and bases that were never committed."""
+    commits = _commits(spark, path)
+    for base, pairs in commits.items():
+        for day, delta in pairs:
+            fs, folder = _fs(spark, f"{path}/bucket_date={day}/delta={delta}")
+            fs.delete(folder, True)
+        if pairs:
+            _put(spark, f"{path}/{COMMITS}/{base}.done", "")
+    for day in (n for n in _children(spark, path) if n.startswith("bucket_date=")):
+        _drop_children(spark, f"{path}/{day}", lambda n: n.startswith(f"delta={BASE}") and n.removeprefix("delta=") not in commits)
 
 
 def compact(spark: SparkSession, path: str, start: datetime, end: datetime) -> None:
-    """Fold the deltas of whole dates into one; run it for dates that get no more writes."""
-    ensure_checkpoint_dir(spark)
-    dates = F.col("bucket_date").between(instant(start).cast("date"), instant(end).cast("date"))
-    stored = spark.read.schema(schemas.FLOW_AGGREGATES + ", delta string").parquet(path)
-    # a durable copy first: the write below replaces what this plan reads
-    merged = merge_key(stored.filter(dates)).checkpoint()
-    touched = [r[0] for r in merged.select("bucket_date").distinct().collect()]
-    write_aggregates(merged, path, BASE)
-    for day in touched:
-        _drop_children(spark, f"{path}/bucket_date={day}", lambda name: name != f"delta={BASE}")
+    """Fold the deltas of whole dates into one base.  One compaction runs at a time; writers and readers may go on."""
+    _sweep(spark, path)
+    low, high = (t.date().isoformat() for t in (start, end))
+    days = [n.removeprefix("bucket_date=") for n in _children(spark, path) if n.startswith("bucket_date=")]
+    pairs = [
+        (day, name.removeprefix("delta="))
+        for day in days if low <= day <= high
+        for name in _children(spark, f"{path}/bucket_date={day}") if name.startswith("delta=")
+    ]
+    if not pairs:
+        return
+    base = BASE + uuid.uuid4().hex
+    listed = F.lit(False)
+    for day, deltas in _by_date(pairs).items():
+        listed = listed | ((F.col("bucket_date") == F.lit(day).cast("date")) & F.col("delta").isin(*deltas))
+    rows = spark.read.schema(schemas.FLOW_AGGREGATES + ", delta string").parquet(path).filter(listed)
+    write_aggregates(rows, path, base, files_for(rows))
+    fs, folder = _fs(spark, f"{path}/{COMMITS}")
+    fs.mkdirs(folder)
+    _put(spark, f"{path}/{COMMITS}/{base}.json", json.dumps(pairs))
 
 
 def _drop_children(spark: SparkSession, folder: str, condition) -> int:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(folder)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, target = _fs(spark, folder)
     if not fs.exists(target):
         return 0
     dropped = 0

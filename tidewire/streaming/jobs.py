@@ -18,21 +18,22 @@ from tidewire.sources.packets import TUPLE
 TRIGGER = "15 seconds"
 
 
-def stream_rollup(flows: DataFrame, delay: str = "2 minutes", seconds: int = 60) -> DataFrame:
-    """Minute rollup; rows later than the delay are dropped, earlier late rows join their minute."""
-    return rollup.minute_rollup(flows.withWatermark("event_ts", delay), seconds)
+def _query_of(batch: DataFrame) -> str:
+    """Id of the stream that the calling thread runs for; it lives as long as the stream's checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
 
 
-def aggregate_sink(path: str, then: Callable[[DataFrame, int], None] | None = None):
-    """``foreachBatch`` function: store the batch as its own delta, then run a callback.
+def aggregate_sink(path: str, then: Callable[[DataFrame, int], None] | None = None, seconds: int = 60):
+    """``foreachBatch`` function over flows: roll the batch up, store it as a delta of its own, then run a callback.
 
-    The delta is named after the batch, so a replayed batch replaces itself.
+    The sums of a batch are partial: rows of a minute may come in any later batch, however late, and add up on read.
+    Streams and batches name the delta, so a replayed batch replaces itself and no two streams meet.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+    def write(flows: DataFrame, batch_id: int) -> None:
+        batch = rollup.minute_rollup(flows, seconds).persist()
         try:
-            store.write_aggregates(batch, path, f"b{batch_id}")
+            store.write_aggregates(batch, path, f"{_query_of(flows)}-{batch_id}", store.files_for(batch))
             if then is not None:
                 then(batch, batch_id)
         finally:
@@ -41,12 +42,11 @@ def aggregate_sink(path: str, then: Callable[[DataFrame, int], None] | None = No
     return write
 
 
-def start_rollup(flows: DataFrame, path: str, checkpoint: str, delay: str = "2 minutes", then=None, once: bool = False):
+def start_rollup(flows: DataFrame, path: str, checkpoint: str, then=None, once: bool = False, seconds: int = 60):
     writer = (
-        stream_rollup(flows, delay)
-        .writeStream.outputMode("append")
+        flows.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(aggregate_sink(path, then))
+        .foreachBatch(aggregate_sink(path, then, seconds))
     )
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=TRIGGER).start()
 
@@ -90,7 +90,7 @@ def detection_callback(
         )
         kept = alerts.suppress_types_and_subnets(candidates, params)
         (
-            kept.withColumn("batch", F.lit(batch_id))
+            kept.withColumn("batch", F.lit(f"{_query_of(batch)}-{batch_id}"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch")
@@ -134,10 +134,17 @@ def packet_slot_stream(packets: DataFrame, delay: str = "5 seconds") -> DataFram
 
 
 def refresh_baselines(
-    spark: SparkSession, path: str, devices: DataFrame, old: DataFrame, now: datetime, params: Params = Params()
+    spark: SparkSession, path: str, devices: DataFrame, old: DataFrame, now: datetime, out: str, params: Params = Params()
 ) -> DataFrame:
-    """Hourly job: learn from the last week and keep old values where samples are few."""
+    """Hourly job: learn from the last week, keep old values where samples are few, and write the table.
+
+    Every run writes a folder of its own under ``out``, named by its time, so readers of the last one are not
+    disturbed and a repeated run replaces itself.
+    """
     recent = store.read_aggregates(spark, path, now - timedelta(days=7), now, merge=False)
     samples = baseline.baseline_samples(recent, now - timedelta(days=7), now)
-    return baseline.merge_baselines(old, baseline.device_baselines(samples, devices, params))
+    merged = baseline.merge_baselines(old, baseline.device_baselines(samples, devices, params))
+    folder = f"{out}/at={now:%Y%m%dT%H%M%S}"
+    merged.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(merged.schema).parquet(folder)
 
