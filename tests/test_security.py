@@ -302,3 +302,15 @@ def test_device_profile(spark, one):
         other = got["192.168.1.20"]
         assert (other.risk_level, other.risk_score, other.applied_policies) == ("low", 0, ["p1"])
     assert F is not None
+
+
+def test_global_rules_are_met_under_many_keys(spark):
+    from tidewire.operators.scopes import SALTS, global_key, global_keys
+
+    rows = spark.range(5000).select(global_key("id").alias("k"))
+    assert rows.distinct().count() == SALTS
+    assert {r.k for r in rows.collect()} == set(spark.range(1).select(global_keys().alias("g")).first().g)
+    a = anomalies(spark, *[anomaly(i, age=i) for i in range(40)])
+    pols = policy_table(spark, policy(1, "global"), policy(2, "global"), policy(3, "alert_type", "nothing"))
+    assert policies.match_policies(a, pols).count() == 80
+    assert {r.policy_id for r in policies.policy_match(a, pols).collect()} == {2}

@@ -13,7 +13,7 @@ from tidewire.functions.barrier import once
 from tidewire.functions.labels import identity, known_channel, severity_rank, type_listed
 from tidewire.functions.times import instant
 from tidewire.operators.ordered import keep_spaced, one_value
-from tidewire.operators.scopes import network_keys, network_lengths, network_rule_key
+from tidewire.operators.scopes import global_key, global_keys, network_keys, network_lengths, network_rule_key
 from tidewire.params import CHANNELS
 
 
@@ -54,10 +54,9 @@ def match_rules(anomalies: DataFrame, rules: DataFrame, critical_rank: int = 0)
     enabled = rules.filter("enabled")
     scope, target = F.col("scope"), F.coalesce("target", F.lit(""))
     rule_scope = (
-        F.when((scope == "global") | (target == ""), "g")
-        .when(scope == "ip", F.concat(F.lit("ip:"), target))
-        .when(scope == "subnet", network_rule_key(target))
-        .otherwise("g")
+        F.when((scope == "ip") & (target != ""), F.array(F.concat(F.lit("ip:"), target)))
+        .when((scope == "subnet") & (target != ""), F.array_compact(F.array(network_rule_key(target))))
+        .otherwise(global_keys())
     )
     listed = F.coalesce("alert_types", F.array().cast("array<string>"))
     types = F.when(F.size(listed) == 0, F.array(F.lit("*"))).otherwise(
@@ -69,11 +68,11 @@ def match_rules(anomalies: DataFrame, rules: DataFrame, critical_rank: int = 0)
         "severity_min",
         "cooldown_seconds",
         "channel_targets",
-        rule_scope.alias("_scope"),
-        F.explode(types).alias("_type"),
-    ).filter("_scope is not null")
+        F.explode(rule_scope).alias("_scope"),
+        types.alias("_types"),
+    ).withColumn("_type", F.explode("_types")).drop("_types")
     scopes = F.concat(
-        F.array(F.lit("g"), F.concat(F.lit("ip:"), F.col("ip"))),
+        F.array(global_key("id"), F.concat(F.lit("ip:"), F.col("ip"))),
         network_keys(F.col("_hex"), F.col("_len")),
     )
     keys = (

@@ -9,7 +9,7 @@ from tidewire.functions import ip
 from tidewire.functions.labels import severity_rank
 from tidewire.functions.times import HHMM, in_quiet_hours
 from tidewire.operators.ordered import with_previous
-from tidewire.operators.scopes import network_keys, network_lengths, network_rule_key
+from tidewire.operators.scopes import global_key, global_keys, network_keys, network_lengths, network_rule_key
 
 # fixed values: a narrower scope wins
 SCOPE_PRIORITY = {"ip": 4, "subnet": 3, "alert_type": 2, "global": 1}
@@ -44,14 +44,15 @@ def validate_policies(policies: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _policy_key() -> Column:
+def _policy_keys(exact_ip: Column | None = None) -> Column:
+    """Keys of a policy, none for one that can match nothing."""
     scope, target = F.col("scope"), F.col("target")
-    return (
-        F.when(scope == "global", "g")
-        .when(scope == "ip", F.concat(F.lit("ip:"), ip.ip_hex(target)))
+    one = (
+        F.when(scope == "ip", F.concat(F.lit("ip:"), ip.ip_hex(target) if exact_ip is None else exact_ip))
         .when(scope == "subnet", network_rule_key(target))
         .when(scope == "alert_type", F.concat(F.lit("type:"), target))
     )
+    return F.when(scope == "global", global_keys()).otherwise(F.array_compact(F.array(one)))
 
 
 def _alert_keys(anomalies: DataFrame, policies: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def _alert_keys(anomalies: DataFrame, policies: DataFrame) -> DataFrame:
     )
     named = F.array_compact(
         F.array(
-            F.lit("g"),
+            global_key("id"),
             F.concat(F.lit("type:"), F.col("type")),
             F.concat(F.lit("ip:"), F.col("_src")),
             F.concat(F.lit("ip:"), F.col("_dst")),
@@ -80,10 +81,10 @@ def _alert_keys(anomalies: DataFrame, policies: DataFrame) -> DataFrame:
 
 def match_policies(anomalies: DataFrame, policies: DataFrame) -> DataFrame:
     """(anomaly id, policy columns) for every matching pair."""
-    keyed = policies.withColumnRenamed("id", "policy_id").withColumn("_key", _policy_key())
+    keyed = policies.withColumnRenamed("id", "policy_id").withColumn("_key", F.explode(_policy_keys()))
     return (
         _alert_keys(anomalies, policies)
-        .join(keyed.filter("_key is not null"), "_key")
+        .join(keyed, "_key")
         .drop("_key")
         .withColumnRenamed("id", "anomaly_id")
     )
@@ -106,8 +107,7 @@ def policy_match(anomalies: DataFrame, policies: DataFrame) -> DataFrame:
         *payload,
     )
     newest = (
-        policies.withColumn("_key", _policy_key())
-        .filter("_key is not null")
+        policies.withColumn("_key", F.explode(_policy_keys()))
         .groupBy("_key")
         .agg(F.max(ranked).alias("p"))
     )
@@ -138,13 +138,12 @@ def policies_for_ip(policies: DataFrame, address: str) -> DataFrame:
 
 def device_policies(devices: DataFrame, policies: DataFrame) -> DataFrame:
     """The same for every device at once: (ip, policy id, scope, name)."""
-    key = F.when(F.col("scope") == "ip", F.concat(F.lit("ip:"), F.col("target"))).otherwise(_policy_key())
     keyed = policies.filter(F.col("scope").isin("global", "ip", "subnet")).select(
-        key.alias("_key"), F.col("id").alias("policy_id"), "scope", "name"
+        F.explode(_policy_keys(F.col("target"))).alias("_key"), F.col("id").alias("policy_id"), "scope", "name"
     )
     rows = devices.select("ip", ip.ip_hex("ip").alias("_hex"), network_lengths(policies).alias("_len"))
     keys = F.concat(
-        F.array(F.lit("g"), F.concat(F.lit("ip:"), F.col("ip"))),
+        F.array(global_key("ip"), F.concat(F.lit("ip:"), F.col("ip"))),
         network_keys(F.col("_hex"), F.col("_len")),
     )
     return rows.select("ip", F.explode(keys).alias("_key")).join(keyed, "_key").drop("_key")

@@ -1,11 +1,12 @@
 """Matching addresses against tables of scoped rules with equi-joins only.
 
-A rule becomes one text key (``g``, ``ip:<hex>``, ``net:<network key>``,
-``type:<name>``) and a row becomes the few keys it can match: one per scope,
-plus one per network prefix length that the rule table really uses.  However
-many rules there are, the match is a hash or sort-merge join on that key; the
-planner broadcasts the rules only when their size allows, and skewed keys are
-split by adaptive execution.
+A rule becomes a text key (``ip:<hex>``, ``net:<network key>``, ``type:<name>``)
+and a row becomes the few keys it can match: one per scope, plus one per network
+prefix length that the rule table really uses.  However many rules there are,
+the match is a hash or sort-merge join on that key; the planner broadcasts the
+rules only when their size allows.  A global rule meets every row, so it stands
+under ``g0`` .. ``g63`` and a row looks under one of these, by hash: the rows
+spread even where nothing splits skewed keys, as in stream sinks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,19 @@ from pyspark.sql import functions as F
 from tidewire.functions import ip
 
 
+SALTS = 64
+
+
+def global_keys() -> Column:
+    """All keys of a global rule."""
+    return F.array(*[F.lit(f"g{i}") for i in range(SALTS)])
+
+
+def global_key(*columns: str) -> Column:
+    """The one key under which a row meets global rules."""
+    return F.concat(F.lit("g"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("string"))
+
+
 def network_lengths(rules: DataFrame, target: str = "target") -> Column:
     """Distinct prefix lengths of the subnet rules: at most 129 values, read as a subquery."""
     bits = rules.filter(F.col("scope") == "subnet").select(ip.cidr_bits(F.col(target)).alias("b"))
