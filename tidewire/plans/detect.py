@@ -7,11 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from tidewire import schemas
+from tidewire.functions import ip
 from tidewire.operators import alerts, detectors, profiles
 from tidewire.operators.rollup import device_window_metrics, port_fanout_best
 from tidewire.params import Params
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """Computed once for all that read it: a checkpoint in the cluster's shared folder, or kept where none is named."""
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return rows.checkpoint()
+    return rows.persist()
+
+
 def detect_all(
     aggregates: DataFrame,
     baselines: DataFrame,
@@ -20,12 +28,16 @@ def detect_all(
 ) -> DataFrame:
     """Every candidate alert, spikes first and beaconing last.
 
-    ``metrics`` (``device_window_metrics(..., with_profile=True)``) may be
-    passed in when the caller has stored it; three branches read it.  Spikes
-    and fan-outs share one pass, and so do new destinations and ports.
+    The aggregates are read once: local sources alone, and only the columns
+    that detectors use.  ``metrics`` (``device_window_metrics(...,
+    with_profile=True)``) may be passed in when the caller has stored it; three
+    branches read it.  Spikes and fan-outs share one pass, and so do new
+    destinations and ports.
     """
+    columns = ["bucket_ts", "src_ip", "dst_ip", "dst_port", "protocol", "bytes", "packets"]
+    aggregates = held(aggregates.filter(ip.is_local("src_ip", params.local_cidrs)).select(*columns))
     if metrics is None:
-        metrics = device_window_metrics(aggregates, params, with_profile=True)
+        metrics = held(device_window_metrics(aggregates, params, with_profile=True))
     found = [
         detectors.metric_alerts(metrics, baselines, params),
         detectors.port_fanout(port_fanout_best(aggregates, params), params),
