@@ -6,6 +6,13 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    from catalog.ship import ship_package
+
+    ship_package(spark)
+
+
 @pytest.fixture(scope="session")
 def docs_of(spark):
     """Documents from (doc_id, text[, source]) with further columns that share names with operators' own."""
