@@ -115,17 +115,21 @@ def _op6(table):
     return packing.pack(table("documents"), public_tokenizers.path("word_bpe_49k.json"), PACK_LENGTH, END_ID)
 
 
+# base32: five hex digits are four letters
 OP8_SQL = """
-with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
-best as (select payload, max(page_id) as best from p group by payload)
-select page_id, octet_length(payload)::bigint as payload_bytes, sha1(payload) as hex,
-    case when page_id = best then 'response' else 'revisit' end as record_type,
-    case when page_id <> best then best end as refers_to
-from p join best using (payload)
+with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages),
+best as (select payload, max(page_id) as best from p group by payload),
+parts as (select distinct hex, list_transform(range(0, 8), lambda g: ('0x' || substr(hex, 5 * g + 1, 5))::bigint) as fives from p),
+named as (select hex, array_to_string(list_transform(fives, lambda v: array_to_string(
+    list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') as digest from parts)
+select page_id, strlen(payload)::bigint as payload_bytes, digest as payload_digest,
+    case when page_id < best then 'revisit' else 'response' end as record_type,
+    case when page_id < best then best end as refers_to
+from p join best using (payload) join named using (hex)
 """
 
 
-@_query("op8_warc")
+@_query("op8_warc", OP8_SQL)
 def _op8(table):
     return warc_writer.read(warc_writer.write(table("pages"))).drop("url")
 
