@@ -764,6 +764,21 @@ def _breakdown(t: Tables):
     )
 
 
+@query(
+    "risk_explanations",
+    with_views(
+        "anom dev",
+        """SELECT c.ip, description AS explanation FROM contrib c JOIN risk r ON c.ip = r.ip
+UNION ALL SELECT DISTINCT r.ip, printf('an IDS alert and another alert lie within one hour (+%.0f)', CAST(correlation_boost AS DOUBLE))
+  FROM risk r WHERE correlation_boost > 0 AND ip IN (SELECT ip FROM contrib)""",
+        _CONTRIB,
+        _RISK,
+    ),
+)
+def _explanations(t: Tables):
+    return risk.risk_explanations(risk.risk_breakdown(t.devices, t.anomalies, NOW, P))
+
+
 @query("alert_mix", with_views("anom dev", "SELECT ip, high_alerts, medium_alerts, low_alerts FROM risk", _CONTRIB, _RISK))
 def _mix(t: Tables):
     return risk.alert_mix(risks(t))
