@@ -75,7 +75,8 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_id
         near = low <= kth[:, None]
         near &= ~own
         for i, j in zip(*np.nonzero(near), strict=True):
-            exact = -float(np.sqrt(np.sum((queries[i] - part[j]) ** 2)))
+            # added up in the order of components, as SQL does
+            exact = -float(np.sqrt(np.cumsum((queries[i] - part[j]) ** 2)[-1]))
             entry = (exact, -int(ids[j]))
             if len(heaps[i]) < k:
                 heapq.heappush(heaps[i], entry)

@@ -150,7 +150,8 @@ def _op3(table):
 @_query("op1_int8_join", """
 with v as (select vec_id, embedding::double[] as e from embeddings
     where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
-s as (select q.vec_id as query_id, c.vec_id, list_distance(q.e, c.e) as score
+s as (select q.vec_id as query_id, c.vec_id,
+    sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])))) as score
     from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.e) = len(c.e)),
 r as (select *, row_number() over (partition by query_id order by score, vec_id)::integer as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
