@@ -152,6 +152,7 @@ def explain(
 ) -> Column:
     """Seven labelled parts of an alert text; the numbers are typed columns too."""
     confidence = F.lit(confidence) if isinstance(confidence, str) else confidence
+    # fixed values: the labels of the parts
     return F.concat(
         F.lit("what happened: "), happened,
         F.lit("; why unusual: "), F.lit(unusual),
