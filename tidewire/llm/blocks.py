@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 
@@ -65,19 +69,24 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 def range_slices(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """(range, start, end) of the ranges that ascending ``keys`` reach."""
+    if not len(keys):
+        return []
     found = range_of(keys, ranges)
-    starts = np.flatnonzero(np.diff(found, prepend=-1)) if len(found) else np.empty(0, dtype=np.int64)
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
     ends = np.append(starts[1:], len(found))
     return [(int(found[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 
 
-def runs_by_size(sizes: list[int], most: int):
-    """(start, end) of consecutive items of together about ``most``."""
+def text_runs(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """(start, texts) of consecutive texts of together about ``most`` bytes; nulls are empty.
+
+    Only one run at a time is turned into Python strings.
+    """
     start = total = 0
-    for i, n in enumerate(sizes):
-        total += n
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        total += n + 16
         if total >= most:
-            yield start, i + 1
+            yield start, texts.slice(start, i + 1 - start).fill_null("").to_pylist()
             start, total = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
+    if start < len(texts):
+        yield start, texts.slice(start).fill_null("").to_pylist()

@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidewire.llm.blocks import text_runs
 from tidewire.llm.storage import stored
 
 #: Parts kept with their ids by one worker (twice as many at most), and the length up to which a part is kept.
 KEPT_PARTS, KEPT_LENGTH = 500_000, 40
-#: Texts are encoded in runs of about so many characters.
-RUN_CHARS = 8_000_000
+#: Texts are encoded in runs of about so many bytes.
+RUN_BYTES = 4_000_000
 #: Parts whose normal form is their lower case alone: Latin letters and signs without white space. (fixed values)
 PLAIN = re.compile("[!-~\u00a1-\u024f]+")
 #: The pre-tokenizer's pieces. (fixed values)
@@ -108,17 +109,6 @@ def encoder_of(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= RUN_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def token_streams(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored rows ``doc_id``, ``part``, ``local_start``, ``n_tokens``, ``ids`` (binary, 2 or 4 bytes an id)."""
     id_type = docs.schema[doc_id].dataType
@@ -133,14 +123,14 @@ def token_streams(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "d
         encoder, part, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         end, width = array(encoder.code, [end_id]).tobytes(), array(encoder.code).itemsize
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
-            for a, b in _runs(texts):
-                blobs = [x + end for x in encoder.texts(texts[a:b])]
+            for a, texts in text_runs(batch.column(1), RUN_BYTES):
+                b = a + len(texts)
+                blobs = [x + end for x in encoder.texts(texts)]
                 counts = np.array([len(x) // width for x in blobs], dtype=np.int64)
                 starts = at + np.cumsum(counts) - counts
                 at += int(counts.sum())
                 yield pa.record_batch(
-                    [ids.slice(a, b - a), pa.array(np.full(b - a, part)), pa.array(starts), pa.array(counts), pa.array(blobs, pa.binary())],
+                    [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part)), pa.array(starts), pa.array(counts), pa.array(blobs, pa.binary())],
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
 

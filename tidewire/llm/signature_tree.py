@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm.blocks import (
-    WordHashes, expand, expand_sorted, mixed, range_slices, runs_by_size, squeeze, squeeze_sorted, words_of,
+    WordHashes, expand, expand_sorted, mixed, range_slices, squeeze, squeeze_sorted, text_runs, words_of,
 )
 from tidewire.llm.components import components
 from tidewire.llm.storage import stored
 
-BLOCK_CHARS = 16_000_000
+BLOCK_BYTES = 5_000_000
 BITS = 4096
 FACTOR = 0x9E3779B97F4A7C15
 MANY = np.uint32(0xFFFFFFFF)
@@ -44,8 +44,7 @@ _ROWS = "r int, block long, kind int, keys binary, counts binary, docs binary"
 
 def shingle_sets(texts: list[str], hashes: WordHashes, width: int) -> list[np.ndarray]:
     """Ascending distinct shingle hashes of each text; a shorter text is one shingle, an empty one has none."""
-    spoken = [words_of(t) for t in texts]
-    flat = [np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w)) for w in spoken]
+    flat = [np.array([*map(hashes.__getitem__, words_of(t))], dtype=np.uint64) for t in texts]
     hashes.trim()
     joined = np.concatenate([*flat, np.zeros(width, dtype=np.uint64)])
     rolled = np.zeros(len(joined) - width + 1, dtype=np.uint64)
@@ -71,9 +70,8 @@ def _send(docs: DataFrame, width: int, ranges: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, hashes = TaskContext.get().partitionId() << 32, WordHashes()
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            for start, end in runs_by_size([len(t) + 16 for t in texts], BLOCK_CHARS):
-                sets = shingle_sets(texts[start:end], hashes, width)
+            for start, texts in text_runs(batch.column(1), BLOCK_BYTES):
+                sets = shingle_sets(texts, hashes, width)
                 sizes = np.array([len(s) for s in sets], dtype=np.uint32)
                 flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
                 order = np.argsort(flat, kind="stable")
@@ -83,7 +81,7 @@ def _send(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                 keys, docs_of = flat[first], np.where(counts == 1, owner[first], MANY).astype(np.uint32)
                 many = np.repeat(counts > 1, counts)
                 prints = np.array([xxhash.xxh3_128_intdigest(s.tobytes()) >> 64 * j & (1 << 64) - 1 for s in sets for j in (1, 0)], dtype=np.uint64)
-                ids = batch.column(0)[start:end].to_pylist()
+                ids = batch.column(0)[start : start + len(texts)].to_pylist()
                 out = [(number % ranges, number, HEAD, squeeze_sorted(keys[counts > 1]), squeeze(counts[counts > 1]), squeeze(owner[many]), ids, squeeze(sizes), squeeze(prints))]
                 for r, a, b in range_slices(keys, ranges):
                     out.append((r, number, ASK, squeeze_sorted(keys[a:b]), squeeze(counts[a:b]), squeeze(docs_of[a:b]), None, None, None))
@@ -326,7 +324,9 @@ def _across(chunks: DataFrame, percent: int, chunk_shingles: int) -> DataFrame:
     pairs = stored(pairs.select("chunk", "low", "high", "most", "chunk_2", "low_2", "high_2", "most_2").mapInArrow(possible, "chunk long, chunk_2 long"), "sig-pairs")
     sets = open_rows.select("chunk", "n", "shared", "component")
     left = pairs.join(sets, "chunk")
-    right = pairs.join(sets.withColumnRenamed("chunk", "chunk_2"), "chunk_2")
+    # aliases, as both sides of the cogroup come from the same rows
+    again = [t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (pairs, sets)]
+    right = again[0].join(again[1].withColumnRenamed("chunk", "chunk_2"), "chunk_2")
 
     def cross(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
         trees = [tree_of([expand_sorted(s) for s in t.column("shared").to_pylist()], t.column("n").to_numpy()) for t in (one, two)]
@@ -349,7 +349,7 @@ def join(
     component.  Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     asked = _send(chosen, width, ranges)
     schema = T.StructType.fromDDL("doc_id long, n long, p1 long, p2 long, shared binary, prefix array<long>")
