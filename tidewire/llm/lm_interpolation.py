@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm.blocks import (
-    WordHashes, expand, expand_sorted, mixed, range_slices, runs_by_size, squeeze, squeeze_sorted, words_of,
+    WordHashes, expand, expand_sorted, mixed, range_slices, squeeze, squeeze_sorted, text_runs, words_of,
 )
 from tidewire.llm.storage import stored
 
@@ -30,7 +30,7 @@ from tidewire.llm.storage import stored
 START, END = 0x53544152545F5F31, 0x454E445F5F5F5F32
 APART, DELETED, KEPT = 0, 1, 2
 WORDS, PAIRS, SUMS = 1, 2, 0
-BLOCK_CHARS = 8_000_000
+BLOCK_BYTES = 6_000_000
 BUCKETS, STEPS = 64, 4  # context-frequency octaves; grid steps an octave
 
 
@@ -77,11 +77,10 @@ def block_rows(docs: DataFrame, role: Column, doc_id: str, text: str) -> DataFra
             roles = batch.column(2).to_numpy()
             for kind in (APART, DELETED, KEPT):
                 chosen = batch.filter(pa.array(roles == kind))
-                texts = chosen.column(1).fill_null("").to_pylist()
-                for a, b in runs_by_size([len(t) + 8 for t in texts], BLOCK_CHARS):
+                for start, texts in text_runs(chosen.column(1), BLOCK_BYTES):
                     local: dict[bytes, int] = {}
-                    spoken, lengths = [], np.empty(b - a, dtype=np.uint32)
-                    for i, t in enumerate(texts[a:b]):
+                    spoken, lengths = [], np.empty(len(texts), dtype=np.uint32)
+                    for i, t in enumerate(texts):
                         words = words_of(t)
                         for w in words:
                             if w not in local:
@@ -97,7 +96,7 @@ def block_rows(docs: DataFrame, role: Column, doc_id: str, text: str) -> DataFra
                     place[order] = np.arange(len(order), dtype=np.uint32)
                     hashes.trim()
                     yield pa.record_batch(
-                        [[number], pa.array([kind], pa.int32()), pa.array([chosen.column(0)[a:b].to_pylist()], pa.list_(chosen.column(0).type)),
+                        [[number], pa.array([kind], pa.int32()), pa.array([chosen.column(0)[start : start + len(texts)].to_pylist()], pa.list_(chosen.column(0).type)),
                          [squeeze(lengths)], [squeeze(known[order])], [squeeze(place[codes])]], schema.names,
                     )
                     number += 1
@@ -226,7 +225,7 @@ def learned_weights(cells: np.ndarray, uniform: float, rounds: int = 40) -> np.n
 
 def fit(docs: DataFrame, role: Column, doc_id: str = "doc_id", text: str = "text", ranges: int | None = None) -> Model:
     """Count and learn.  ``role``: APART (scored only), DELETED (trains; weights are learned on it) or KEPT (trains)."""
-    ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = block_rows(docs, role, doc_id, text)
     totals = stored(_ask(blocks, ranges).groupBy("r").applyInArrow(_answer, _TOTALS), "lm-totals")
     sums = totals.filter(F.col("kind") == SUMS).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "kept_tokens", "kept_distinct")]).first()
