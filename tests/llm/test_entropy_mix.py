@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -53,6 +54,23 @@ def test_rates_are_tilted_in_size_and_reruns_agree(spark):
     assert max(steps) - min(steps) < 1e-6
 
 
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1, 3, 4)])
+def test_very_long_documents_meet_their_targets(spark, weights):
+    rng = random.Random(11)
+    sizes = {}
+    for name, n, k, low, high in (("a", 3000, 40, 20_000, 200_000), ("b", 3000, 40, 20_000, 200_000), ("c", 1000, 60, 2000, 10_000)):
+        small = [max(1, int(rng.lognormvariate(5.5, 0.8))) for _ in range(n)]
+        sizes[name] = small + [int(math.exp(rng.uniform(math.log(low), math.log(high)))) for _ in range(k)]
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, all_of in sizes.items() for n in all_of)]
+    got = balance(spark.createDataFrame(rows, "doc_id long, source string, size long"), ["doc_id"], weights=weights).collect()
+    want = _targets({s: sum(x) for s, x in sizes.items()}, weights, 1.0, 3)
+    for s, target in want.items():
+        mine = [r for r in got if r["source"] == s]
+        assert all(0 <= r["copies"] <= 3 for r in mine)
+        assert sum(r["rate"] * r["size"] for r in mine) == pytest.approx(target, rel=1e-6), s
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - target) <= 3, s
+
+
 def test_empty_and_wordless(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, None, None)], "doc_id long, source string, size long")
     assert {r["target"] for r in balance(df, ["doc_id"]).collect()} == {0.0}

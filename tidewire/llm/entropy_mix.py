@@ -2,24 +2,29 @@
 
 With word targets ``T`` and at most ``cap`` copies, the rates closest to 1 in (bounded) relative entropy have the form
 ``cap / (1 + exp(-(t0 + lambda * size / mean size)))``: their odds are tilted exponentially in the document's size,
-and ``lambda = 0`` gives rate 1.  The convex dual has one variable per source, so each Newton step is two sums over
-the source's documents.  Documents of one source and size share a rate, so the sums run over (source, size) cells,
-counted before the shuffle; a source that owns a third of all rows has as many cells as it has distinct sizes.
-
-Rates become whole copies per cell by differences of rounded running totals; what is left of the target is then
-filled or taken back by whole copies of the largest size that fits (or one that comes nearer), a few times.  Inside a cell, documents in hash
-order get the copies that the cell has beyond an equal share.
+and ``lambda = 0`` gives rate 1.  The words taken grow with ``lambda``, one number per source, so it is bracketed and found by
+Newton steps that stay inside the bracket.  Documents of one source and size share a rate, so the sums run over
+(source, size) cells, counted before the shuffle; a source that owns a third of all rows has as many cells as it has
+distinct sizes.
+
+Rates become whole copies per cell by differences of rounded running totals; what is left of the target (at most half
+of the largest size) is then filled or taken back by whole copies, from large sizes down.  Inside a cell, documents in
+hash order get the copies that the cell has beyond an equal share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewire.functions.barrier import once
+
 _KEY = ["__null", "__source"]
+#: Walks after the first only serve sources whose documents below the rest are used up.
+WALKS = 4
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -51,50 +56,146 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
     )
 
 
-def _rates(cells: DataFrame, cap: float, steps: int) -> DataFrame:
-    """Newton on the dual, source by source, over cells that stay where the first window put them."""
-    # in the order of sizes, so that sums, and with them reruns, agree to the last bit
-    source = Window.partitionBy(*_KEY).orderBy("size").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t0 = F.lit(0.0) if cap <= 1 else F.log(F.lit(1.0 / (cap - 1.0)))
-    ratio = F.try_divide(F.col("target"), F.col("source_size") * F.lit(float(cap)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside ``aggregate`` there is no other way to name one."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _tilt(cap: float) -> Column:
+    return F.lit(0.0) if cap <= 1 else F.log(F.lit(1.0 / (cap - 1.0)))
+
+
+def _multiplier(cap: float) -> Column:
+    """``lambda`` of a source with ``cells``: Newton steps inside a bracket, halved where a step leaves it or is slow.
+
+    The words taken grow with ``lambda``, so the bracket holds the answer all the time.  It ends below a word's
+    thousandth (or the sum's own precision), or when no number lies inside the bracket.  Every slow step halves the
+    bracket, and doubles are halved about 1,100 times at most, which bounds the steps; 5 to 20 are usual.
+    """
+    t0 = _tilt(cap)
+    per_word = F.col("docs_of_source") / F.col("source_size")
+
+    def at(lam: Column) -> Column:
+        def add(so_far: Column, cell: Column) -> Column:
+            p = F.lit(1.0) / (1 + F.exp(-(t0 + lam * cell["size"] * per_word)))
+            return _let(p, lambda p: F.struct(
+                (so_far["words"] + cell["n"] * cell["size"] * F.lit(cap) * p).alias("words"),
+                (so_far["slope"] + cell["n"] * cell["size"] * F.lit(cap) * p * (1 - p) * cell["size"] * per_word).alias("slope"),
+            ))
+
+        zero = F.struct(F.lit(0.0).alias("words"), F.lit(0.0).alias("slope"))
+        return F.aggregate("cells", zero, add, lambda s: F.struct((s["words"] - F.col("target")).alias("gap"), s["slope"].alias("slope")))
+
+    def state(lam, low, high, last, done) -> Column:
+        return F.struct(lam.alias("lam"), low.alias("low"), high.alias("high"), last.alias("last"), done.alias("done"))
+
+    def step(now: Column, _: Column) -> Column:
+        def moved(g: Column) -> Column:
+            low, high = F.when(g["gap"] < 0, now["lam"]).otherwise(now["low"]), F.when(g["gap"] < 0, now["high"]).otherwise(now["lam"])
+            newton = now["lam"] - F.try_divide(g["gap"], g["slope"])
+            fast = (newton > low) & (newton < high) & (2 * F.abs(newton - now["lam"]) <= now["last"])
+            to = F.when(fast, newton).otherwise((low + high) / 2)
+            near = F.abs(g["gap"]) <= F.greatest(F.lit(1e-3), F.col("target") * 1e-12)
+            return _let(F.struct(low.alias("low"), high.alias("high"), to.alias("to")), lambda n: F.when(
+                near | (n["to"] <= n["low"]) | (n["to"] >= n["high"]),
+                state(now["lam"], n["low"], n["high"], now["last"], F.lit(True)),
+            ).otherwise(state(n["to"], n["low"], n["high"], F.abs(n["to"] - now["lam"]), F.lit(False))))
+
+        return F.when(now["done"], now).otherwise(_let(at(now["lam"]), moved))
+
+    smallest = F.array_min(F.transform(F.filter("cells", lambda c: c["size"] > 0), lambda c: c["size"]))
+    # where every document is at rate 0 or cap, to the last bit
+    edge = (F.abs(t0) + 60.0) / (smallest * per_word)
+    ratio = F.col("target") / (F.col("source_size") * F.lit(cap))
+    first = F.greatest(-edge, F.least(edge, F.log(F.try_divide(ratio, 1 - ratio)) - t0))
+    start = _let(edge, lambda e: state(first, -e, e, 2 * e, F.lit(False)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2300)), start, step, lambda s: s["lam"])
+
+
+def _rates(cells: DataFrame, cap: float) -> DataFrame:
+    """Cells with their rates.  A source's cells are one array in the order of sizes, so that sums, and with them
+    reruns, agree to the last bit."""
+    per_source = [*_KEY, "source_size", "docs_of_source", "target"]
+    one = cells.groupBy(*per_source).agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("cells"))
+    ratio = F.try_divide(F.col("target"), F.col("source_size") * F.lit(cap))
     inner = (F.col("source_size") > 0) & (ratio > 0) & (ratio < 1)
-    kept = [c for c in cells.columns]
-    out = cells.withColumn("x", F.try_divide(F.col("size") * F.col("docs_of_source"), F.col("source_size")))
-    out = out.withColumn("lam", F.when(inner, F.log(F.try_divide(ratio, 1 - ratio)) - t0).otherwise(F.lit(0.0)))
-    for _ in range(steps):
-        odds = F.lit(1.0) / (1 + F.exp(-(t0 + F.col("lam") * F.col("x"))))
-        out = out.withColumn("p", odds)
-        words = F.col("n") * F.col("size") * F.lit(float(cap)) * F.col("p")
-        out = out.withColumn("gap", F.sum(words).over(source) - F.col("target"))
-        out = out.withColumn("slope", F.sum(words * F.col("x") * (1 - F.col("p"))).over(source))
-        move = F.when(F.col("slope") > 0, F.col("gap") / F.col("slope")).otherwise(F.lit(0.0))
-        out = out.withColumn("lam", F.when(inner, F.col("lam") - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))).otherwise(F.lit(0.0)))
-        out = out.select(*kept, "x", "lam")
-    rate = F.lit(float(cap)) / (1 + F.exp(-(t0 + F.col("lam") * F.col("x"))))
-    edge = F.when(ratio >= 1, F.lit(float(cap))).otherwise(F.lit(0.0))
-    return out.select(*kept, F.when(inner, rate).otherwise(edge).alias("rate"))
-
-
-def _whole_copies(cells: DataFrame, cap: int, fixes: int) -> DataFrame:
-    """``m`` copies for each cell: rounded running totals of the rates, then the rest of the target by large sizes."""
-    source = Window.partitionBy(*_KEY)
-    down = source.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = cells.columns
-    out = cells.withColumn("run", F.round(F.sum(F.col("n") * F.col("rate")).over(down)).cast("long"))
-    out = out.withColumn("m", F.col("run") - F.coalesce(F.lag("run").over(source.orderBy(F.col("size").desc())), F.lit(0)))
-    out = out.withColumn("m", F.greatest(F.lit(0), F.least(F.col("m"), F.col("n") * cap)).cast("long")).select(*kept, "m")
-    for _ in range(fixes):
-        out = out.withColumn("rest", F.round(F.col("target") - F.sum(F.col("m") * F.col("size")).over(source)).cast("long"))
-        room = F.when(F.col("rest") >= 0, F.col("n") * cap - F.col("m")).otherwise(F.col("m"))
-        fits = (room > 0) & (F.col("size") > 0) & (F.col("size") <= F.abs("rest"))
-        nearer = (room > 0) & (F.col("size") > F.abs("rest")) & (F.col("size") < 2 * F.abs("rest"))
-        below, above = F.max(F.when(fits, F.col("size"))).over(source), F.min(F.when(nearer, F.col("size"))).over(source)
-        out = out.withColumn("pick", F.coalesce(below, above))
-        times = F.greatest(F.lit(1), F.expr("abs(rest) div nullif(size, 0)"))
-        change = F.least(room, times) * F.signum(F.col("rest")).cast("long")
-        out = out.withColumn("m", F.when(F.col("size") == F.col("pick"), F.col("m") + change).otherwise(F.col("m")).cast("long"))
-        out = out.select(*kept, "m")
-    return out
+    # computed once a source, before its cells are rows again
+    one = once(one, lam=F.when(inner, _multiplier(cap)))
+    out = one.select(*per_source, "lam", F.inline("cells"))
+    rate = F.lit(cap) / (1 + F.exp(-(_tilt(cap) + F.col("lam") * F.col("size") * F.col("docs_of_source") / F.col("source_size"))))
+    edge = F.when(ratio >= 1, F.lit(cap)).otherwise(F.lit(0.0))
+    return out.select(*per_source, "size", "n", F.when(F.col("lam").isNotNull(), rate).otherwise(edge).alias("rate"))
+
+
+def _filled(rest: Column) -> Column:
+    """``cells`` (ascending sizes, ``m`` copies) after one walk down the sizes that brings the words ``rest`` nearer.
+
+    Every cell gives all the copies that fit into what is still to do.  A cell that could give more than fits is a
+    stop; what is left after a stop is below half of what was left after the stop before, so stops are few and are the
+    only thing the walk keeps.  Where no size fits any more, the smallest larger one goes along if that comes nearer,
+    and the next walk goes the other way.
+    """
+    todo, up = F.abs(rest), rest >= 0
+
+    def room(cell: Column) -> Column:
+        return F.when(up, cell["n"] * F.col("cap") - cell["m"]).otherwise(cell["m"])
+
+    def state(left, bound, stops) -> Column:
+        return F.struct(left.alias("left"), bound.alias("bound"), stops.alias("stops"))
+
+    def stop(at, times, left) -> Column:
+        return F.struct(at.alias("at"), times.alias("times"), left.alias("left"))
+
+    def walk(now: Column, cell: Column) -> Column:
+        fits = F.floor(F.try_divide(now["left"], cell["size"])).cast("long")
+        after = now["left"] - fits * cell["size"]
+        return (
+            F.when((cell["size"] > now["bound"]) | (cell["size"] <= 0) | (room(cell) <= 0), now)
+            .when(fits >= room(cell), state(now["left"] - room(cell) * cell["size"], now["bound"], now["stops"]))
+            .otherwise(state(after, after, F.concat(now["stops"], F.array(stop(cell["size"], fits, after)))))
+        )
+
+    none = F.array().cast("array<struct<at:bigint,times:bigint,left:bigint>>")
+    walked = F.aggregate(F.reverse("cells"), state(todo, todo, none), walk)
+
+    def larger(w: Column) -> Column:
+        able = F.filter("cells", lambda c: (c["size"] > w["left"]) & (c["size"] < 2 * w["left"]) & (room(c) > gives(w, c)))
+        return F.array_min(F.transform(able, lambda c: c["size"]))
+
+    def gives(w: Column, cell: Column) -> Column:
+        earlier = F.array_min(F.transform(F.filter(w["stops"], lambda s: s["at"] > cell["size"]), lambda s: s["left"]))
+        here = F.try_element_at(F.filter(w["stops"], lambda s: s["at"] == cell["size"]), F.lit(1))
+        return F.when(here.isNotNull(), here["times"]).when((cell["size"] > 0) & (cell["size"] <= F.coalesce(earlier, todo)), room(cell)).otherwise(F.lit(0))
+
+    def result(w: Column) -> Column:
+        def changed(more: Column) -> Column:
+            def cell(c: Column) -> Column:
+                by = gives(w, c) + F.when(c["size"] == more, 1).otherwise(0)
+                m = c["m"] + F.when(up, by).otherwise(-by)
+                return F.struct(c["size"].alias("size"), c["n"].alias("n"), c["rate"].alias("rate"), m.cast("long").alias("m"))
+
+            return F.transform("cells", cell)
+
+        return _let(larger(w), changed)
+
+    return _let(walked, result)
+
+
+def _whole_copies(cells: DataFrame, cap: int) -> DataFrame:
+    """``m`` copies for each cell: rounded running totals of the rates, then walks that fill or take back the rest."""
+    per_source = [*_KEY, "source_size", "docs_of_source", "target"]
+    down = Window.partitionBy(*_KEY).orderBy(F.col("size").desc())
+    out = cells.withColumn("run", F.round(F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))).cast("long"))
+    out = out.withColumn("m", F.col("run") - F.coalesce(F.lag("run").over(down), F.lit(0)))
+    out = out.withColumn("m", F.greatest(F.lit(0), F.least(F.col("m"), F.col("n") * cap)).cast("long"))
+    one = out.groupBy(*per_source).agg(F.array_sort(F.collect_list(F.struct("size", "n", "rate", "m"))).alias("cells"))
+    one = one.withColumn("cap", F.lit(cap))
+    taken = F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["m"] * c["size"])
+    for _ in range(WALKS):
+        one = once(one, rest=F.round(F.col("target") - taken).cast("long"))
+        one = once(one, now=F.when(F.col("rest") == 0, F.col("cells")).otherwise(_filled(F.col("rest"))))
+        one = one.select(*per_source, "cap", F.col("now").alias("cells"))
+    return one.select(*per_source, F.inline("cells"))
 
 
 def balance(
@@ -105,8 +206,6 @@ def balance(
     weights: Sequence[float] = (5, 2, 1),
     share: float = 1.0,
     cap: int = 3,
-    newton_steps: int = 12,
-    fixes: int = 12,
     buckets: int = 256,
 ) -> DataFrame:
     """Copies that each row gets, so that every source's words come near its target.
@@ -133,7 +232,7 @@ def balance(
     sources = cells.groupBy(*_KEY).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs_of_source"))
     targets = source_targets(sources.drop("docs_of_source"), weights, share, cap)
     cells = cells.join(sources, _KEY).join(targets.drop("source_size"), _KEY)
-    whole = _whole_copies(_rates(cells, float(cap), newton_steps), cap, fixes)
+    whole = _whole_copies(_rates(cells, float(cap)), cap)
     whole = whole.select(*_KEY, F.col("size").alias("__size"), F.col("n").alias("__docs"), "source_size", "target", "rate", "m")
     earlier = Window.partitionBy(*cell).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(whole, cell).drop("__n")
