@@ -10,6 +10,7 @@ from tidewire import schemas
 from tidewire.functions.times import epoch
 from tidewire.operators import alerts, detectors, profiles, rollup
 from tidewire.params import Params
+from tidewire.plans.detect import alert_batch
 from tidewire.sources import packets as packet_src
 from tidewire.sources import store
 from tidewire.streaming import jobs, sources, stateful
@@ -241,3 +242,26 @@ def test_detection_callback(spark, tmp_path):
     devices = spark.createDataFrame([("192.168.1.2", "", "", "", T0, T0)], schemas.DEVICES)
     fresh = jobs.refresh_baselines(spark, path, devices, base, T0 + timedelta(hours=1), str(tmp_path / "base")).first()
     assert fresh.samples == 6 and fresh.mean_peers == 1.0
+
+
+def test_minutes_cut_by_batches_are_judged_whole(spark, tmp_path):
+    p = replace(Params(), novelty_min_history=2, spike_min_bytes=1000)
+    ports = [flow(T0, "192.168.1.3", "203.0.113.5", port=1000 + i, nbytes=10) for i in range(60)]
+    peers = [flow(T0, "192.168.1.4", f"203.0.113.{i}", nbytes=10) for i in range(60)]
+    spike = [flow(T0, "192.168.1.2", "203.0.113.1", nbytes=400) for _ in range(60)]
+    # looks like a scan at first, and is ordinary traffic once the minute is whole
+    first = [flow(T0, "192.168.1.6", "203.0.113.5", port=1000 + i, nbytes=10) for i in range(60)]
+    later = [flow(T0, "192.168.1.6", "203.0.113.5", port=1000, nbytes=10, packets=9000)]
+    base = spark.createDataFrame([("192.168.1.2", 1000.0, 1.0, 1.0, 0.0, 1.0, 0.0, 9)], schemas.BASELINES)
+    batches = [[r for rows in (ports, peers, spike) for r in rows[k::6]] for k in range(6)]
+    batches[0] += first
+    batches[3] += later
+    path, out = str(tmp_path / "agg"), str(tmp_path / "alerts")
+    sink = jobs.aggregate_sink(path, jobs.detection_callback(spark, path, lambda: base, out, p))
+    for k, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schemas.FLOW_EVENTS), k)
+    every = spark.createDataFrame([r for rows in batches for r in rows], schemas.FLOW_EVENTS)
+    key = ("ip", "type", "created_at", "description")
+    want = sorted(tuple(r[c] for c in key) for r in alert_batch(rollup.minute_rollup(every), base, p).collect())
+    got = sorted(tuple(r[c] for c in key) for r in jobs.current_candidates(spark, out).collect())
+    assert got == want and {w[1] for w in want} == {"TRAFFIC_SPIKE", "DESTINATION_FANOUT", "PORT_FANOUT"}

@@ -78,24 +78,49 @@ def window_alerts(batch: DataFrame, baselines: DataFrame, params: Params = Param
     return detectors.metric_alerts(metrics, baselines, params).unionByName(found)
 
 
+def whole_minutes(batch: DataFrame, history: DataFrame) -> DataFrame:
+    """The stored rows, over all batches so far, of the sources and minutes that a batch touched."""
+    bounds = batch.agg(F.min("bucket_ts").alias("low"), F.max("bucket_ts").alias("high"))
+    stored = in_range(history, bounds.select("low").scalar(), bounds.select("high").scalar())
+    touched = batch.select("src_ip", "bucket_ts").distinct()
+    return store.merge_key(stored.join(touched, ["src_ip", "bucket_ts"], "left_semi"))
+
+
+def current_candidates(spark: SparkSession, out: str) -> DataFrame:
+    """Stored candidate alerts; of a source's minute only those of the last batch that touched it.
+
+    A minute is judged again whenever rows of it come, so an earlier batch's verdict on a part of it is replaced.
+    """
+    last = spark.read.parquet(f"{out}-minutes").groupBy("src_ip", "bucket_ts").agg(F.max_by("batch", "written").alias("batch"))
+    last = last.select(F.col("src_ip").alias("ip"), F.col("bucket_ts").alias("created_at"), "batch")
+    return spark.read.parquet(out).join(last, ["ip", "created_at", "batch"], "left_semi")
+
+
 def detection_callback(
     spark: SparkSession, path: str, baselines: Callable[[], DataFrame], out: str, params: Params = Params()
 ):
-    """Callback for ``aggregate_sink``: detect on the flushed batch and store candidate alerts."""
+    """Callback for ``aggregate_sink``: detect on the minutes that a batch touched and store candidate alerts.
+
+    Minutes are read back whole from the table, as a batch holds parts of them only.  ``<out>-minutes`` lists what each
+    batch judged; read the alerts with ``current_candidates``.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         history = store.read_aggregates(spark, path, merge=False)
-        candidates = window_alerts(batch, baselines(), params).unionByName(
+        candidates = window_alerts(whole_minutes(batch, history), baselines(), params).unionByName(
             novelty_of_batch(batch, history, params)
         )
+        name = f"{_query_of(batch)}-{batch_id}"
         kept = alerts.suppress_types_and_subnets(candidates, params)
-        (
-            kept.withColumn("batch", F.lit(f"{_query_of(batch)}-{batch_id}"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(out)
-        )
+        judged = batch.select("src_ip", "bucket_ts").distinct().withColumn("written", F.current_timestamp())
+        for rows, to in ((kept, out), (judged, f"{out}-minutes")):
+            (
+                rows.withColumn("batch", F.lit(name))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch")
+                .parquet(to)
+            )
 
     return run
 
