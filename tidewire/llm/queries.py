@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
 from tidewire.llm import (
-    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, packing, signature_tree, toxicity, warc_writer, words,
+    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, merkle_manifest, packing, signature_tree, toxicity, warc_writer,
+    words,
 )
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
@@ -206,3 +207,68 @@ def _op7(table):
     return scored.select(
         "doc_id", (words.fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted")
     )
+
+
+# crc32 bit by bit, as a table of 256 steps made by its rule
+CRC_SQL = """
+steps as (select list(list_reduce(list_prepend(b::bigint, range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by b) as t
+    from range(0, 256) r(b))"""
+
+
+def _crc_of(text: str) -> str:
+    """SQL for the unsigned crc32 of a text; ``t`` is the table of ``steps``."""
+    hexed = f"hex(encode({text}))"
+    octets = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = f"""
+with recursive {CRC_SQL.strip()},
+told as (select row_number() over () as row, lang, doc_id, {_crc_of("doc_id::varchar")} % 7 = 0 as touched,
+    [coalesce(strlen(v) || ':' || v, '-') for v in [doc_id::varchar, source, lang, n_chars::varchar, text]] as parts,
+    coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1)::varchar, '-') as more from documents, steps),
+hashed as (select *, sha256(array_to_string(parts, '')) as leaf,
+    sha256(parts[1] || parts[2] || parts[3] || more || parts[5]) as tampered from told),
+leaves as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as size from hashed),
+inner_nodes(tree, level, place, digest, size) as (
+    select dense_rank() over (order by lang nulls first) - 1, 0, place, leaf, size from leaves
+    union all
+    select tree, level + 1, place // 2, sha256(string_agg(digest, '' order by place)), (size + 1) // 2
+    from inner_nodes where size > 1 group by tree, level, place // 2, size),
+upper_nodes(level, place, digest, size) as (
+    select 0, tree, digest, count(*) over () from inner_nodes where size = 1
+    union all
+    select level + 1, place // 2, sha256(string_agg(digest, '' order by place)), (size + 1) // 2
+    from upper_nodes where size > 1 group by level, place // 2, size),
+numbered as (select *, dense_rank() over (order by lang nulls first) - 1 as tree from leaves),
+steps_up as (
+    select l.row, n.level as step, s.digest, coalesce(s.place < l.place >> n.level, false) as on_left
+    from numbered l join inner_nodes n on n.tree = l.tree and n.place = l.place >> n.level and n.size > 1
+    left join inner_nodes s on s.tree = n.tree and s.level = n.level and s.place = xor(n.place, 1)
+    union all
+    select l.row, 1000 + n.level, s.digest, coalesce(s.place < l.tree >> n.level, false)
+    from numbered l join upper_nodes n on n.place = l.tree >> n.level and n.size > 1
+    left join upper_nodes s on s.level = n.level and s.place = xor(n.place, 1)),
+paths as (select row, string_agg(coalesce(digest, ''), '' order by step) as proof,
+    list((case when on_left then 'l' else 'r' end) || coalesce(digest, '') order by step) as path from steps_up group by row),
+checked as (select n.*, coalesce(p.proof, '') as proof, list_reduce(list_prepend(case when touched then tampered else leaf end, coalesce(p.path, [])),
+    lambda a, x: sha256(case when x[1] = 'l' then substr(x, 2) || a else a || substr(x, 2) end)) as folded from numbered n left join paths p on n.row = p.row)
+select doc_id, leaf, i.digest as subroot, u.digest as root, sha256(proof) as proof_sha256, folded as folded_root, folded = u.digest as verified
+from checked c join inner_nodes i on i.tree = c.tree and i.size = 1 cross join (select digest from upper_nodes where size = 1) u
+"""
+
+
+@_query("op11_merkle_manifest", OP11_SQL)
+def _op11(table):
+    """Documents whose id's crc32 is a multiple of 7 are checked with one more character than they were signed with."""
+    def leaf(chars):
+        return merkle_manifest.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), chars, F.col("text"))
+
+    touched = F.col("doc_id").isNotNull() & (crc32_of(F.col("doc_id").cast("string")) % 7 == 0)
+    rows = table("documents").select(
+        "doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(touched, leaf(F.col("n_chars") + 1)).alias("tampered")
+    )
+    signed = merkle_manifest.manifest(rows, "leaf", "lang", ["doc_id"], carry=["doc_id", "tampered"])
+    folded = merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")
+    checked = signed.select("doc_id", "leaf", "subroot", "root", merkle_manifest.path_digest(F.col("path")).alias("proof_sha256"), folded)
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
