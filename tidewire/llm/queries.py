@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
 from tidewire.llm import (
-    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, merkle_manifest, packing, signature_tree, toxicity, warc_writer,
-    words,
+    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, merkle_manifest, packing, signature_tree, spelling_variants,
+    toxicity, warc_writer, words,
 )
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
@@ -272,3 +272,32 @@ def _op11(table):
     folded = merkle_manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")
     checked = signed.select("doc_id", "leaf", "subroot", "root", merkle_manifest.path_digest(F.col("path")).alias("proof_sha256"), folded)
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# words one edit apart share a word with one letter less, or one is such a word of the other
+OP13_SQL = f"""
+with recursive {CRC_SQL.strip()},
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run
+    from documents),
+once as (select doc_id, run, count(*) as n, coalesce(doc_id::varchar, '') || ':' || run as named from runs group by doc_id, run),
+salted as (select run, n, {_crc_of("named")} as h from once, steps),
+written as (select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from salted),
+words as (select word, sum(n)::bigint as n from written where length(word) >= 7 group by word having sum(n) >= 2),
+less as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as part from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+    select a.word, b.word as other, b.n from less a join less b on a.part = b.part and a.i = b.i and a.word <> b.word
+    union select l.word, w.word, w.n from less l join words w on l.part = w.word
+    union select w.word, l.word, l.n from less l join words w on l.part = w.word),
+best as (select word, count(*) as n_near, min(struct_pack(less := -n, other := encode(other)))  as b from near group by word),
+judged as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -(b.less) >= 10 * w.n then decode(b.other) end as form,
+    case when -(b.less) >= 10 * w.n then (-(b.less))::bigint end as form_n from words w left join best using (word)),
+walk(word, root, step) as (select word, word, 0 from judged union all select w.word, j.form, step + 1 from walk w join judged j on j.word = w.root where j.form is not null),
+ends as (select word, arg_max(root, step) as root from walk group by word)
+select word, form, root, n, n_near, form_n from judged join ends using (word)
+"""
+
+
+@_query("op13_spelling_variants", OP13_SQL)
+def _op13(table):
+    words_found = spelling_variants.word_counts(table("documents"), least_length=7, least=2, every=31)
+    return spelling_variants.group(words_found, ratio=10)
