@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from catalog.ship import ship_package
 from tidewire.llm import (
-    chat_format, entropy_mix, hash_tree, int8_join, kd_search, lm_interpolation, merkle_manifest, packing, signature_tree, spelling_variants,
-    toxicity, warc_writer, words,
+    chat_format, entropy_mix, hash_tree, int8_join, kd_search, language_id, lm_interpolation, merkle_manifest, packing, signature_tree,
+    spelling_variants, toxicity, warc_writer, words,
 )
 from tidewire.llm.words import bytes_of, crc32_of, word_count
 
@@ -301,3 +301,13 @@ select word, form, root, n, n_near, form_n from judged join ends using (word)
 def _op13(table):
     words_found = spelling_variants.word_counts(table("documents"), least_length=7, least=2, every=31)
     return spelling_variants.group(words_found, ratio=10)
+
+
+@_query("op12_language_id")
+def _op12(table):
+    """Learns from documents whose remainder is not 2; a prediction reads the text alone."""
+    docs = table("documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.filter(words.fold_of(F.col("doc_id"), 4) != 2))
+    held_out = (words.fold_of(F.col("doc_id"), 4) == 2).alias("held_out")
+    found = language_id.label(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out, "lang_pred", "score", F.size("spans").alias("n_spans"))
