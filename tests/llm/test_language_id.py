@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.llm import language_id as lid
+from tidewire.llm.char_grams import keys_of
 
 SYLLABLES = {
     "en": ["the", "ing", "wh", "ou", "sh", "tion", "and", "er", "ly"],
@@ -113,9 +114,10 @@ def test_counts_cover_all_training_texts(spark):
     want = Counter()
     for lang, text in rows:
         for w in text.lower().split():
-            g = lid.Grams.of([w])
-            for cells in (*g.grams, *g.contexts):
-                want.update((c, lang) for c in cells.tolist())
+            for k, c in enumerate(w + " "):
+                for n in range(lid.ORDER):
+                    keys = keys_of(("  " + w)[k + 2 - n : k + 2], c)
+                    want.update((key % lid.BUCKETS, lang) for key in keys)
     got = {(c, model.names[k]): int(model.counts[c, k]) for c, k in zip(*np.nonzero(model.counts), strict=True)}
     assert got == dict(want)
     assert lid.learn(spark.createDataFrame(rows, "lang string, text string"), most=1).names == ["a"]

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.blocks import mixed, text_runs
+from tidewire.llm.blocks import text_runs
+from tidewire.llm.char_grams import Grams
 from tidewire.llm.storage import stored
 
 #: First code points of script ranges; letters outside these scripts are "other". (fixed values)
@@ -67,48 +68,15 @@ def word_pattern(lower: str) -> regex.Pattern:
     return _ASCII if lower.isascii() else _WORD
 
 
+def cells(keys: np.ndarray) -> np.ndarray:
+    return (keys % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def script_of(word: str) -> int:
     """Script of a word's first letter, by the ranges."""
     return _SCRIPT_OF[bisect_right(_STARTS, ord(word[0])) - 1]
 
 
-@dataclass
-class Grams:
-    """Cells of the grams of 1 to ``ORDER`` characters that end at each character of some words, and of their contexts.
-
-    A word stands between borders, character 0; its closing border is a character, too.
-    """
-
-    grams: list[np.ndarray]
-    contexts: list[np.ndarray]
-    owner: np.ndarray
-    lengths: np.ndarray
-
-    @classmethod
-    def of(cls, words: list[str]) -> Grams:
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths + 1)
-        chars = np.zeros(int(lengths.sum()) + len(words), dtype=np.uint64)
-        inside = np.ones(len(chars), dtype=bool)
-        inside[ends - 1] = False
-        chars[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        place = np.arange(len(chars)) - np.repeat(ends - lengths - 1, lengths + 1)
-        grams, contexts, context = [], [], np.zeros(len(chars), dtype=np.uint64)
-        for k in range(ORDER):
-            if k:
-                before = np.zeros_like(chars)
-                before[k:] = chars[:-k] if k < len(chars) else 0
-                before[place < k] = 0
-                context = context * np.uint64(0x110001) + before + np.uint64(1)
-            contexts.append(cls._cells(context, 2 * k))
-            grams.append(cls._cells(context * np.uint64(0x110001) + chars + np.uint64(1), 2 * k + 1))
-        return cls(grams, contexts, np.repeat(np.arange(len(words)), lengths + 1), lengths)
-
-    @staticmethod
-    def _cells(keys: np.ndarray, kind: int) -> np.ndarray:
-        return (mixed(mixed(keys) + np.uint64(kind)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
 @dataclass
 class Model:
     """``names`` by falling number of training letters; counts by cell and language; scripts that a language uses."""
@@ -122,10 +90,10 @@ class Model:
 
         Languages that do not use the word's script are no candidates; where none uses it, all are alike.
         """
-        found = Grams.of(words)
+        found = Grams.of(words, ORDER)
         p = np.full((len(found.owner), len(self.names)), 1e-4, dtype=np.float32)
         for grams, contexts in zip(found.grams, found.contexts, strict=True):
-            p = (self.counts[grams] + LEAN * p) / (self.counts[contexts] + LEAN)
+            p = (self.counts[cells(grams)] + LEAN * p) / (self.counts[cells(contexts)] + LEAN)
         starts = np.cumsum(found.lengths + 1) - found.lengths - 1
         total = np.add.reduceat(np.log(p), starts, axis=0)
         chars = (found.lengths + 1)[:, None]
@@ -228,28 +196,28 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        cells: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
 
         def add() -> None:
             for name, words in held.items():
-                to = cells.setdefault(name, np.zeros(BUCKETS + len(SCRIPTS), dtype=np.int64))
+                to = sums.setdefault(name, np.zeros(BUCKETS + len(SCRIPTS), dtype=np.int64))
                 kinds = list(words)
                 for k in range(0, len(kinds), 50_000):
                     part = kinds[k : k + 50_000]
                     times = np.fromiter(map(words.__getitem__, part), dtype=np.int64, count=len(part))
-                    found = Grams.of(part)
-                    for each in (*found.grams, *found.contexts):
-                        to += np.bincount(each, weights=times[found.owner], minlength=len(to)).astype(np.int64)
+                    found = Grams.of(part, ORDER)
+                    for keys in (*found.grams, *found.contexts):
+                        to += np.bincount(cells(keys), weights=times[found.owner], minlength=len(to)).astype(np.int64)
                     scripts = BUCKETS + np.fromiter(map(script_of, part), dtype=np.int64, count=len(part))
                     to += np.bincount(scripts, weights=times * found.lengths, minlength=len(to)).astype(np.int64)
             held.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
             add()
-            for name, n in cells.items():
+            for name, n in sums.items():
                 at = np.flatnonzero(n)
                 yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "cell", "n"])
-            cells.clear()
+            sums.clear()
 
         for batch in batches:
             names = batch.column(0)
@@ -259,7 +227,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 2
                     held.setdefault(name, Counter()).update(word_pattern(lower).findall(lower))
                 if sum(map(len, held.values())) > 300_000:
                     add()
-                if len(cells) + len(held) > 64:
+                if len(sums) + len(held) > 64:
                     yield from flush()
         yield from flush()
 
