@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidewire.llm import toxicity
@@ -19,7 +22,7 @@ def chars():
      ("i.d.i.o.t", "idiot"), ("mo-ron", "moron"), ("scum!!!", "scum"), ("ｉｄｉｏｔ", "idiot"), ("weather,", "weather")],
 )
 def test_spellings_are_restored(chars, written, meant):
-    assert meant in toxicity.restored(chars, written) or meant in "".join(toxicity.restored(chars, written))
+    assert meant in toxicity.restored(chars, written)
 
 
 def test_spaced_letters_are_joined(chars):
@@ -115,9 +118,68 @@ def test_character_model_counts_all_texts(spark, docs_of):
     docs = docs_of([(i, "zephyr zephyr, " if i > 50 else "plain words") for i in range(200)] + [(999, None)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
-    assert model.chars.grams["zeph"] == 2 * 149 and model.chars.grams["plai"] == 51
-    few = toxicity.char_model(docs.select("text"), most=10).grams
-    assert 0 < len(few) <= 10 and min(few.values()) >= 2 * 149
+    assert model.chars.count("zeph") == 2 * 149 and model.chars.count("plai") == 51
+
+
+def test_gram_counts_equal_brute_force(spark, docs_of):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghéñ") for _ in range(rng.randint(1, 9))) for _ in range(60)) for _ in range(40)]
+    want = Counter()
+    for t in texts:
+        for w in t.split():
+            line = "   " + w + " "
+            for k in range(1, toxicity.ORDER + 1):
+                want.update(line[i - k + 1 : i + 1] for i in range(3, len(line)))
+    model = toxicity.char_model(docs_of(list(enumerate(texts))).select("text").repartition(5))
+    assert len(want) > 5000
+    off = [g for g, n in want.items() if model.count(g) != n]
+    assert len(off) <= len(want) / 1000 and all(model.count(g) >= want[g] for g in off)
+
+
+def test_no_reading_with_evidence_is_passed_over(chars):
+    """Tokens that are not decoded have no reading with a feature: the same words as by decoding all tokens."""
+    rng = random.Random(12)
+    wanted = {"idiot", "mor*", "scum", "wor*", "loser", "los*", "ass", "b2b", "scummy*", "l*"}
+    finder = toxicity.Finder(chars, wanted)
+    look = {"i": "1!|", "o": "0", "s": "5$", "a": "4@", "l": "1|", "e": "3", "t": "7+", "c": "(", "b": "86", "g": "9"}
+    for _ in range(4000):
+        word = rng.choice(["idiot", "moron", "scum", "worthless", "loser", "ass", "weather", "scummyy", "river", "b2b", "asset", "bloom"])
+        token = "".join(
+            (rng.choice(look[c]) if c in look and rng.random() < 0.3 else c) * rng.choice([1, 1, 1, 1, 2, 3]) + rng.choice([""] * 12 + list(".-*_!$|²½é"))
+            for c in word
+        )
+        token = rng.choice(["", "", "", "(", "!!", "$$$", "x-"]) + token + rng.choice(["", "", ",", "!!", "###", ".x", "|"])
+        if len(token.strip(".,;:*-_'\"")) < 2:
+            continue
+        assert set(finder.token(token) or ()) == {w for w in toxicity.restored(chars, token) if finder.carries(w)}, token
+
+
+def test_score_equals_brute_force(spark, docs_of):
+    """Evidence and scores of 200 texts from decoding every token, counted in plain dictionaries."""
+    docs, labels = _corpus(9)
+    docs, labels = docs[:200], labels[:200]
+    frame = docs_of(docs)
+    model = toxicity.learn(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), prior=2.0)
+    toxic = dict(labels)
+    base = (sum(toxic.values()) + 0.1) / (len(toxic) + 1)
+    held = {i: toxicity.all_words(model.chars, t, {}) for i, t in docs}
+    n, bad = Counter(), Counter()
+    for i, found in held.items():
+        each = {f for w in found for f in toxicity.features(w)}
+        n.update(each)
+        if toxic[i]:
+            bad.update(each)
+    share = {f: (bad[f] + 2.0 * base) / (n[f] + 2.0) for f in n if bad[f] > 2}
+    want = {f: q for f, q in share.items() if q > 1.2 * base}
+    assert model.evidence == pytest.approx(want) and want
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect()}
+    joined = toxicity.Joined(f for f, q in want.items() if not f.endswith("*") and q >= toxicity.JOIN_AT)
+    for i, t in docs:
+        found = held[i] | joined.words(model.chars, t.split())
+        strengths = [max(want[f] for f in toxicity.features(w) if f in want) for w in found if any(f in want for f in toxicity.features(w))]
+        top = [*sorted(strengths, reverse=True), base, base, base][:3]
+        x = np.array([*(math.log(q / (1 - q)) for q in top), math.log1p(len(t.split())), 1.0])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-float(np.clip(x @ model.weights, -30, 30)))))
 
 
 def test_without_labels_or_rows(spark, docs_of):

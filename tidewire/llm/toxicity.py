@@ -3,13 +3,18 @@
 Channel: letters may be written as look-alike digits and signs, repeated, or set apart by spaces and signs.  A token
 becomes a lattice of readings with costs; the Viterbi path under a character 4-gram model (interpolated over shorter
 contexts, word border included) is its restored text.  Letters without a doubled one have one reading and are taken as
-they stand.  Neighbouring tokens that together could be a word with evidence are read as one lattice too.
+they stand.  Neighbouring tokens that together could be a word with strong evidence are read as one lattice too.
+
+Character model: counts of the words of all texts in two rows of ``CELLS`` hashed cells; a gram's count is the smaller
+of its two cells.  So the model covers the whole corpus, has one size for any corpus, and leaves no gram out.
 
 Evidence: restored words and their beginnings, each with the share of toxic texts among the labelled texts that hold
 it, drawn towards the base rate.  The three words of a text with the strongest evidence and its length go into a
-logistic model, fitted on leave-one-out evidence of the labelled texts.  The character model counts the words of all
-texts; evidence and weights are learned on at most ``sample`` labelled rows (those with the smallest hash), a
-documented bound; scoring covers every text, whole.
+logistic model, fitted on leave-one-out evidence of the labelled texts.  Evidence and weights are learned on at most
+``sample`` labelled rows (those with the smallest hash), a documented bound; scoring covers every text, whole.
+
+Only words with evidence matter, so a token is decoded only if a reading of it could be or begin with such a word: its
+letters in classes of look-alikes, doubled ones as one, tell (``Finder.possible``).
 """
 
 from __future__ import annotations
@@ -20,15 +25,15 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewire.llm.blocks import text_runs
+from tidewire.llm.char_grams import Grams, keys_of
 from tidewire.llm.storage import stored
 
 #: Letters that digits and signs stand for. (fixed values)
@@ -37,9 +42,12 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LOOKALIKES) + ")!|«»„“”‘’…¿¡–—"
-ORDER = 4
+_PLAIN = "".join(c for c in EDGE if c not in LOOKALIKES)
+ORDER, CELLS, LEAN = 4, 1 << 21, 4.0
 RUN_BYTES = 4_000_000
 STARTS = (3, 4, 5, 6, 7)
+#: Evidence from which on words written in several tokens are looked for.
+JOIN_AT = 0.5
 #: Costs (negative log probabilities) of the channel's edits.
 SWAP, KEEP, DROP, SPLIT, SHRINK, PAIR, TOGETHER, BORDER, APART = 1.5, 9.0, 1.0, 4.0, 1.0, 3.0, 0.5, 1.5, 5.0
 _DOUBLE = re.compile(r"(.)\1")
@@ -52,42 +60,55 @@ def decomposed(token: str) -> str:
     return token if token.isascii() else unicodedata.normalize("NFKC", token)
 
 
-@dataclass
 class CharModel:
-    """Character n-gram model from counts of grams of 1 to ``ORDER`` characters; a space is the word border."""
+    """Character n-gram model from hashed counts of grams of 1 to ``ORDER`` characters and of their contexts."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.costs: dict[tuple[str, str], float] = {}
 
-    grams: dict[str, float]
-    costs: dict[tuple[str, str], float] = field(default_factory=dict)
+    def _count(self, key: int) -> float:
+        a, b = _places(key)
+        return float(min(self.table[0, a], self.table[1, b]))
 
-    def __post_init__(self):
-        self.follow = Counter()
-        self.kinds = Counter()
-        for gram, n in self.grams.items():
-            self.follow[gram[:-1]] += n
-            self.kinds[gram[:-1]] += 1
+    def count(self, gram: str) -> float:
+        """How often the gram was seen; a space is the word border."""
+        return self._count(keys_of(gram[:-1], gram[-1])[1])
 
     def cost(self, context: str, char: str) -> float:
-        """Negative log probability of ``char`` after ``context``, each order weighted by how much it has seen."""
+        """Negative log probability of ``char`` after ``context``, each order leaning on the shorter one."""
         known = self.costs.get((context, char))
         if known is None:
             p = 1e-5
             for k in range(len(context), -1, -1):
-                c = context[k:]
-                n = self.follow.get(c, 0)
+                before, gram = keys_of(context[k:], char)
+                n = self._count(before)
                 if n:
-                    p = (self.grams.get(c + char, 0) + self.kinds[c] * p) / (n + self.kinds[c])
+                    p = (min(self._count(gram), n) + LEAN * p) / (n + LEAN)
+            if len(self.costs) > 200_000:
+                self.costs.clear()
             known = self.costs[context, char] = -math.log(p)
         return known
 
 
-def counted(words: dict[str, int]) -> Counter:
-    grams: Counter = Counter()
-    for word, n in words.items():
-        text = " " * (ORDER - 1) + word + " "
-        for k in range(1, ORDER + 1):
-            for i in range(ORDER - 1, len(text)):
-                grams[text[i - k + 1 : i + 1]] += n
-    return grams
+def _places(key):
+    """The two cells of a key, from its high and its middle bits."""
+    return key >> 43, (key >> 20) & (CELLS - 1)
+
+
+def counted(words: dict[str, int]) -> np.ndarray:
+    """Counts of the grams of words in two rows of cells."""
+    table = np.zeros((2, CELLS), dtype=np.int64)
+    kinds = list(words)
+    for k in range(0, len(kinds), 50_000):
+        part = kinds[k : k + 50_000]
+        found = Grams.of(part, ORDER)
+        times = np.fromiter(map(words.__getitem__, part), dtype=np.int64, count=len(part))[found.owner]
+        for keys in (*found.grams, *found.contexts):
+            first, second = keys >> np.uint64(43), (keys >> np.uint64(20)) & np.uint64(CELLS - 1)
+            for row, at in enumerate((first, second)):
+                np.add.at(table[row], at.astype(np.int64), times)
+    return table
 
 
 def readings(text: str, spaced: bool = False) -> Iterator[list[tuple[str, float]]]:
@@ -245,44 +266,81 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-def text_words(model: CharModel, text: str, known: dict[str, list[str]]) -> tuple[set[str], int]:
-    """Distinct restored words of a text, and its number of tokens.  ``known`` keeps what tokens stand for."""
-    tokens = split_words(text)
-    if len(known) > 300_000:
-        known.clear()
-        model.costs.clear()
-    for t in set(tokens):
-        if t not in known:
-            known[t] = restored(model, t)
-    return {w for t in set(tokens) for w in known[t]}.union(spaced_out(model, tokens)), len(tokens)
+_RUNS = re.compile(r"(.)\1+")
+_ODD = re.compile(r"[^\W_]+|[\W_]")
 
 
-def summary(strengths: Iterable[float], tokens: int, base: float) -> list[float]:
-    """What the logistic model sees of a text: log odds of the three strongest words, its length, one."""
-    top = [*heapq.nlargest(3, strengths), base, base, base][:3]
-    return [*(math.log(q / (1 - q)) for q in top), math.log1p(tokens), 1.0]
+def outline(text: str) -> str:
+    """Letters and signs by class of look-alikes, runs as one, signs that only set apart left out."""
+    return _RUNS.sub(r"\1", text.translate(_SAME))
 
 
-class Weigher:
-    """Evidence of texts; what recent tokens gave is kept."""
+def single(token: str) -> bool:
+    return len(token) == 1 or len(token.strip(".,;:*-_'\"")) == 1
 
-    def __init__(self, model: CharModel, evidence: dict[str, float], base: float, most: int = 300_000):
-        self.model, self.evidence, self.base, self.most = model, evidence, base, most
-        self.known: dict[str, tuple[float, str] | bool | None] = {}
-        self.joined = Joined(f for f in evidence if not f.endswith("*"))
 
-    def word(self, word: str) -> tuple[float, str] | None:
-        """(strength, word), None without evidence."""
-        found = max((self.evidence.get(f, 0.0) for f in features(word)), default=0.0)
-        return (found, word) if found else None
+class Finder:
+    """Finds the restored words of texts that carry one of the given features; what recent tokens gave is kept."""
 
-    def token(self, token: str) -> tuple[float, str] | bool | None:
-        """True for single characters, as rows of them are read together."""
-        if len(token) == 1 or len(token.strip(".,;:*-_'\"")) == 1:
-            return True
-        return max(filter(None, map(self.word, restored(self.model, token))), default=None)
+    def __init__(self, model: CharModel, wanted: Iterable[str], joined: Iterable[str] = (), most: int = 200_000):
+        self.model, self.wanted, self.most = model, set(wanted), most
+        self.heads = {f[:3] for f in self.wanted if f.endswith("*")}
+        self.whole = {outline(f) for f in self.wanted if not f.endswith("*")}
+        self.starts = {outline(f[:-1]) for f in self.wanted if f.endswith("*")}
+        self.sizes = sorted({len(k) for k in self.starts})
+        self.known: dict[str, tuple[str, ...] | bool | None] = {}
+        self.joined = Joined(joined)
 
-    def text(self, text: str) -> list[float]:
+    def carries(self, word: str) -> bool:
+        return word in self.wanted or (word[:3] in self.heads and any(f in self.wanted for f in features(word)))
+
+    def possible(self, token: str) -> bool:
+        """Whether some reading of a lower-cased token could carry a feature: never false where one does.
+
+        A word of a reading joins neighbouring parts; a look-alike sign is its letter, or it sets apart or goes.
+        """
+        parts, signs = [], 0
+        for piece in _ODD.findall(token):
+            if piece[0].isalnum():
+                if not piece.isascii() and not all(c.isalpha() or c.isdigit() for c in piece):
+                    return True
+                parts.append(("letters", piece.translate(_SAME)))
+            elif piece in LOOKALIKES:
+                if parts and parts[-1] == ("sign", _SAME[ord(piece)]):
+                    continue
+                parts.append(("sign", _SAME[ord(piece)]))
+                signs += 1
+        if signs > 5 or len(parts) > 12:
+            return True
+        places = [i for i, (kind, _) in enumerate(parts) if kind == "sign"]
+        for chosen in range(1 << len(places)):
+            left_out = {i for k, i in enumerate(places) if not chosen >> k & 1}
+            units = [text for i, (_, text) in enumerate(parts) if i not in left_out]
+            for i in range(len(units)):
+                so_far = ""
+                for unit in units[i:]:
+                    so_far += unit
+                    if _RUNS.sub(r"\1", so_far) in self.whole:
+                        return True
+                line = _RUNS.sub(r"\1", so_far)
+                if any(line[:n] in self.starts for n in self.sizes):
+                    return True
+        return False
+
+    def token(self, token: str) -> tuple[str, ...] | bool | None:
+        """Words with a feature, None if there is none; True for single characters, as rows of them are read together."""
+        t = decomposed(token).lower()
+        bare = t if t.isalpha() else t.strip(_PLAIN)
+        if single(token):
+            return True
+        if bare.isalpha() and not _DOUBLE.search(bare):
+            return (bare,) if self.carries(bare) else None
+        if not self.possible(t):
+            return None
+        return tuple(filter(self.carries, restored(self.model, token))) or None
+
+    def text(self, text: str) -> tuple[set[str], int]:
+        """Distinct restored words with a feature, and the number of tokens."""
         tokens = split_words(text)
         known = self.known
         try:
@@ -290,18 +348,44 @@ class Weigher:
         except KeyError:
             if len(known) > self.most:
                 known.clear()
-                self.model.costs.clear()
             for t in set(tokens):
                 if t not in known:
                     known[t] = self.token(t)
             values = [known[t] for t in tokens]
-        found = set(filter(None, values))
-        if True in found:
-            found.discard(True)
-            if values.count(True) > 2:
-                found.update(filter(None, map(self.word, spaced_out(self.model, tokens))))
-        found.update(filter(None, map(self.word, self.joined.words(self.model, tokens))))
-        return summary((q for q, _ in found), len(tokens), self.base)
+        found: set[str] = set()
+        if any(values):
+            kinds = set(filter(None, values))
+            if True in kinds:
+                kinds.discard(True)
+                if values.count(True) > 2:
+                    found.update(filter(self.carries, spaced_out(self.model, tokens)))
+            for words in kinds:
+                found.update(words)
+        if self.joined.keys:
+            found.update(self.joined.words(self.model, tokens))
+        return found, len(tokens)
+
+
+def summary(strengths: Iterable[float], tokens: int, base: float) -> list[float]:
+    """What the logistic model sees of a text: log odds of the three strongest words, its length, one."""
+    top = [*heapq.nlargest(3, strengths), base, base, base][:3]
+    return [*(math.log(q / (1 - q)) for q in top), math.log1p(tokens), 1.0]
+
+
+class Weigher:
+    """Evidence of texts."""
+
+    def __init__(self, model: CharModel, evidence: dict[str, float], base: float):
+        self.evidence, self.base = evidence, base
+        strong = (f for f, q in evidence.items() if not f.endswith("*") and q >= JOIN_AT)
+        self.finder = Finder(model, evidence, strong)
+
+    def word(self, word: str) -> float:
+        return max(self.evidence.get(f, 0.0) for f in features(word))
+
+    def text(self, text: str) -> list[float]:
+        words, tokens = self.finder.text(text)
+        return summary(map(self.word, words), tokens, self.base)
 
 
 @dataclass
@@ -330,50 +414,44 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def char_model(texts: DataFrame, most: int = 1_000_000) -> CharModel:
-    """Character model of the words of all texts (one column).
-
-    Counts are those of the whole table.  Of its grams, at most about ``most`` are shipped, the most frequent ones; a
-    Latin alphabet has 0.5 million of four letters, and what is rarer is estimated from its shorter endings.
-    """
+def char_model(texts: DataFrame) -> CharModel:
+    """Character model of the words of all texts (one column), tokens of letters between signs."""
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        total = np.zeros((2, CELLS), dtype=np.int64)
 
-        def flush() -> pa.RecordBatch:
+        def add() -> None:
             words: Counter = Counter()
             for token, n in seen.items():
                 if (word := token.strip(EDGE)).isalpha():
                     words[word] += n
             seen.clear()
-            counts = counted(words)
-            return pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["gram", "n"])
+            np.add(total, counted(words), out=total)
 
         for batch in batches:
             for _, run in text_runs(batch.column(0), RUN_BYTES):
                 for t in run:
                     seen.update(t.lower().split())
-                if len(seen) > 300_000:
-                    yield flush()
-        yield flush()
-
-    found = stored(texts.mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "toxic-grams")
-    # the counts at which grams get too many: a few levels an octave
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = found.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect()
-    total, least = 0, 0
-    for r in sizes:
-        total += r["count"]
-        if total > most:
-            least = r["level"] + 1
-            break
-    return CharModel({r["gram"]: float(r["n"]) for r in found.filter(level >= least).toLocalIterator()})
+                if len(seen) > 200_000:
+                    add()
+        add()
+        for row in range(2):
+            at = np.flatnonzero(total[row])
+            yield pa.record_batch([pa.array(at + row * CELLS), pa.array(total[row][at])], ["cell", "n"])
+
+    found = texts.mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").cast("float").alias("n"))
+    rows = stored(found, "toxic-cells").toArrow()  # at most 2 * CELLS rows of 12 bytes
+    table = np.zeros(2 * CELLS, dtype=np.float32)
+    table[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return CharModel(table.reshape(2, CELLS))
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, prior: float = 10.0) -> Model:
     """Learn from the labelled rows given (the caller keeps held-out rows away), at most ``sample`` of them.
 
-    Rows with a null label, id or text teach nothing.  Without labels every text gets the same score.
+    Rows with a null label, id or text teach nothing; an id that several rows hold teaches with each.  Without labels or
+    documents every text gets the same score.  Only the named columns are read.
     """
     usable = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), (F.col(label) == 1).cast("int").alias("y"))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -385,55 +463,79 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     totals = texts.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     base = (totals[0] + 0.1) / (totals[1] + 1)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, all_of, known = Counter(), Counter(), {}
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of toxic texts with the number of texts."""
+        held: Counter = Counter()
+        known: dict[str, list[str]] = {}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.update({f for w in all_words(chars, t, known) for f in features(w)})
+        yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["f", "bad"])
+
+    bad = texts.filter("y = 1").select("text").mapInArrow(beginnings, "f string, bad long").groupBy("f").agg(F.sum("bad").alias("bad"))
+    wanted = {r["f"]: r["bad"] for r in bad.filter("bad > 2").collect()}
+
+    def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every labelled text the words with a wanted feature."""
+        finder = Finder(chars, wanted)
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = {f for w in text_words(chars, t, known)[0] for f in features(w)}
-                all_of.update(one)
-                if y:
-                    bad.update(one)
-        rows = [(f, bad[f], n) for f, n in all_of.items()]
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["f", "bad", "n"])
-
-    held = texts.mapInArrow(weigh, "f string, bad long, n long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    share = (F.col("bad") + prior * base) / (F.col("n") + prior)
-    strong = held.filter((F.col("bad") > 2) & (share > 1.2 * base)).collect()
-    counts = {r["f"]: (r["bad"], r["n"]) for r in strong}
+            found = [finder.text(t) for t in batch.column(0).to_pylist()]
+            words = pa.array([sorted(w) for w, _ in found], pa.list_(pa.string()))
+            yield pa.record_batch([words, pa.array([n for _, n in found], pa.int32()), batch.column(1)], ["words", "tokens", "y"])
+
+    held = stored(texts.mapInArrow(seen_in, "words array<string>, tokens int, y int"), "toxic-words")
+
+    def counted_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                n.update({f for w in words for f in features(w) if f in wanted})
+        yield pa.record_batch([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["f", "n"])
+
+    n_of = {r["f"]: r["n"] for r in held.select("words").mapInArrow(counted_in, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    evidence = {f: (b + prior * base) / (n_of[f] + prior) for f, b in wanted.items() if f in n_of}
+    evidence = {f: q for f, q in evidence.items() if q > 1.2 * base}
+    counts = {f: (wanted[f], n_of[f]) for f in evidence}
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[str]] = {}
         for batch in batches:
             rows = []
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, tokens = text_words(chars, t, seen)
-                known = ([counts[f] for f in features(w) if f in counts] for w in found)
+            for words, tokens, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = ([counts[f] for f in features(w) if f in counts] for w in words)
                 strengths = (max((b - y + prior * base) / (n - 1 + prior) for b, n in each) for each in known if each)
                 rows.append([*summary(strengths, tokens, base), float(y)])
             yield pa.record_batch([pa.array([r[k] for r in rows], pa.float64()) for k in range(SUMMARY + 1)], names)
 
     names = [*(f"x{k}" for k in range(SUMMARY)), "y"]
-    points = texts.mapInArrow(leave_out, ", ".join(f"{n} double" for n in names)).toPandas().to_numpy()
-    weights = fitted(points[:, :SUMMARY], points[:, SUMMARY])
-    evidence = {f: (b + prior * base) / (n + prior) for f, (b, n) in counts.items()}
-    return Model(chars, evidence, base, weights)
+    points = held.mapInArrow(leave_out, ", ".join(f"{n} double" for n in names)).toPandas().to_numpy()
+    return Model(chars, evidence, base, fitted(points[:, :SUMMARY], points[:, SUMMARY]))
+
+
+def all_words(model: CharModel, text: str, known: dict[str, list[str]]) -> set[str]:
+    """Distinct restored words of a text, with or without evidence; single characters count in rows only.  ``known`` keeps what tokens stand for."""
+    tokens = split_words(text)
+    if len(known) > 200_000:
+        known.clear()
+    for t in set(tokens):
+        if t not in known:
+            known[t] = [] if single(t) else restored(model, t)
+    return {w for t in set(tokens) for w in known[t]}.union(spaced_out(model, tokens))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``score`` double, 0 to 1 (a column of that name is replaced).
 
-    Null, empty and blank texts score as texts without evidence.  Every row is scored on its own, repeats alike.
+    Null, empty and blank texts score as texts without evidence.  Every row is scored on its own, repeats alike; an
+    empty table stays empty.  Only the texts go through the workers.
     """
-    kept = [f for f in docs.schema.fields if f.name != "score"]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
-    place = [f.name for f in kept].index(text)
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weigher = Weigher(model.chars, model.evidence, model.base)
-        for batch in batches:
-            seen = [weigher.text(t) for _, texts in text_runs(batch.column(place), RUN_BYTES) for t in texts]
+        for texts in batches:
+            seen = [weigher.text(t) for _, run in text_runs(texts, RUN_BYTES) for t in run]
             x = np.array(seen, dtype=float).reshape(-1, SUMMARY)
-            out = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
-            yield pa.record_batch([*batch.columns, pa.array(out)], schema.names)
+            yield pa.array(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(rate, schema)
+    # typed here, as annotations are only names in this module
+    rate.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.drop("score").withColumn("score", F.arrow_udf(rate, "double")(F.col(f"`{text}`").cast("string")))
