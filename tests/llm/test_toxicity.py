@@ -159,7 +159,7 @@ def test_score_equals_brute_force(spark, docs_of):
     docs, labels = _corpus(9)
     docs, labels = docs[:200], labels[:200]
     frame = docs_of(docs)
-    model = toxicity.learn(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), prior=2.0)
+    model = toxicity.learn(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), prior=2.0, lift=1.2)
     toxic = dict(labels)
     base = (sum(toxic.values()) + 0.1) / (len(toxic) + 1)
     held = {i: toxicity.all_words(model.chars, t, {}) for i, t in docs}

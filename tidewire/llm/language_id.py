@@ -128,18 +128,18 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def viterbi(scores: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
     """(path, its total): sums of scores less the penalty for every change; ties stay, else go to the first language."""
-    value, back = scores[0].astype(np.float64), np.empty(scores.shape, dtype=np.int32)
-    own = np.arange(scores.shape[1])
-    for t in range(1, len(scores)):
-        top = int(value.argmax())
-        moved = value[top] - penalty
-        back[t] = np.where(value >= moved, own, top)
-        value = np.maximum(value, moved) + scores[t]
-    path = np.empty(len(scores), dtype=np.int64)
-    path[-1] = value.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path, float(value.max())
+    rows = scores.tolist()
+    value, back = rows[0], []
+    for row in rows[1:]:
+        best = max(value)
+        top, moved = value.index(best), best - penalty
+        back.append([k if v >= moved else top for k, v in enumerate(value)])
+        value = [(v if v >= moved else moved) + x for v, x in zip(value, row, strict=True)]
+    best = max(value)
+    path = [value.index(best)]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return np.array(path[::-1], dtype=np.int64), best
 
 
 class Labeller:
@@ -175,8 +175,13 @@ class Labeller:
         sums = scores[path == top].sum(axis=0, dtype=np.float64)
         return self.model.names[top], float(share[top] / letters.sum() / np.exp(np.minimum(sums - sums[top], 700)).sum())
 
-    def spans(self, lower: str, path: np.ndarray) -> list[dict]:
+    def spans(self, lower: str, words: list[str], path: np.ndarray) -> list[dict]:
         """Runs of words of one language: code points from the first letter to behind the last."""
+        if not words:
+            return []
+        if (path == path[0]).all():  # no letter stands before the first or behind the last word
+            start, end = lower.index(words[0]), lower.rindex(words[-1]) + len(words[-1])
+            return [{"start": start, "end": end, "lang": self.model.names[path[0]]}]
         out: list[dict] = []
         for m, language in zip(word_pattern(lower).finditer(lower), path.tolist(), strict=True):
             name = self.model.names[language]
@@ -267,7 +272,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                     name, score = labeller.judged(words, each, path) if words else (UNKNOWN, 0.0)
                     names.append(name)
                     scores.append(score)
-                    spans.append(labeller.spans(lower, path))
+                    spans.append(labeller.spans(lower, words, path))
             found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, arrow_span)]
             yield pa.record_batch([*batch.columns[:-1], *found], schema.names)
 

@@ -207,14 +207,6 @@ _SAME = str.maketrans(
 )
 
 
-class Pieces(dict):
-    """What a token gives to a joined word, computed on first sight."""
-
-    def __missing__(self, token: str) -> str:
-        found = self[token] = decomposed(token).lower().translate(_SAME)
-        return found
-
-
 class Joined:
     """Finds words with evidence that are written in several tokens (``st up id``); rows of plain numbers are numbers."""
 
@@ -223,26 +215,35 @@ class Joined:
         for w in words:
             self.keys.setdefault(w.translate(_SAME), set()).add(w)
         self.starts = {k[:n] for k in self.keys for n in range(1, len(k) + 1)}
-        self.pieces = Pieces()
 
-    def words(self, model: CharModel, tokens: list[str], most: int = 300_000) -> set[str]:
-        """Words whose pieces stand side by side and which the decoder prefers to the pieces."""
-        if len(self.pieces) > most:
-            self.pieces.clear()
-        pieces = [self.pieces[t] for t in tokens]
+    @staticmethod
+    def piece(token: str) -> str:
+        """What a token gives to a joined word."""
+        return decomposed(token).lower().translate(_SAME)
+
+    def words(self, model: CharModel, tokens: list[str], first: set[str] | None = None) -> set[str]:
+        """Words whose pieces stand side by side and which the decoder prefers to the pieces.
+
+        ``first``: the tokens that a word may begin with, if they are known.
+        """
         starts, out = self.starts, set()
-        for i in [i for i, p in enumerate(pieces) if p in starts]:
-            before = pieces[i]
-            for j in range(i + 1, len(pieces)):
-                if not pieces[j]:
+        for i, token in enumerate(tokens):
+            if (token not in first) if first is not None else (self.piece(token) not in starts):
+                continue
+            before, pieces = self.piece(token), [self.piece(token)]
+            for j in range(i + 1, len(tokens)):
+                now = self.piece(tokens[j])
+                if not now:
+                    pieces.append(now)
                     continue
                 # signs at the end of a word may be letters or not
-                for last in {pieces[j], self.pieces[tokens[j].rstrip("!|")]}:
+                for last in {now, self.piece(tokens[j].rstrip("!|"))}:
                     for word in self.keys.get(before + last, ()) if last else ():
-                        parts = [*filter(None, pieces[i:j]), last]
+                        parts = [*filter(None, pieces), last]
                         if word not in out and not all(t.isdigit() for t in tokens[i : j + 1]) and self._preferred(model, word, parts):
                             out.add(word)
-                before += pieces[j]
+                before += now
+                pieces.append(now)
                 if before not in starts:
                     break
         return out
@@ -290,6 +291,7 @@ class Finder:
         self.sizes = sorted({len(k) for k in self.starts})
         self.known: dict[str, tuple[str, ...] | bool | None] = {}
         self.joined = Joined(joined)
+        self.first: set[str] = set()
 
     def carries(self, word: str) -> bool:
         return word in self.wanted or (word[:3] in self.heads and any(f in self.wanted for f in features(word)))
@@ -329,10 +331,10 @@ class Finder:
 
     def token(self, token: str) -> tuple[str, ...] | bool | None:
         """Words with a feature, None if there is none; True for single characters, as rows of them are read together."""
-        t = decomposed(token).lower()
-        bare = t if t.isalpha() else t.strip(_PLAIN)
         if single(token):
             return True
+        t = decomposed(token).lower()
+        bare = t if t.isalpha() else t.strip(_PLAIN)
         if bare.isalpha() and not _DOUBLE.search(bare):
             return (bare,) if self.carries(bare) else None
         if not self.possible(t):
@@ -348,9 +350,12 @@ class Finder:
         except KeyError:
             if len(known) > self.most:
                 known.clear()
+                self.first.clear()
             for t in set(tokens):
                 if t not in known:
                     known[t] = self.token(t)
+                    if self.joined.piece(t) in self.joined.starts:
+                        self.first.add(t)
             values = [known[t] for t in tokens]
         found: set[str] = set()
         if any(values):
@@ -361,8 +366,8 @@ class Finder:
                     found.update(filter(self.carries, spaced_out(self.model, tokens)))
             for words in kinds:
                 found.update(words)
-        if self.joined.keys:
-            found.update(self.joined.words(self.model, tokens))
+        if not self.first.isdisjoint(tokens):
+            found.update(self.joined.words(self.model, tokens, self.first))
         return found, len(tokens)
 
 
@@ -447,11 +452,12 @@ def char_model(texts: DataFrame) -> CharModel:
     return CharModel(table.reshape(2, CELLS))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, prior: float = 10.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, prior: float = 10.0, lift: float = 2.0) -> Model:
     """Learn from the labelled rows given (the caller keeps held-out rows away), at most ``sample`` of them.
 
     Rows with a null label, id or text teach nothing; an id that several rows hold teaches with each.  Without labels or
-    documents every text gets the same score.  Only the named columns are read.
+    documents every text gets the same score.  Only the named columns are read.  A feature is evidence if the share of
+    toxic texts among those that hold it is more than ``lift`` times that of all.
     """
     usable = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), (F.col(label) == 1).cast("int").alias("y"))
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -494,7 +500,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     n_of = {r["f"]: r["n"] for r in held.select("words").mapInArrow(counted_in, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     evidence = {f: (b + prior * base) / (n_of[f] + prior) for f, b in wanted.items() if f in n_of}
-    evidence = {f: q for f, q in evidence.items() if q > 1.2 * base}
+    evidence = {f: q for f, q in evidence.items() if q > lift * base}
     counts = {f: (wanted[f], n_of[f]) for f in evidence}
 
     def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
