@@ -19,32 +19,45 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold.  Learns from labels whose fold is not held out."""
+    """Documents that score below the threshold.  Learns from labels whose fold is not held out.
+
+    Null and empty texts hold no evidence and stay; repeated rows stay or go alike; an empty table stays empty.
+    """
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(words.fold_of(F.col("doc_id"), 4) != 2)
-    scored = toxicity.score(docs.select(*COLUMNS), toxicity.learn(docs, labels))
-    return scored.filter(F.col("score") < TOXIC_AT).select(*COLUMNS)
+    model = toxicity.learn(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs.select(*COLUMNS), model).filter(F.col("score") < TOXIC_AT).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of linked documents.
 
-    Ids are taken to name one text each.  Rows without id are in no group and stay; of rows that repeat an id and its
-    text one stays.  Only ids that go are joined with the texts.
+    An id may name several texts, so rows are told apart by a 64-bit hash of id and text; of a group's rows of the
+    smallest id one of the smallest hash stays.  Rows without id are in no group and stay; null and empty texts are linked
+    with nothing; of rows that repeat an id and its text one stays.  Only hashes that go are joined with the texts.
     """
     ship_package(spark)
-    groups = stored(signature_tree.join(docs.select("doc_id", "text")), "pipeline-groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated = stored(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-repeated")
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    rows = docs.select(*COLUMNS).withColumn("row", row)
+    found = signature_tree.join(rows.select(F.col("row").alias("doc_id"), "text")).filter("doc_id is not null")
+    groups = stored(found.groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count(F.lit(1)).alias("times")), "pipeline-groups")
+    linked = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("component_id")
+    members = groups.join(linked, "component_id").join(rows.filter("row is not null").select("doc_id", "row").distinct(), "row")
+    best = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    gone = members.join(best, "component_id").filter("row <> best.row").select("row").distinct()
+    kept = rows.join(stored(gone, "pipeline-gone"), "row", "left_anti")
+    repeated = groups.filter("times > 1").select("row")
     if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+    return kept.join(repeated, "row", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Null and empty texts have no words and are taken once; a null source is a source; an empty table stays empty.
+    """
     ship_package(spark)
     sized = docs.select(*COLUMNS).withColumns({"size": words.word_count(F.col("text")), "crc": words.crc32_of(F.col("text"))})
     taken = entropy_mix.balance(sized, ["doc_id", "crc"])
@@ -52,14 +65,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens, with their token ids."""
+    """Pieces of sequences of 4096 tokens, with their token ids.  A null or empty text is its end mark alone."""
     ship_package(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), PACK_LENGTH, END_ID, with_ids=True)
 
 
 STAGES = [("toxicity", without_toxic), ("near copies", without_near_copies), ("mixing", mixed), ("packing", packed)]
 
-#: SQL expresses neither the learned scores nor the tokenizer; tests/llm compares each stage with a brute-force version.
+#: SQL expresses neither the learned scores nor the tokenizer; tests/llm compares stages with brute-force versions.
 ORACLE_SQL = None
 
 
