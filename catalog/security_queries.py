@@ -677,6 +677,39 @@ def _search_audit(t: Tables):
     return changes.search_audit(_audit(t), "Policy subnet", after=(F.to_timestamp(F.lit("2024-01-20")), "", ""), size=25)
 
 
+@query(
+    "search_audit_repeats",
+    with_views(
+        "daud",
+        """SELECT * FROM daud WHERE contains(action, 'c') AND (timestamp < TIMESTAMP '2024-01-20' OR (timestamp = TIMESTAMP '2024-01-20'
+  AND (action > 'click' OR (action = 'click' AND details >= 'even')))) ORDER BY timestamp DESC, action, details LIMIT 40 OFFSET 3""",
+    ),
+)
+def _search_audit_repeats(t: Tables):
+    """A page that begins behind three of several equal rows."""
+    after = (F.to_timestamp(F.lit("2024-01-20")), "click", "even", 3)
+    return changes.search_audit(t.day_audit, "c", after=after, size=40)
+
+
+_ODD_OPS = "CASE id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'upsert' WHEN 2 THEN 'DELETE' ELSE op END"
+
+
+@query(
+    "judged_changes",
+    with_views(
+        "plog",
+        """SELECT id, op, changed_at, count(*) AS entries, bool_and(op IS NULL OR op NOT IN ('insert', 'update', 'delete')) AS unknown_op FROM
+  (SELECT id, changed_at, """ + _ODD_OPS + """ AS op FROM plog) x GROUP BY id, op, changed_at""",
+    ),
+)
+def _judged_changes(t: Tables):
+    """Every entry of the log is judged, those of a null or unknown op too."""
+    log = t.policy_log.withColumn("op", F.expr(_ODD_OPS))
+    judged = changes.judged_changes(_policy_table(t), log, policies.validate_policies)
+    unknown = F.bool_and(F.coalesce(F.col("reject_reason") == "unknown op", F.lit(False)))
+    return judged.groupBy("id", "op", "changed_at").agg(F.count(F.lit(1)).alias("entries"), unknown.alias("unknown_op"))
+
+
 # --- risk -------------------------------------------------------------------------------------------------------------
 
 _CONTRIB = f"""contrib AS (SELECT *, base_weight * decay_factor AS contribution FROM (SELECT *, greatest(1 - age_hours / 24.0, 0.15)::DOUBLE AS decay_factor

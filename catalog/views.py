@@ -184,6 +184,13 @@ SELECT CAST(user_id AS BIGINT) AS id, CASE WHEN k % 29 = 0 THEN '' ELSE concat('
 FROM f"""
 
 
+def day_audit_sql(d: Dialect) -> str:
+    """Audit rows of whole days, most of which repeat."""
+    return """
+SELECT date_trunc('day', event_ts) AS timestamp, event_type AS action, CASE WHEN k % 2 = 0 THEN 'even' ELSE 'odd' END AS details
+FROM f"""
+
+
 # --- literal rule tables: (columns, rows) ---------------------------------------------------
 
 POLICY_COLUMNS = (
@@ -249,6 +256,7 @@ CTES = {
     "llog": label_log_sql(DUCK),
     "slog": status_log_sql(DUCK),
     "plog": policy_log_sql(DUCK),
+    "daud": day_audit_sql(DUCK),
     "agg": AGG_SQL.format(bucket="date_trunc('minute', event_ts)"),
     "aday": AGG_SQL.format(bucket="date_trunc('day', event_ts)"),
     "pol": values_sql(POLICY_COLUMNS, POLICIES, spark=False),
@@ -256,7 +264,7 @@ CTES = {
 }
 _NEEDS = {
     "dec": "f", "pk": "f", "dev": "f", "anom": "f", "nlog": "anom", "sysl": "f", "eve": "f", "llog": "f",
-    "slog": "f", "plog": "f", "agg": "f", "aday": "f",
+    "slog": "f", "plog": "f", "daud": "f", "agg": "f", "aday": "f",
 }
 
 
@@ -346,6 +354,10 @@ class Tables:
     def policy_log(self) -> DataFrame:
         return self._from_flows(policy_log_sql)
 
+    @property
+    def day_audit(self) -> DataFrame:
+        return self._from_flows(day_audit_sql)
+
     @property
     def policies(self) -> DataFrame:
         return self.spark.sql(values_sql(POLICY_COLUMNS, POLICIES, spark=True))

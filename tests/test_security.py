@@ -260,6 +260,38 @@ def test_status_labels_and_rule_changes(spark):
     assert first + rest == changes.list_audit(audit, 300).collect() and len(rest) == 1
 
 
+def test_repeated_audit_rows_are_on_one_page_each(spark):
+    rows = [(hours(5), "save", "x")] * 5 + [(hours(5), "save", "y"), (hours(4), "drop", "x"), (hours(9), "save", "x")]
+    audit = spark.createDataFrame(rows, "timestamp timestamp, action string, details string")
+    for size in (1, 2, 3, 4, 8):
+        seen, after = [], None
+        while page := changes.search_audit(audit, after=after, size=size).collect():
+            seen += page
+            after = changes.page_end(page, after)
+        assert seen == changes.list_audit(audit, 300).collect() and len(seen) == 8
+
+
+def test_changes_of_unknown_kind_are_rejected(spark):
+    cols = schemas.POLICIES + ", op string, changed_at timestamp"
+    table = policy_table(spark, policy(1, "global"))
+    log = spark.createDataFrame(
+        [(*policy(1, "global", cooldown=9), op, hours(k)) for k, op in enumerate((None, "upsert", "DELETE", "update"), 2)], cols
+    )
+    judged = changes.judged_changes(table, log, policies.validate_policies)
+    assert sorted((r.op or "", r.reject_reason or "") for r in judged.collect()) == [
+        ("", "unknown op"), ("DELETE", "unknown op"), ("update", ""), ("upsert", "unknown op")]
+    after, bad = changes.apply_rule_changes(table, log, policies.validate_policies)
+    assert [r.cooldown_seconds for r in after.collect()] == [9] and bad.count() == 3
+
+
+def test_cooldown_tells_null_from_the_text_null(spark):
+    rows = [(ip, "a", hours(1), "d") for ip in (None, "null", "", "=", "{null}")]
+    df = spark.createDataFrame(rows, "ip string, type string, created_at timestamp, note string")
+    again = df.unionByName(df.withColumn("created_at", df.created_at + F.expr("interval 5 minutes")))
+    kept = alerts.dedup_alerts(again, 900, carry=["note"]).collect()
+    assert sorted(map(repr, (r.ip for r in kept))) == sorted(map(repr, (r[0] for r in rows)))
+
+
 def test_change_log_is_taken_in_order(spark):
     cols = schemas.POLICIES + ", op string, changed_at timestamp"
     table = policy_table(spark, policy(1, "global"), policy(2, "global"))

@@ -114,7 +114,8 @@ def keep_spaced(rows: DataFrame, keys: list[str], gap: Column, slot_seconds: int
     """
     named = {k: f"_key{i}" for i, k in enumerate(keys)}
     safe = [*named.values()]
-    marked = rows.withColumns({n: F.struct(F.col(k)).cast("string") for k, n in named.items()})
+    # null is a key of its own, apart from the text "null"
+    marked = rows.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k, n in named.items()})
     times = marked.select(*safe, "us", gap.cast("long").alias("_gap"))
     slot = F.expr(f"us div {slot_seconds * 1_000_000}")
     placed = with_last(times, safe, ["us"], F.col("us"), "_previous", slot, past=True)
