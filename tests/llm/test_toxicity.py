@@ -151,7 +151,7 @@ def test_no_reading_with_evidence_is_passed_over(chars):
         token = rng.choice(["", "", "", "(", "!!", "$$$", "x-"]) + token + rng.choice(["", "", ",", "!!", "###", ".x", "|"])
         if len(token.strip(".,;:*-_'\"")) < 2:
             continue
-        assert set(finder.token(token) or ()) == {w for w in toxicity.restored(chars, token) if finder.carries(w)}, token
+        assert set(finder.token(token)) == {w for w in toxicity.restored(chars, token) if finder.carries(w)}, token
 
 
 def test_score_equals_brute_force(spark, docs_of):

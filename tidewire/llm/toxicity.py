@@ -85,7 +85,7 @@ class CharModel:
                 n = self._count(before)
                 if n:
                     p = (min(self._count(gram), n) + LEAN * p) / (n + LEAN)
-            if len(self.costs) > 200_000:
+            if len(self.costs) > 100_000:
                 self.costs.clear()
             known = self.costs[context, char] = -math.log(p)
         return known
@@ -96,12 +96,12 @@ def _places(key):
     return key >> 43, (key >> 20) & (CELLS - 1)
 
 
-def counted(words: dict[str, int]) -> np.ndarray:
-    """Counts of the grams of words in two rows of cells."""
-    table = np.zeros((2, CELLS), dtype=np.int64)
+def counted(words: dict[str, int], table: np.ndarray | None = None) -> np.ndarray:
+    """Counts of the grams of words in two rows of cells, added to ``table`` if there is one."""
+    table = np.zeros((2, CELLS), dtype=np.int64) if table is None else table
     kinds = list(words)
-    for k in range(0, len(kinds), 50_000):
-        part = kinds[k : k + 50_000]
+    for k in range(0, len(kinds), 10_000):
+        part = kinds[k : k + 10_000]
         found = Grams.of(part, ORDER)
         times = np.fromiter(map(words.__getitem__, part), dtype=np.int64, count=len(part))[found.owner]
         for keys in (*found.grams, *found.contexts):
@@ -186,10 +186,12 @@ def restored(model: CharModel, token: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def spaced_out(model: CharModel, tokens: list[str]) -> list[str]:
-    """Words that rows of at least three single characters stand for."""
+def spaced_out(model: CharModel, tokens: list[str], singles: set[str] | None = None) -> list[str]:
+    """Words that rows of at least three single characters stand for; ``singles``: the tokens of one character."""
     out, row = [], []
     for t in [*tokens, "  "]:
+        if singles is not None and t not in singles and not row:
+            continue
         bare = t.strip(".,;:*-_'\"")
         if len(bare) == 1 and (bare.isalpha() or bare in LOOKALIKES):
             row.append(bare.lower())
@@ -283,14 +285,17 @@ def single(token: str) -> bool:
 class Finder:
     """Finds the restored words of texts that carry one of the given features; what recent tokens gave is kept."""
 
-    def __init__(self, model: CharModel, wanted: Iterable[str], joined: Iterable[str] = (), most: int = 200_000):
+    def __init__(self, model: CharModel, wanted: Iterable[str], joined: Iterable[str] = (), most: int = 150_000):
         self.model, self.wanted, self.most = model, set(wanted), most
         self.heads = {f[:3] for f in self.wanted if f.endswith("*")}
         self.whole = {outline(f) for f in self.wanted if not f.endswith("*")}
         self.starts = {outline(f[:-1]) for f in self.wanted if f.endswith("*")}
         self.sizes = sorted({len(k) for k in self.starts})
-        self.known: dict[str, tuple[str, ...] | bool | None] = {}
         self.joined = Joined(joined)
+        self.longest = max(map(len, self.joined.starts), default=0)
+        self.known: set[str] = set()
+        self.words_of: dict[str, tuple[str, ...]] = {}
+        self.singles: set[str] = set()
         self.first: set[str] = set()
 
     def carries(self, word: str) -> bool:
@@ -329,44 +334,45 @@ class Finder:
                     return True
         return False
 
-    def token(self, token: str) -> tuple[str, ...] | bool | None:
-        """Words with a feature, None if there is none; True for single characters, as rows of them are read together."""
-        if single(token):
-            return True
+    def token(self, token: str) -> tuple[str, ...]:
+        """Words with a feature that a token of several characters stands for."""
         t = decomposed(token).lower()
         bare = t if t.isalpha() else t.strip(_PLAIN)
-        if bare.isalpha() and not _DOUBLE.search(bare):
-            return (bare,) if self.carries(bare) else None
+        if bare.isalpha():
+            if not _DOUBLE.search(bare):
+                return (bare,) if self.carries(bare) else ()
+            if bare is t and not self._outlined(outline(t)):
+                return ()
         if not self.possible(t):
-            return None
-        return tuple(filter(self.carries, restored(self.model, token))) or None
+            return ()
+        return tuple(filter(self.carries, restored(self.model, token)))
+
+    def _outlined(self, line: str) -> bool:
+        return line in self.whole or any(line[:n] in self.starts for n in self.sizes)
+
+    def _learn(self, token: str) -> None:
+        self.known.add(token)
+        if single(token):
+            self.singles.add(token)
+        elif words := self.token(token):
+            self.words_of[token] = words
+        # a piece of letters is no longer than the word
+        if (len(token) <= self.longest or not token.isalnum()) and self.joined.piece(token) in self.joined.starts:
+            self.first.add(token)
 
     def text(self, text: str) -> tuple[set[str], int]:
-        """Distinct restored words with a feature, and the number of tokens."""
+        """Distinct restored words with a feature, and the number of tokens; rows of single characters count as one."""
         tokens = split_words(text)
-        known = self.known
-        try:
-            values = [known[t] for t in tokens]
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-                self.first.clear()
-            for t in set(tokens):
-                if t not in known:
-                    known[t] = self.token(t)
-                    if self.joined.piece(t) in self.joined.starts:
-                        self.first.add(t)
-            values = [known[t] for t in tokens]
-        found: set[str] = set()
-        if any(values):
-            kinds = set(filter(None, values))
-            if True in kinds:
-                kinds.discard(True)
-                if values.count(True) > 2:
-                    found.update(filter(self.carries, spaced_out(self.model, tokens)))
-            for words in kinds:
-                found.update(words)
-        if not self.first.isdisjoint(tokens):
+        kinds = set(tokens)
+        if len(self.known) > self.most:
+            for held in (self.known, self.words_of, self.singles, self.first):
+                held.clear()
+        for t in kinds.difference(self.known):
+            self._learn(t)
+        found = {w for t in kinds.intersection(self.words_of) for w in self.words_of[t]}
+        if not self.singles.isdisjoint(kinds) and sum(map(self.singles.__contains__, tokens)) > 2:
+            found.update(filter(self.carries, spaced_out(self.model, tokens, self.singles)))
+        if not self.first.isdisjoint(kinds):
             found.update(self.joined.words(self.model, tokens, self.first))
         return found, len(tokens)
 
@@ -432,13 +438,13 @@ def char_model(texts: DataFrame) -> CharModel:
                 if (word := token.strip(EDGE)).isalpha():
                     words[word] += n
             seen.clear()
-            np.add(total, counted(words), out=total)
+            counted(words, total)
 
         for batch in batches:
             for _, run in text_runs(batch.column(0), RUN_BYTES):
                 for t in run:
                     seen.update(t.lower().split())
-                if len(seen) > 200_000:
+                if len(seen) > 150_000:
                     add()
         add()
         for row in range(2):
@@ -452,7 +458,7 @@ def char_model(texts: DataFrame) -> CharModel:
     return CharModel(table.reshape(2, CELLS))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, prior: float = 10.0, lift: float = 2.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20_000, prior: float = 10.0, lift: float = 3.0) -> Model:
     """Learn from the labelled rows given (the caller keeps held-out rows away), at most ``sample`` of them.
 
     Rows with a null label, id or text teach nothing; an id that several rows hold teaches with each.  Without labels or
