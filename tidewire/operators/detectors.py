@@ -219,17 +219,22 @@ def beaconing(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
     tolerance = F.greatest(
         F.col("_mean") * params.beacon_jitter_ratio, F.lit(params.beacon_jitter_floor * 1e6)
     )
-    rows = (
+    found = (
         rows.filter(
             F.col("_mean").isNotNull()
             & (F.col("_min") >= params.beacon_min_interval * 1_000_000)
             & (F.col("_max") <= params.beacon_max_interval * 1_000_000)
             & (spread <= tolerance)
         )
-        .withColumn("observations", F.lit(n))
         .withColumn("interval_seconds", F.col("_mean") / 1e6)
         .withColumn("jitter", spread / F.col("_mean"))
     )
+    return beacon_alerts(found, params)
+
+
+def beacon_alerts(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """Alerts of series with ``bucket_ts``, ``interval_seconds`` and ``jitter``."""
+    rows = rows.withColumn("observations", F.lit(params.beacon_observations))
     return alert(
         rows, "BEACONING", "medium", beacon_text(params),
         ["dst_port", "protocol", "observations", "interval_seconds", "jitter", F.col("dst_ip").alias("target")],
@@ -298,6 +303,11 @@ def nighttime(metrics: DataFrame, params: Params = Params()) -> DataFrame:
             & (F.col("night_windows") < params.night_known_windows)
         )
     )
+    return night_alerts(rows, params)
+
+
+def night_alerts(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """Alerts of significant windows with ``day_windows`` and ``night_windows`` counted before them."""
     return alert(
         rows, "NIGHTTIME_TRAFFIC", "medium", night_text(params),
         ["local_hour", "day_windows", "night_windows", "bytes", "packets", "dst_count"],
@@ -427,19 +437,23 @@ def new_port(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
     return alert(rows, "NEW_PORT", "low", _port_text(params), ["dst_port", "bytes"], destination=F.col("dst_ip"))
 
 
-def novelty(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
-    """New destinations and new ports together: one grouping, one maturity check."""
-    local = aggregates.filter(ip.is_local("src_ip", params.local_cidrs))
+def novelty_items(local: DataFrame, params: Params = Params(), presence: bool = False) -> DataFrame:
+    """(src_ip, bucket_ts, bytes, dst_ip, item) of local sources: external destinations (d...) and ports (p...).
+
+    ``presence`` adds an item ``w`` to every row, so that a source's windows are known from the items alone.
+    """
     external = ip.is_unicast("dst_ip") & ~ip.is_local("dst_ip", params.local_cidrs)
-    item = F.array(
+    items = [
         F.concat(F.lit("d"), F.when(external, F.col("dst_ip"))),
         F.concat(F.lit("p"), F.when(F.col("dst_port").between(1, 65535), F.col("dst_port").cast("string"))),
-    )
-    tagged = local.select(
-        "src_ip", "bucket_ts", "bytes", "dst_ip", F.explode(F.array_compact(item)).alias("item")
-    )
-    rows = unseen(tagged, "item", params, [F.min("dst_ip").alias("dst_ip")])
-    rows = _only_mature(rows, local, params)
+    ]
+    items += [F.lit("w")] if presence else []
+    item = F.explode(F.array_compact(F.array(*items)))
+    return local.select("src_ip", "bucket_ts", "bytes", "dst_ip", item.alias("item"))
+
+
+def novelty_alerts(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """Alerts of (src_ip, bucket_ts, item, dst_ip)."""
     is_port = F.col("item").startswith("p")
     port = rows.withColumn("dst_port", F.expr("substring(item, 2)").try_cast("int"))
     kinds = F.when(is_port, F.lit("NEW_PORT")).otherwise("NEW_DESTINATION")
@@ -454,6 +468,13 @@ def novelty(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def novelty(aggregates: DataFrame, params: Params = Params()) -> DataFrame:
+    """New destinations and new ports together: one grouping, one maturity check."""
+    local = aggregates.filter(ip.is_local("src_ip", params.local_cidrs))
+    rows = unseen(novelty_items(local, params), "item", params, [F.min("dst_ip").alias("dst_ip")])
+    return novelty_alerts(_only_mature(rows, local, params), params)
+
+
 # --- floods --------------------------------------------------------------------------------
 
 RATES = ("pps", "bps", "fps", "syn", "udp", "icmp")

@@ -124,17 +124,22 @@ def _log_rows(df: DataFrame, rule: Column, actions: Column) -> DataFrame:
     ).select("anomaly_id", "rule_id", "channel", "status", "error_message", "dispatched_at")
 
 
-def _passing(matched: DataFrame) -> DataFrame:
+def _passing(matched: DataFrame, sent: DataFrame | None = None) -> DataFrame:
     """(rule_id, id) of the rows that pass their rule's cooldown.
 
     A row is held back while at most ``cooldown_seconds`` have passed, to the microsecond, since the last dispatch of
-    the rule for that device and type.
+    the rule for that device and type.  ``sent`` has dispatches (rule_id, ip, type, dispatched_at) before all rows.
     """
     key = ["rule_id", "ip", "type"]
     instants = matched.groupBy(*key, F.unix_micros("created_at").alias("us")).agg(
         F.min("id").alias("id"), F.max("cooldown_seconds").alias("cooldown_seconds")
     )
-    return keep_spaced(instants, key, F.col("cooldown_seconds").cast("long") * 1_000_000 + 1).select("rule_id", "id")
+    if sent is not None:
+        waits = matched.groupBy(*key).agg(F.max("cooldown_seconds").alias("cooldown_seconds"))
+        last = sent.groupBy(*key).agg(F.max(F.unix_micros("dispatched_at")).alias("us"))
+        instants = instants.unionByName(last.join(waits, key), allowMissingColumns=True)
+    kept = keep_spaced(instants, key, F.col("cooldown_seconds").cast("long") * 1_000_000 + 1)
+    return kept.filter("id is not null").select("rule_id", "id")
 
 
 def route_notifications(
@@ -144,12 +149,14 @@ def route_notifications(
     suppressed_types: Sequence[str] = (),
     allowed_cidrs: Sequence[str] = (),
     critical_rank: int = 0,
+    sent: DataFrame | None = None,
 ) -> DataFrame:
     """Planned notification log rows of each alert.
 
     Status is ``suppressed``, ``deduplicated``, ``failed`` (channel not
     configured) or ``dispatch``.  With no enabled rule at all, every configured
-    channel gets a row without rule.
+    channel gets a row without rule.  ``sent`` (rule_id, ip, type, dispatched_at) names dispatches before all alerts,
+    from which cooldowns go on.
     """
     outside = (
         ip.is_ip("ip") & ~ip.in_cidr("ip", list(allowed_cidrs)) if allowed_cidrs else F.lit(False)
@@ -177,7 +184,7 @@ def route_notifications(
     matched = matched.withColumn(
         "_cooled", (F.col("cooldown_seconds") > 0) & F.exists("channel_targets", usable)
     )
-    passing = _passing(matched.filter("_cooled")).withColumn("_first", F.lit(True))
+    passing = _passing(matched.filter("_cooled"), sent).withColumn("_first", F.lit(True))
     channels = F.filter("channel_targets", lambda c: c.isin(*CHANNELS))
     sent = F.transform(
         channels,
