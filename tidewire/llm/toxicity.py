@@ -26,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,7 @@ def spaced_out(model: CharModel, tokens: list[str], singles: set[str] | None = N
 #: Letters and signs that one sign may stand for, as one letter; signs that only set apart go.
 _ALIKE = {"l": "i", "b": "g"}
 _SAME = str.maketrans(
-    {c: "" for c in EDGE} | {"l": "i", "b": "g"} | {c: _ALIKE.get(x[0], x[0]) for c, x in LOOKALIKES.items()}
+    dict.fromkeys(EDGE) | {"l": "i", "b": "g"} | {c: _ALIKE.get(x[0], x[0]) for c, x in LOOKALIKES.items()}
 )
 
 
@@ -217,36 +218,45 @@ class Joined:
         for w in words:
             self.keys.setdefault(w.translate(_SAME), set()).add(w)
         self.starts = {k[:n] for k in self.keys for n in range(1, len(k) + 1)}
+        self.inner = {k[i:] for k in self.starts for i in range(len(k))}
 
     @staticmethod
     def piece(token: str) -> str:
         """What a token gives to a joined word."""
         return decomposed(token).lower().translate(_SAME)
 
-    def words(self, model: CharModel, tokens: list[str], first: set[str] | None = None) -> set[str]:
+    def later(self, token: str, piece: str) -> tuple[str, str] | None:
+        """What a token gives inside and at the end of a word, where signs may be letters or not; None: it is in no word."""
+        shorn = self.piece(token.rstrip("!|")) if token[-1] in "!|" else piece
+        return (piece, shorn) if not piece or piece in self.inner or shorn in self.inner else None
+
+    def words(self, model: CharModel, tokens: list[str], first: dict[str, str] | None = None, later: dict[str, tuple[str, str]] | None = None) -> set[str]:
         """Words whose pieces stand side by side and which the decoder prefers to the pieces.
 
-        ``first``: the tokens that a word may begin with, if they are known.
+        ``first`` and ``later``: the tokens that a word may begin and go on with and what they give, if that is known.
         """
-        starts, out = self.starts, set()
+        if first is None or later is None:
+            pieces = {t: self.piece(t) for t in set(tokens)}
+            first = {t: p for t, p in pieces.items() if p in self.starts}
+            later = {t: found for t, p in pieces.items() if (found := self.later(t, p))}
+        out: set[str] = set()
         for i, token in enumerate(tokens):
-            if (token not in first) if first is not None else (self.piece(token) not in starts):
+            if token not in first:
                 continue
-            before, pieces = self.piece(token), [self.piece(token)]
+            before = first[token]
             for j in range(i + 1, len(tokens)):
-                now = self.piece(tokens[j])
+                if tokens[j] not in later:
+                    break
+                now, shorn = later[tokens[j]]
                 if not now:
-                    pieces.append(now)
                     continue
-                # signs at the end of a word may be letters or not
-                for last in {now, self.piece(tokens[j].rstrip("!|"))}:
+                for last in (now, shorn) if now != shorn else (now,):
                     for word in self.keys.get(before + last, ()) if last else ():
-                        parts = [*filter(None, pieces), last]
+                        parts = [*filter(None, map(self.piece, tokens[i:j])), last]
                         if word not in out and not all(t.isdigit() for t in tokens[i : j + 1]) and self._preferred(model, word, parts):
                             out.add(word)
                 before += now
-                pieces.append(now)
-                if before not in starts:
+                if before not in self.starts:
                     break
         return out
 
@@ -278,6 +288,24 @@ def outline(text: str) -> str:
     return _RUNS.sub(r"\1", text.translate(_SAME))
 
 
+class Beginnings:
+    """Set of beginnings of words; their lengths are kept by their first characters."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.texts = set(texts)
+        self.least = min(map(len, self.texts), default=0)
+        self.sizes: dict[str, list[int]] = {}
+        for head, n in sorted({(t[: self.least], len(t)) for t in self.texts}):
+            self.sizes.setdefault(head, []).append(n)
+
+    def of(self, text: str) -> bool:
+        """Whether the text begins with one of them."""
+        for n in self.sizes.get(text[: self.least], ()):
+            if text[:n] in self.texts:
+                return True
+        return False
+
+
 def single(token: str) -> bool:
     return len(token) == 1 or len(token.strip(".,;:*-_'\"")) == 1
 
@@ -287,19 +315,20 @@ class Finder:
 
     def __init__(self, model: CharModel, wanted: Iterable[str], joined: Iterable[str] = (), most: int = 150_000):
         self.model, self.wanted, self.most = model, set(wanted), most
-        self.heads = {f[:3] for f in self.wanted if f.endswith("*")}
+        self.heads = Beginnings(f[:-1] for f in self.wanted if f.endswith("*"))
         self.whole = {outline(f) for f in self.wanted if not f.endswith("*")}
-        self.starts = {outline(f[:-1]) for f in self.wanted if f.endswith("*")}
-        self.sizes = sorted({len(k) for k in self.starts})
+        self.starts = Beginnings(map(outline, self.heads.texts))
         self.joined = Joined(joined)
         self.longest = max(map(len, self.joined.starts), default=0)
         self.known: set[str] = set()
+        self.often: set[str] = set()
         self.words_of: dict[str, tuple[str, ...]] = {}
         self.singles: set[str] = set()
-        self.first: set[str] = set()
+        self.first: dict[str, str] = {}
+        self.later: dict[str, tuple[str, str]] = {}
 
     def carries(self, word: str) -> bool:
-        return word in self.wanted or (word[:3] in self.heads and any(f in self.wanted for f in features(word)))
+        return word in self.wanted or self.heads.of(word[:-1])
 
     def possible(self, token: str) -> bool:
         """Whether some reading of a lower-cased token could carry a feature: never false where one does.
@@ -330,50 +359,66 @@ class Finder:
                     if _RUNS.sub(r"\1", so_far) in self.whole:
                         return True
                 line = _RUNS.sub(r"\1", so_far)
-                if any(line[:n] in self.starts for n in self.sizes):
+                if self.starts.of(line):
                     return True
         return False
 
-    def token(self, token: str) -> tuple[str, ...]:
-        """Words with a feature that a token of several characters stands for."""
-        t = decomposed(token).lower()
-        bare = t if t.isalpha() else t.strip(_PLAIN)
+    def token(self, token: str, lower: str | None = None, piece: str | None = None) -> tuple[str, ...]:
+        """Words with a feature that a token of several characters stands for; its lower case and its classes may be given."""
+        if lower is None or piece is None:
+            lower, piece = decomposed(token).lower(), Joined.piece(token)
+        bare = lower if lower.isalpha() else lower.strip(_PLAIN)
         if bare.isalpha():
             if not _DOUBLE.search(bare):
                 return (bare,) if self.carries(bare) else ()
-            if bare is t and not self._outlined(outline(t)):
+            # signs that only set apart give nothing to a piece
+            line = _RUNS.sub(r"\1", piece)
+            if line not in self.whole and not self.starts.of(line):
                 return ()
-        if not self.possible(t):
+        elif not self.possible(lower):
             return ()
         return tuple(filter(self.carries, restored(self.model, token)))
 
-    def _outlined(self, line: str) -> bool:
-        return line in self.whole or any(line[:n] in self.starts for n in self.sizes)
-
-    def _learn(self, token: str) -> None:
-        self.known.add(token)
-        if single(token):
-            self.singles.add(token)
-        elif words := self.token(token):
-            self.words_of[token] = words
-        # a piece of letters is no longer than the word
-        if (len(token) <= self.longest or not token.isalnum()) and self.joined.piece(token) in self.joined.starts:
-            self.first.add(token)
+    def _learn(self, tokens: set[str]) -> None:
+        """Keep what tokens stand for; they are lower-cased and brought into classes as one string."""
+        self.known |= tokens
+        for kinds in (list(filter(str.isascii, tokens)), list(filterfalse(str.isascii, tokens))):
+            lower = decomposed("\n".join(kinds)).lower()
+            for token, t, piece in zip(kinds, lower.split("\n"), lower.translate(_SAME).split("\n"), strict=False):
+                if (len(token) == 1 or not token.isalpha()) and single(token):
+                    self.singles.add(token)
+                elif words := self.token(token, t, piece):
+                    self.words_of[token] = words
+                # a piece of letters is no longer than the word
+                if self.joined.keys and (len(token) <= self.longest or not token.isalnum()):
+                    if piece in self.joined.starts:
+                        self.first[token] = piece
+                    if found := self.joined.later(token, piece):
+                        self.later[token] = found
+
+    def _forget(self) -> None:
+        """Of what is kept, only tokens of more than one text stay; nothing where they are many, too."""
+        kept = self.often if len(self.often) <= self.most // 2 else set()
+        self.known, self.often = kept, set()
+        self.singles &= kept
+        for held in (self.words_of, self.first, self.later):
+            for token in held.keys() - kept:
+                del held[token]
 
     def text(self, text: str) -> tuple[set[str], int]:
         """Distinct restored words with a feature, and the number of tokens; rows of single characters count as one."""
         tokens = split_words(text)
         kinds = set(tokens)
         if len(self.known) > self.most:
-            for held in (self.known, self.words_of, self.singles, self.first):
-                held.clear()
-        for t in kinds.difference(self.known):
-            self._learn(t)
-        found = {w for t in kinds.intersection(self.words_of) for w in self.words_of[t]}
+            self._forget()
+        new = kinds.difference(self.known)
+        self.often |= kinds - new
+        self._learn(new)
+        found = {w for t in self.words_of.keys() & kinds for w in self.words_of[t]}
         if not self.singles.isdisjoint(kinds) and sum(map(self.singles.__contains__, tokens)) > 2:
             found.update(filter(self.carries, spaced_out(self.model, tokens, self.singles)))
-        if not self.first.isdisjoint(kinds):
-            found.update(self.joined.words(self.model, tokens, self.first))
+        if not kinds.isdisjoint(self.first):
+            found.update(self.joined.words(self.model, tokens, self.first, self.later))
         return found, len(tokens)
 
 
@@ -487,6 +532,21 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bad = texts.filter("y = 1").select("text").mapInArrow(beginnings, "f string, bad long").groupBy("f").agg(F.sum("bad").alias("bad"))
     wanted = {r["f"]: r["bad"] for r in bad.filter("bad > 2").collect()}
 
+    def at_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features with the number of texts that hold them in words of plain letters, which are restored as written."""
+        held: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                plain = (w for w in set(t.lower().split()) if len(w) > 1 and w.isalpha() and not _DOUBLE.search(w))
+                held.update({f for w in plain for f in features(w) if f in wanted})
+        yield pa.record_batch([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["f", "n"])
+
+    # a feature that these texts alone make too common can be no evidence and need not be looked for
+    plain = texts.select("text").mapInArrow(at_least, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    for r in plain.collect():
+        if (wanted[r["f"]] + prior * base) / (max(r["n"], wanted[r["f"]]) + prior) <= lift * base:
+            del wanted[r["f"]]
+
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of every labelled text the words with a wanted feature."""
         finder = Finder(chars, wanted)
