@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog.registry import ORACLES, query
 from catalog.traffic_queries import BASE_PARTS, aggregates, baselines, daily
 from catalog.views import CONFIGURED, DEVICE, LOCAL, NOW, Tables, with_views
-from tidewire.functions import labels
+from tidewire.functions import codec, labels
 from tidewire.operators import (
     alerts, changes, detectors, devices, notifications, policies, profiles, risk, rollup, security, traffic,
 )
@@ -1042,3 +1042,63 @@ def _messages(t: Tables):
 )
 def _label_rejects(t: Tables):
     return devices.apply_labels(t.devices, t.label_log)[1].select("ip", "label", "changed_at", "reject_reason")
+
+
+# --- rules and policies as sent in -----------------------------------------------------------------------------------
+
+_RULES_IN = r"""parsed AS (SELECT *, CASE WHEN channels IS NULL OR trim(channels) IN ('', 'null') THEN [] ELSE json_extract_string(channels, '$[*]') END AS ch FROM rlog),
+filled AS (SELECT id, name, CASE WHEN coalesce(scope, '') = '' THEN 'global' ELSE scope END AS scope, coalesce(target, '') AS target,
+    CASE WHEN coalesce(severity_min, '') = '' THEN 'low' ELSE severity_min END AS severity_min,
+    greatest(coalesce(cooldown_seconds, 0), 0) AS cooldown_seconds, enabled, ch, split_part(coalesce(target, ''), '/', 1) AS host,
+    TRY_CAST(split_part(coalesce(target, ''), '/', 2) AS INT) AS bits FROM parsed),
+judged AS (SELECT id, name, scope, CASE WHEN scope = 'global' THEN '' ELSE target END AS target, severity_min, cooldown_seconds, enabled,
+    CAST(len(ch) AS INT) AS n_channels, array_to_string(ch, ',') AS channels,
+    CASE WHEN coalesce(name, '') = '' THEN 'name is empty' WHEN lower(severity_min) NOT IN ('low', 'medium', 'high') THEN 'unknown severity'
+      WHEN len(ch) = 0 THEN 'no channel'
+      WHEN len(list_filter(ch, lambda c: coalesce(lower(c) IN ('webhook', 'slack', 'telegram'), false))) < len(ch) THEN 'unknown channel'
+      WHEN scope = 'ip' AND NOT regexp_full_match(target, '([0-9]{1,3}\.){3}[0-9]{1,3}|[0-9a-f]{1,4}::[0-9a-f]{1,4}') THEN 'target is not an address'
+      WHEN scope = 'subnet' AND coalesce(bits > CASE WHEN contains(host, ':') THEN 128 ELSE 32 END, true) THEN 'target is not a network'
+      WHEN scope NOT IN ('global', 'ip', 'subnet') THEN 'unknown scope' END AS reject_reason FROM filled)"""
+
+
+def _rules_in(t: Tables):
+    return t.rule_log.withColumn("channel_targets", codec.json_list(F.col("channels"))).drop("channels")
+
+
+def _rule_row(df):
+    return df.withColumn("n_channels", F.size("channel_targets")).withColumn("channels", F.array_join("channel_targets", ",")).drop("channel_targets")
+
+
+@query("json_list", with_views("rlog", "SELECT id, CAST(len(ch) AS INT) AS n, ch[1] AS first, array_to_string(ch, ',') AS entries FROM parsed", _RULES_IN))
+def _json_list(t: Tables):
+    entries = F.col("channel_targets")
+    return _rules_in(t).select("id", F.size(entries).alias("n"), F.get(entries, 0).alias("first"), F.array_join(entries, ",").alias("entries"))
+
+
+@query("validate_rules", with_views("rlog", "SELECT * FROM judged", _RULES_IN))
+def _validate_rules(t: Tables):
+    """Valid rules and rejects together; a valid rule has no reason."""
+    valid, rejects = notifications.validate_rules(_rules_in(t))
+    return _rule_row(valid.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejects))
+
+
+@query(
+    "list_rules",
+    with_views(
+        "rlog",
+        "SELECT id, name, scope, target, severity_min, cooldown_seconds, enabled, n_channels, channels FROM judged WHERE reject_reason IS NULL ORDER BY name, id",
+        _RULES_IN,
+    ),
+)
+def _list_rules(t: Tables):
+    return _rule_row(notifications.list_rules(notifications.validate_rules(_rules_in(t))[0]))
+
+
+@query(
+    "list_policies",
+    with_views("plog", "SELECT id, name, scope, target, severity_threshold, suppressed, cooldown_seconds FROM plog WHERE op <> 'delete' ORDER BY scope, name, id"),
+)
+def _list_policies(t: Tables):
+    """All policies ever sent in, as the page lists them."""
+    kept = t.policy_log.filter("op <> 'delete'")
+    return policies.list_policies(kept).select("id", "name", "scope", "target", "severity_threshold", "suppressed", "cooldown_seconds")

@@ -184,6 +184,24 @@ SELECT CAST(user_id AS BIGINT) AS id, CASE WHEN k % 29 = 0 THEN '' ELSE concat('
 FROM f"""
 
 
+def rule_log_sql(d: Dialect) -> str:
+    """Notification rules as sent in, with null and odd fields, addresses of both families and channels as JSON text."""
+    s = d.S
+    return f"""
+SELECT CAST(k AS BIGINT) AS id,
+  CASE WHEN k % 29 = 0 THEN '' WHEN k % 31 = 0 THEN NULL ELSE concat('rule ', CAST(k % 100 AS {s})) END AS name,
+  CASE k % 6 WHEN 0 THEN 'global' WHEN 1 THEN 'ip' WHEN 2 THEN 'subnet' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'team' END AS scope,
+  CASE k % 6
+    WHEN 1 THEN CASE k % 5 WHEN 0 THEN concat('fe80::', CAST(k % 90 + 10 AS {s})) WHEN 1 THEN 'printer' WHEN 2 THEN NULL ELSE src_ip END
+    WHEN 2 THEN CASE k % 5 WHEN 0 THEN concat('2001:db8::/', CAST(k % 140 AS {s})) WHEN 1 THEN src_ip ELSE concat(src_ip, '/', CAST(k % 40 AS {s})) END
+    ELSE src_ip END AS target,
+  CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'HIGH' WHEN 3 THEN 'critical' WHEN 4 THEN 'medium' ELSE 'low' END AS severity_min,
+  CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN '[]' WHEN 2 THEN '["sms"]' WHEN 3 THEN '["slack", null]' WHEN 4 THEN ' null '
+    WHEN 5 THEN '["Slack", "telegram"]' ELSE '["webhook"]' END AS channels,
+  CAST(CASE WHEN k % 13 = 0 THEN NULL ELSE k % 13 - 5 END AS INT) AS cooldown_seconds, k % 2 = 0 AS enabled
+FROM f"""
+
+
 def day_audit_sql(d: Dialect) -> str:
     """Audit rows of whole days, most of which repeat."""
     return """
@@ -256,6 +274,7 @@ CTES = {
     "llog": label_log_sql(DUCK),
     "slog": status_log_sql(DUCK),
     "plog": policy_log_sql(DUCK),
+    "rlog": rule_log_sql(DUCK),
     "daud": day_audit_sql(DUCK),
     "agg": AGG_SQL.format(bucket="date_trunc('minute', event_ts)"),
     "aday": AGG_SQL.format(bucket="date_trunc('day', event_ts)"),
@@ -264,7 +283,7 @@ CTES = {
 }
 _NEEDS = {
     "dec": "f", "pk": "f", "dev": "f", "anom": "f", "nlog": "anom", "sysl": "f", "eve": "f", "llog": "f",
-    "slog": "f", "plog": "f", "daud": "f", "agg": "f", "aday": "f",
+    "slog": "f", "plog": "f", "rlog": "f", "daud": "f", "agg": "f", "aday": "f",
 }
 
 
@@ -358,6 +377,10 @@ class Tables:
     def day_audit(self) -> DataFrame:
         return self._from_flows(day_audit_sql)
 
+    @property
+    def rule_log(self) -> DataFrame:
+        return self._from_flows(rule_log_sql)
+
     @property
     def policies(self) -> DataFrame:
         return self.spark.sql(values_sql(POLICY_COLUMNS, POLICIES, spark=True))

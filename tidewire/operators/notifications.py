@@ -223,7 +223,7 @@ def notification_message(anomalies: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def list_rules(rules: DataFrame) -> DataFrame:
-    return rules.orderBy("name")
+    return rules.orderBy("name", "id")
 
 
 def list_notification_logs(logs: DataFrame, k: int = 50) -> DataFrame:

@@ -189,5 +189,5 @@ def apply_policies(anomalies: DataFrame, policies: DataFrame, critical_rank: int
 
 
 def list_policies(policies: DataFrame) -> DataFrame:
-    return policies.orderBy("scope", "name")
+    return policies.orderBy("scope", "name", "id")
 
