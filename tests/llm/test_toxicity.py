@@ -154,6 +154,31 @@ def test_no_reading_with_evidence_is_passed_over(chars):
         assert set(finder.token(token)) == {w for w in toxicity.restored(chars, token) if finder.carries(w)}, token
 
 
+def test_beginnings_equal_brute_force():
+    rng = random.Random(3)
+    some = lambda most: "".join(rng.choice("abc") for _ in range(rng.randint(0, most)))
+    for least in (1, 2, 3):
+        held = {t for t in (some(5) for _ in range(12)) if len(t) >= least}
+        starts = toxicity.Beginnings(held)
+        for text in (some(7) for _ in range(300)):
+            assert starts.of(text) == any(text.startswith(h) for h in held)
+    assert not toxicity.Beginnings([]).of("abc") and not toxicity.Beginnings([]).of("")
+
+
+def test_emptied_caches_change_nothing(chars):
+    """Texts read with a cache of few tokens, with one of all tokens, and each on its own give the same words."""
+    rng = random.Random(8)
+    wanted, joined = {"idiot", "mor*", "scum", "loser", "los*"}, ["idiot", "scum", "moron"]
+    pieces = [*CLEAN, *BAD, "1d10t", "mo-ron", "id", "iot", "s", "c", "u", "m", "sc", "um!", "m0r.", "on", "...", "!!", "IDIOT|", "ｓｃｕｍ", "é", "12", "Σ", "ΟΔΟΣ"]
+    texts = ["", "   ", *(" ".join(rng.choice(pieces) + rng.choice(["", "", "", ",", str(rng.randint(0, 400))]) for _ in range(rng.randint(1, 40))) for _ in range(400))]
+    few, many = toxicity.Finder(chars, wanted, joined, most=30), toxicity.Finder(chars, wanted, joined)
+    plain = toxicity.Joined(joined)
+    got = [many.text(t) for t in texts]
+    assert got == [few.text(t) for t in texts] == [toxicity.Finder(chars, wanted, joined).text(t) for t in texts]
+    assert len(few.known) < len(many.known) and any(words for words, _ in got)
+    assert all(plain.words(chars, t.split()) <= words for t, (words, _) in zip(texts, got, strict=True))
+
+
 def test_score_equals_brute_force(spark, docs_of):
     """Evidence and scores of 200 texts from decoding every token, counted in plain dictionaries."""
     docs, labels = _corpus(9)
