@@ -218,6 +218,32 @@ def test_packets_to_flows(spark):
     assert any(k[2] == 1000 and p == 2 and b == 150 for k, _, b, p, _ in got)
 
 
+def test_packets_to_flows_shuffles_twice_and_folds_no_rows(spark):
+    """Slots are dealt once to be summed and once by 5-tuple; flows are finished in that order."""
+    found = packets.packets_to_flows(spark.createDataFrame([_packet(0)], PACKET))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "MapInPandas" not in plan
+
+
+def test_packet_flows_go_on_over_batches_and_under_null_ports(spark):
+    rows = [_packet(t * 0.7, port=p, flags=1 << t % 5) for t in range(200) for p in (2000, 2001)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, PACKET)
+        nulls = df.filter("src_port = 2000").withColumn("src_port", F.lit(None).cast("int"))
+        untimed = df.limit(3).withColumn("event_ts", F.lit(None).cast("timestamp"))
+        unsized = df.limit(1).withColumns({"src_port": F.lit(3000), "bytes": F.lit(None).cast(df.schema["bytes"].dataType)})
+        got = packets.packets_to_flows(df.unionByName(nulls).unionByName(untimed).unionByName(unsized)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = brute_flows(rows)
+    flows = {p: sorted((round(r.event_ts.timestamp(), 6), r.bytes, r.packets, r.tcp_flags) for r in got if r.src_port == p) for p in (2000, 2001, None, 3000)}
+    assert len(flows[2000]) > 2 and flows[None] == flows[2000] == [x[1:] for x in want if x[0][2] == 2000]
+    assert flows[2001] == [x[1:] for x in want if x[0][2] == 2001]
+    assert [x[1:3] for x in flows[3000]] == [(None, 1)] and sum(len(x) for x in flows.values()) == len(got)
+
+
 def test_normalize_flows(spark):
     df = spark.createDataFrame(
         [
