@@ -57,5 +57,16 @@ def test_each_id_is_in_one_piece(spark, docs_of):
         assert full[k] == (flat if used.bit_count() == 1 else flat + [0] * (64 - used))
 
 
+def test_documents_are_cut_in_runs_of_bounded_ids():
+    assert packing.id_runs(np.array([], dtype=np.int64)) == []
+    assert packing.id_runs(np.array([4, 5, 2, 30, 1, 1]), 10) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
+def test_cutting_keeps_no_encoder():
+    packing.encoder_of(PATH)
+    packing.released()
+    assert not packing._ENCODERS
+
+
 def test_empty(spark, docs_of):
     assert packing.pack(docs_of([]), PATH).count() == 0

@@ -27,9 +27,11 @@ from tidewire.llm.blocks import text_runs
 from tidewire.llm.storage import stored
 
 #: Parts kept with their ids by one worker (twice as many at most), and the length up to which a part is kept.
-KEPT_PARTS, KEPT_LENGTH = 500_000, 40
+KEPT_PARTS, KEPT_LENGTH = 300_000, 40
 #: Texts are encoded in runs of about so many bytes.
 RUN_BYTES = 4_000_000
+#: Documents are cut in runs of about so many ids.
+CUT_IDS = 1_000_000
 #: Parts whose normal form is their lower case alone: Latin letters and signs without white space. (fixed values)
 PLAIN = re.compile("[!-~\u00a1-\u024f]+")
 #: The pre-tokenizer's pieces. (fixed values)
@@ -109,6 +111,23 @@ def encoder_of(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
+def released() -> None:
+    """Empty what this worker keeps of encoding: later steps run in the same process."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def id_runs(counts: np.ndarray, most: int = CUT_IDS) -> list[tuple[int, int]]:
+    """(start, end) of consecutive documents of together at most ``most`` ids, or of one larger document."""
+    runs, start, total = [], 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if i > start and total + n > most:
+            runs.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*runs, (start, len(counts))] if len(counts) else runs
+
+
 def token_streams(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored rows ``doc_id``, ``part``, ``local_start``, ``n_tokens``, ``ids`` (binary, 2 or 4 bytes an id)."""
     id_type = docs.schema[doc_id].dataType
@@ -133,6 +152,7 @@ def token_streams(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "d
                     [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part)), pa.array(starts), pa.array(counts), pa.array(blobs, pa.binary())],
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
+        pa.default_memory_pool().release_unused()
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return stored(chosen.mapInArrow(encode, schema), "tokens")
@@ -159,9 +179,8 @@ def pack(
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *long, *ids_field])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        released()
+        for batch in (x.slice(a, b - a) for x in batches for a, b in id_runs(x.column(2).to_numpy())):
             at, n = (batch.column(i).to_numpy() for i in (1, 2))
             first, last = at // length, (at + n - 1) // length
             pieces = last - first + 1
