@@ -24,6 +24,39 @@ def test_parts_give_the_ids_of_the_text(text):
     assert got == encoder.parts.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.text(alphabet="aB'sé,.1 \n\tÀ<|>İ\xad\x1c", max_size=30), max_size=8))
+def test_texts_of_a_run_keep_their_ids(texts):
+    encoder = packing.encoder_of(PATH)
+    got = [np.frombuffer(x, dtype=np.uint16).tolist() for x in encoder.texts(texts)]
+    assert got == [encoder.parts.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_plain_letters_and_signs_give_the_ids_of_the_text():
+    encoder = packing.TextEncoder(PATH)
+    chars = [chr(c) for c in range(0x250) if chr(c) not in "\n\r"]
+    texts = [form for c in chars for form in (c, f"a{c}b", f"'{c}'S", f"{c}{c}1", f"É{c}, x")]
+    got = [np.frombuffer(x, dtype=np.uint16).tolist() for x in encoder.texts(texts)]
+    assert got == [encoder.parts.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_are_merged_once_for_all_parts_that_hold_them(monkeypatch):
+    merged = []
+    found = packing.Parts.ids
+    monkeypatch.setattr(packing.Parts, "ids", lambda self, unit: (merged.append(unit), found(self, unit))[1])
+    packing.TextEncoder(PATH).texts(["House house, (HOUSE) house", "house's houSe, HOUSE."])
+    assert len(merged) == len(set(merged)) and merged.count("house") == 1
+    assert not [x for x in merged if "house" in x.lower() and x != "house"]
+
+
+def test_kept_units_are_bounded_within_a_run(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_PARTS", 10)
+    encoder = packing.TextEncoder(PATH)
+    words = ["w" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(200)]
+    assert encoder.texts([" ".join(words)]) == packing.TextEncoder(PATH).texts([" ".join(words)])
+    assert len(encoder.parts) <= 12 and len(encoder.parts.old) <= 12
+
+
 def test_old_parts_are_kept_a_while(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_PARTS", 3)
     encoder = packing.TextEncoder(PATH)

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +27,20 @@ from pyspark.sql.window import Window
 from tidewire.llm.blocks import text_runs
 from tidewire.llm.storage import stored
 
-#: Parts kept with their ids by one worker (twice as many at most), and the length up to which a part is kept.
+#: Units kept with their ids by one worker (twice as many at most), and the length up to which a unit is kept.
 KEPT_PARTS, KEPT_LENGTH = 300_000, 40
 #: Texts are encoded in runs of about so many bytes.
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
 #: Documents are cut in runs of about so many ids.
 CUT_IDS = 1_000_000
-#: Parts whose normal form is their lower case alone: Latin letters and signs without white space. (fixed values)
-PLAIN = re.compile("[!-~\u00a1-\u024f]+")
-#: The pre-tokenizer's pieces. (fixed values)
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Latin letters and signs whose normal form is their lower case alone. (fixed values)
+PLAIN = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]) if c.lower() <= "\u024f" and len(c.lower()) == 1]
+LETTERS, DIGITS = ("".join(c for c in PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+#: What the whole tokenizer has to see: other characters, and what may be a control string.
+ODD = f"[^{re.escape(''.join(PLAIN))}]|<\\|"
+ODD_PART = re.compile(ODD)
+#: The pre-tokenizer's pieces of plain parts, and the end of each part. (fixed values)
+PIECES = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\n{LETTERS}{DIGITS}]+")
 
 
 def _byte_letters() -> list[str]:
@@ -46,10 +51,13 @@ def _byte_letters() -> list[str]:
 
 
 class Parts(dict):
-    """Ids of space-separated parts, worked out on first sight.  Two generations of recent parts bound the memory."""
+    """Ids of units, worked out on first sight: pieces of plain parts in lower case, all other parts as they stand.
+
+    A part's end has no ids.  Two generations of recent units bound the memory.
+    """
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__({"\n": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,31 +67,34 @@ class Parts(dict):
         self.letters = _byte_letters()
         self.old: dict[str, bytes] = {}
 
-    def ids(self, part: str) -> bytes:
-        """Plain parts are merged here piece by piece, all others go through the whole tokenizer."""
-        lower = part.lower()
-        if "<|" in part or not PLAIN.fullmatch(part) or not PLAIN.fullmatch(lower):
-            return array(self.code, self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
-        ids: list[int] = []
-        for piece in (lower,) if lower.isalpha() else PIECES.findall(lower):
-            if not piece.isascii():
-                piece = "".join([self.letters[b] for b in piece.encode()])
-            ids += [t.id for t in self.merge(piece)]
-        return array(self.code, ids).tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        found = self.old.get(part)
+    def ids(self, unit: str) -> bytes:
+        """Pieces are merged at once, all others go through the whole tokenizer."""
+        if ODD_PART.search(unit):
+            return array(self.code, self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+        if not unit.isascii():
+            unit = "".join([self.letters[b] for b in unit.encode()])
+        return array(self.code, [t.id for t in self.merge(unit)]).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.old.get(unit)
         if found is None:
-            found = self.ids(part)
-        if len(part) <= KEPT_LENGTH:
-            self[part] = found
+            found = self.ids(unit)
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) > KEPT_PARTS:
+                self.age()
+            self[unit] = found
         return found
 
     def age(self) -> None:
-        if len(self) > KEPT_PARTS:
-            self.old = dict(self)
-            self.clear()
-            self[""] = b""
+        self.old.clear()
+        self.old.update(self)
+        self.clear()
+        self["\n"] = b""
+
+
+def binaries(blobs: list[bytes], ends: np.ndarray) -> pa.Array:
+    """The bytes of all ``blobs`` end to end, as one value up to each of ``ends``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(b"".join(blobs))])
 
 
 class TextEncoder:
@@ -94,11 +105,23 @@ class TextEncoder:
         self.code = self.parts.code
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        get, out = self.parts.__getitem__, []
-        for t in texts:
-            out.append(b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))))
-            self.parts.age()
-        return out
+        """Each distinct space-separated part of ``texts`` is looked up once."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        parts = split.values.dictionary_encode()
+        odd = pc.match_substring_regex(parts.dictionary, ODD)
+        plain, others = parts.dictionary.filter(pc.invert(odd)), parts.dictionary.filter(odd).to_pylist()
+        get, total = self.parts.__getitem__, len(plain)
+        found = list(map(get, PIECES.findall("\n".join([*plain.to_numpy(zero_copy_only=False), ""]).lower())))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = [binaries(found, np.cumsum(sizes)[sizes == 0])]
+        found = list(map(get, others))
+        ids.append(binaries(found, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        late = odd.to_numpy(zero_copy_only=False)
+        place = np.where(late, total + np.cumsum(late) - 1, np.cumsum(~late) - 1)
+        flat = pa.concat_arrays(ids).take(pa.array(place[parts.indices.to_numpy()]))
+        _, starts, held = flat.buffers()
+        bounds = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds), held]).to_pylist()
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
